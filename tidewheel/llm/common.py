@@ -49,18 +49,19 @@ def durable(df: DataFrame) -> DataFrame:
 
 def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
     """Map Arrow batches of ``columns``: ``make()`` once a task gives ``f(*lists) -> {column: values}``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    names = StructType.fromDDL(schema).names
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             if batch.num_rows:
                 out = f(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-                arrays = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names]
+                arrays = [pa.array(out[k.name], k.type) for k in kinds]
                 if len(arrays[0]):
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+                    yield pa.RecordBatch.from_arrays(arrays, kinds.names)
 
     return df.select(*columns).mapInArrow(run, schema)
 

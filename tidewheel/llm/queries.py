@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, secrets
-from .common import table
+from . import bpe, language, quality, secrets, toxicity
+from .common import crc_mod_col, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +16,36 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdicts of every document, with cutoffs from the labels."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(crc_mod_col("doc_id", 4) != 2))
+    return toxicity.predict(docs, model).select("doc_id", (crc_mod_col("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, docs.filter(crc_mod_col("doc_id", 3) != 1))
+    return found.select("doc_id", (crc_mod_col("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("score"), "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
