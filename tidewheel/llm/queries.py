@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, quality, secrets, toxicity
+from . import bpe, language, neardup, quality, secrets, substrings, toxicity
 from .common import crc_mod_col, table
 
 
@@ -22,6 +23,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that start in an earlier one."""
+    return substrings.dedup(table(spark, sf_dir, "documents"), width=50, digest=True)
+
+
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.85 or more."""
+    return neardup.cluster(table(spark, sf_dir, "documents"), size=3, similarity=Fraction(85, 100))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -44,6 +55,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
+    "op5_neardup": op5_neardup,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op10_language": op10_language,
