@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neardup, quality, secrets, substrings, toxicity
+from . import bpe, brown, decontaminate, language, neardup, quality, secrets, substrings, toxicity
 from .common import crc_mod_col, table
 
 
@@ -28,6 +28,12 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), width=50, digest=True)
 
 
+def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a class-based model of those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod_col("doc_id", 7) == 2, F.lit(True)))
+    return brown.learn_and_score(docs).withColumn("held_out", F.coalesce(crc_mod_col("doc_id", 7) == 2, F.lit(True)))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles have a Jaccard similarity of 0.85 or more."""
     return neardup.cluster(table(spark, sf_dir, "documents"), size=3, similarity=Fraction(85, 100))
@@ -45,6 +51,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, model).select("doc_id", (crc_mod_col("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -56,9 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_substrings": op3_substrings,
+    "op4_brown": op4_brown,
     "op5_neardup": op5_neardup,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
