@@ -191,3 +191,14 @@ def cluster(docs: DataFrame, size: int = 5, similarity: Fraction = Fraction(4, 5
     out = rows.join(sets, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def survivors(docs: DataFrame, size: int = 5, similarity: Fraction = Fraction(4, 5), coordinates: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns: of each component the smallest id.
+
+    Exact copies under one id, or without an id, leave one row.
+    """
+    own = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_version", F.xxhash64(text_col))
+    rows, sets = link(own.select(F.col("_id").alias("doc_id"), F.col("_version").alias("version"), F.col(text_col).alias("text")), size, similarity, coordinates)
+    gone = rows.join(sets, "set_key").filter("doc_id != component").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    return own.join(gone, ["_id", "_version"], "left_anti").dropDuplicates(["_id", "_version"]).select(*docs.columns)

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, language, neardup, quality, secrets, substrings, toxicity
+from . import bpe, brown, decontaminate, language, neardup, pii, quality, secrets, substrings, toxicity
 from .common import crc_mod_col, table
 
 
@@ -56,6 +56,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses under pseudonyms."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key="example key").drop("lang", "source", "n_chars")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
