@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of labelled rows (``examples`` in all, the first by a hash of the
-id). Terms are the words of the examples whose presence goes with the label (in five and a
-200th of them at least, chi-squared of the 2x2 table ``least_chi2`` or more, at most ``terms``); their document frequencies are counted over
+id). Terms are the words of the examples whose presence goes with the label (in five of
+them at least, chi-squared of the 2x2 table ``least_chi2`` or more, ``LIFT`` times as often toxic, at most ``terms``); their document frequencies are counted over
 all documents. The index holds, for each term, the examples that have it with their normalised
 weights, and for each block of examples the largest of these weights. A query adds its terms'
 block maxima to bounds, takes blocks from the highest bound down and stops when the k-th best
@@ -31,12 +31,40 @@ from .common import durable, per_batch
 
 _TERM = re.compile(r"[^\W_]+")
 BLOCK = 64
+#: A term's share of toxic examples is at least so many times that of all.
+LIFT = 3
+#: Lengths of the beginnings of words that are terms too.
+BEGINNINGS = (5, 7)
 
 
 def terms_of(text: str | None) -> list[str]:
     return _TERM.findall(text.lower()) if text else []
 
 
+def expanded(word: str) -> list[str]:
+    """A word and its beginnings as terms; beginnings end in a star."""
+    return [word, *[word[:n] + "*" for n in BEGINNINGS if len(word) > n]]
+
+
+class Terms:
+    """Counts the chosen terms in texts; what a word gives is remembered for a bounded number of words."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.known = number, {}
+
+    def __call__(self, text: str | None) -> dict[int, int]:
+        known, out = self.known, {}
+        if len(known) > 400_000:
+            known.clear()
+        for w, n in Counter(terms_of(text)).items():
+            own = known.get(w)
+            if own is None:
+                own = known[w] = tuple(self.number[t] for t in expanded(w) if t in self.number)
+            for t in own:
+                out[t] = out.get(t, 0) + n
+        return out
+
+
 class BlockMaxIndex:
     """Inverted index over rows of (term, weight) with unit length, in blocks of rows."""
 
@@ -52,31 +80,32 @@ class BlockMaxIndex:
                 self.highest[t, i // BLOCK] = max(self.highest[t, i // BLOCK], w)
         self.rows = [np.array(a, np.int64) for a, _ in lists]
         self.weights = [np.array(b) for _, b in lists]
-        bounds = np.arange(self.blocks + 1) * BLOCK
-        self.starts = [np.searchsorted(r, bounds) for r in self.rows]
+        self.block = [r // BLOCK for r in self.rows]
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest with a cosine above 0; ties to the smaller row."""
-        terms = list(query)
-        bound = sum((query[t] * self.highest[t] for t in terms), np.zeros(self.blocks))
+        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
+        if not query:
+            return rows, cosines
+        bound = sum(q * self.highest[t] for t, q in query.items())
         order = np.argsort(-bound, kind="stable")
-        found: list[tuple[float, int]] = []
-        at, size = 0, 4
-        while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] >= found[k - 1][0] - 1e-12):
-            chosen = order[at : at + size]
+        order = order[: np.count_nonzero(bound)]
+        at, size = 0, 8
+        while at < len(order) and (len(rows) < k or bound[order[at]] >= cosines[k - 1] - 1e-9):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[at : at + size]] = True
             at, size = at + size, size * 2
-            score = np.zeros((len(chosen), BLOCK))
-            for j, b in enumerate(chosen):
-                if bound[b] <= 0:
-                    break
-                for t in terms:
-                    s, e = self.starts[t][b], self.starts[t][b + 1]
-                    if s < e:
-                        score[j, self.rows[t][s:e] - b * BLOCK] += query[t] * self.weights[t][s:e]
-            j, i = score.nonzero()
-            found += [(v, r) for v, r in zip(score[j, i].tolist(), (chosen[j] * BLOCK + i).tolist(), strict=True) if r != without]
-            found = sorted(found, key=lambda x: (-round(x[0], 9), x[1]))[:k]
-        return np.array([r for _, r in found], np.int64), np.array([v for v, _ in found])
+            score = np.zeros(self.n)
+            for t, q in query.items():
+                here = chosen[self.block[t]]
+                score[self.rows[t][here]] += q * self.weights[t][here]
+            if without >= 0:
+                score[without] = 0
+            new = score.nonzero()[0]
+            rows, cosines = np.r_[rows, new], np.round(np.r_[cosines, score[new]], 9)
+            best = np.lexsort((rows, -cosines))[:k]
+            rows, cosines = rows[best], cosines[best]
+        return rows, cosines
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +134,7 @@ def _vote(rows: np.ndarray, cosines: np.ndarray, labels: np.ndarray, empty: floa
     return (float((cosines * labels[rows]).sum()) + rate) / (float(cosines.sum()) + 1) if len(rows) else empty
 
 
-def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, terms: int = 1024, least_chi2: float = 15.1, k: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
+def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, terms: int = 1024, least_chi2: float = 18.0, k: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """Model from a bounded sample of ``labelled`` (``id_col``, ``label_col``); frequencies over all ``docs``."""
     one = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).alias("_label"))
     first = one.groupBy(id_col).agg(F.max("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(examples)
@@ -113,7 +142,13 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, terms: int =
 
     def counted():
         def f(ids, texts, labels):
-            found = [Counter(terms_of(t)) for t in texts]
+            found = []
+            for t in texts:
+                bag = Counter()
+                for w, n in Counter(terms_of(t)).items():
+                    for term in expanded(w):
+                        bag[term] += n
+                found.append(bag)
             return {"id": ids, "label": labels, "term": [list(c) for c in found], "n": [list(c.values()) for c in found]}
 
         return f
@@ -129,16 +164,18 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, terms: int =
     c, d = F.lit(toxic) - a, F.lit(size - toxic) - b
     chi2 = F.pow(a * d - b * c, F.lit(2.0)) * size / F.nullif((a + b) * (c + d) * (a + c) * (b + d), F.lit(0)).cast("double")
     by_term = bags.select("label", F.explode("term").alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    chosen = by_term.filter(F.col("df") >= max(5, size / 200)).withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a * d > b * c)).orderBy(F.desc("chi2"), "term").limit(terms)
+    chosen = by_term.filter(F.col("df") >= 5).withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a * size >= LIFT * F.col("df") * toxic)).orderBy(F.desc("chi2"), "term").limit(terms)
     names = sorted(r["term"] for r in chosen.select("term").collect())
     number = {t: i for i, t in enumerate(names)}
 
     def frequency():
+        count = Terms(number)
+
         def f(texts):
             n = Counter()
             for t in texts:
-                n.update(number.keys() & set(terms_of(t)))
-            return {"term": [number[t] for t in n] + [-1], "n": [*n.values(), len(texts)]}
+                n.update(count(t).keys())
+            return {"term": [*n, -1], "n": [*n.values(), len(texts)]}
 
         return f
 
@@ -175,13 +212,13 @@ class Scorer:
 
     def __init__(self, model: dict | None, evidence: int = 3):
         self.model, self.evidence, self.seen = model, evidence, {}
+        self.count = Terms(model["number"]) if model else None
 
     def __call__(self, text: str | None) -> tuple[float, list]:
         m = self.model
         if m is None:
             return 0.0, []
-        number = m["number"]
-        counts = Counter([number[t] for t in terms_of(text) if t in number])
+        counts = self.count(text)
         key = tuple(sorted(counts.items()))
         if key not in self.seen:
             if len(self.seen) > 50_000:
