@@ -27,7 +27,7 @@ _SYMBOLS = "#*$%&|<>"
 #: Rule: its ratio (of columns of features()) and its cutoffs, laxest first; above a cutoff is rejected.
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / nullif(word_chars, 0)", [round(0.5 - 0.02 * i, 2) for i in range(25)]),
-    "dup_lines": ("n_dup_lines * 10.0 / nullif(n_words, 0)", [round(1.0 - 0.04 * i, 2) for i in range(25)]),
+    "dup_lines": ("n_dup_lines * 10D / nullif(n_words, 0)", [round(1.0 - 0.04 * i, 2) for i in range(25)]),
     "repeats": ("n_repeat_words / nullif(n_words, 0)", [round(0.5 - 0.02 * i, 2) for i in range(25)]),
 }
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, brown, decontaminate, language, neardup, pii, quality, secrets, substrings, toxicity
 from .common import crc_mod_col, table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}
