@@ -195,7 +195,9 @@ def slow_components(docs, size, num, den):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
-def test_neardup_by_brute_force(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_neardup_by_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL", small)  # 0: nothing is broadcast
     r = random.Random(2)
     base = [f"w{r.randint(0, 400)}" for _ in range(70)]
     docs = []

@@ -8,9 +8,12 @@ number of postings, two such documents share one of the first ``coordinates - le
 prefix is posted and long lists are skipped; what the rest agrees in is counted on the signatures
 themselves. Pairs with ``least`` matches or more are confirmed on the full sets.
 
-Lists aren't expanded into all pairs. First each list is paired with its smallest member, its hub;
-the confirmed links give components. Then only members outside their hub's component are paired
-with the members of other components: a pair within one component can't change the components.
+Long lists aren't expanded into all pairs. First the members of each list are paired with its
+smallest, its hub, and lists of ``SHORT`` members or fewer in all pairs; confirmed links give
+components. Then two other hubs of each list meet its members of other components. Last come the members
+still outside their hub's component: they meet the members of other components by an exact prefix
+join on the shingles themselves, whose bounds on size and place leave few pairs even among copies
+that almost link. A pair within one component can't change the components, so no step loses a link.
 
 Defined results: nulls and texts without words have no shingles and link with nothing; with fewer
 words than a shingle the whole sequence is one; rows with equal ids are one node that links where
@@ -30,6 +33,15 @@ from .common import WordHashes, durable, lower_az, mix64, per_batch, words_of
 from .quality import binomial_at_most
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Lists up to this length are paired whole.
+SHORT = 8
+#: Numbers that a filter of ids holds at most; rows of a few numbers that are broadcast at most.
+BUCKETS, SMALL = 1 << 17, 100_000
+
+
+def _if_small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numbers a row, to be broadcast where it is counted to be small; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def shingles(words: list[str], size: int, hashes: WordHashes) -> np.ndarray:
@@ -119,10 +131,23 @@ def _enough_matches(pairs: DataFrame, nodes: DataFrame, coordinates: int, least:
     return per_batch(both, ["a", "b", "sig_a", "sig_b"], "a long, b long", make)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """The pairs whose full sets are as similar as wanted: the texts of their ends are read again."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(nodes.select(F.col("id").alias("doc_id"), "version").join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), ["doc_id", "version"])
+def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ``ids`` (doc_id): most others are passed by before the shuffle.
+
+    Few ids are broadcast. Of many, only their buckets are, at most ``BUCKETS`` numbers whatever the
+    input; that lets some others through, which the join then drops.
+    """
+    wanted = durable(nodes.select(F.col("id").alias("doc_id"), "version").join(_if_small(durable(ids.distinct())), "doc_id", "left_semi"))
+    if wanted.count() <= SMALL:
+        return docs.join(F.broadcast(wanted), ["doc_id", "version"]).select("doc_id", "text")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
+    some = docs.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi")
+    return some.join(wanted, ["doc_id", "version"]).select("doc_id", "text")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """The pairs with the Jaccard similarity of their full sets, ``common`` and ``total``: the texts of their ends are read again."""
+    texts = _texts(docs, nodes, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
 
     def sets():
         hashes = WordHashes()
@@ -131,56 +156,115 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, s
     known = per_batch(texts, ["doc_id", "text"], "id long, shingles binary", sets)
     both = pairs.join(known.toDF("a", "set_a"), "a").join(known.toDF("b", "set_b"), "b")
 
-    def check():
+    def compare():
         def f(a, b, x, y):
-            ok = np.zeros(len(a), bool)
+            common, total = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             for i, (s, t) in enumerate(zip(x, y, strict=True)):
                 u, v = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                if min(len(u), len(v)) * similarity.denominator >= similarity.numerator * max(len(u), len(v)):
-                    common = len(np.intersect1d(u, v, assume_unique=True))
-                    ok[i] = common * similarity.denominator >= similarity.numerator * (len(u) + len(v) - common)
-            return {"a": np.array(a, np.int64)[ok], "b": np.array(b, np.int64)[ok]}
+                common[i] = len(np.intersect1d(u, v, assume_unique=True))
+                total[i] = len(u) + len(v) - common[i]
+            return {"a": a, "b": b, "common": common, "total": total}
 
         return f
 
-    return per_batch(both, ["a", "b", "set_a", "set_b"], "a long, b long", check).distinct()
+    found = per_batch(both, ["a", "b", "set_a", "set_b"], "a long, b long, common long, total long", compare)
+    return durable(found.groupBy("a", "b").agg(F.max(F.struct("common", "total")).alias("s")).select("a", "b", "s.common", "s.total"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` (the smallest id reachable) of all ends of ``links`` (a, b)."""
     both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
     label = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    hint = F.broadcast if label.count() <= SMALL else lambda df: df
     while True:
-        around = both.join(label.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near")).withColumnRenamed("a", "id")
-        lower = label.join(around, "id").select("id", "component", F.least("component", "near").alias("to"))
+        around = both.join(hint(label.toDF("b", "near")), "b").groupBy("a").agg(F.min("near").alias("near")).withColumnRenamed("a", "id")
+        lower = around.join(hint(label), "id").select("id", "component", F.least("component", "near").alias("to"))
         far = label.toDF("to", "beyond")  # a node takes its label's own label too, so paths halve
-        new = durable(lower.join(far, "to").select("id", F.col("component").alias("was"), F.least("to", "beyond").alias("component")))
+        new = durable(lower.join(hint(far), "to").select("id", F.col("component").alias("was"), F.least("to", "beyond").alias("component")))
         label = new.select("id", "component")
         if not new.filter("was != component").limit(1).count():
             return label
 
 
+def _rest(members: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """Pairs of ``members`` (id, c, apart) of different components that may link, one of them apart, compared: ``a, b, common, total``.
+
+    An exact prefix join on the shingles themselves: a set's shingles are ordered by how many members
+    have them; sets that link share one of the first n - ceil(similarity * n) + 1, and, counted from
+    that place, enough are left in both to reach the overlap that their sizes ask for.
+    """
+    p, q = similarity.numerator, similarity.denominator
+
+    def sets():
+        hashes = WordHashes()
+
+        def f(ids, texts):
+            found = [shingles(words_of(lower_az(t or "")), size, hashes).view(np.int64) for t in texts]
+            return {"id": np.repeat(np.array(ids, np.int64), [len(s) for s in found]), "h": np.concatenate(found)}
+
+        return f
+
+    has = durable(per_batch(_texts(docs, nodes, members.select(F.col("id").alias("doc_id"))), ["doc_id", "text"], "id long, h long", sets).distinct())
+    often = has.groupBy("h").agg(F.count("*").alias("f"))
+    own = has.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o"))  # one document's own shingles
+    n = F.size("o")
+    prefix = F.slice("o", F.lit(1), n - F.ceil(n * p / q - 1e-9).cast("int") + 1)
+    posts = own.select("id", n.alias("n"), F.posexplode(prefix).alias("at", "o")).filter("o.f > 1").select(F.col("o.h").alias("h"), "id", "n", "at").join(_if_small(members), "id")
+    posts = durable(posts)
+    x, y = posts.filter("apart").alias("x"), posts.alias("y")
+    once = ~F.col("y.apart") | (F.col("x.id") < F.col("y.id"))
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    sizes = (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p) & (left * (p + q) >= (F.col("x.n") + F.col("y.n")) * p)
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & once & sizes
+    pairs = x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both")).distinct()
+    common = pairs.join(has.toDF("a", "h"), "a").join(has.toDF("b", "h"), ["b", "h"]).groupBy("a", "b", "both").agg(F.count("*").alias("common"))
+    return durable(common.select("a", "b", "common", (F.col("both") - F.col("common")).alias("total")))
+
+
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links: only the components that these touch are worked on."""
+    few = _if_small(found)
+    label = lambda c: few.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+    ends = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = components(ends.filter("a != b"))
+    known = found.join(_if_small(merged.toDF("component", "_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    fresh = merged.join(found.select("id"), "id", "left_anti")
+    return durable(known.unionByName(fresh))
+
+
 def link(docs: DataFrame, size: int, similarity: Fraction, coordinates: int = 64) -> tuple[DataFrame, DataFrame]:
     """(features, ``set_key, component`` of all sets) of ``doc_id, version, text``."""
     rows = durable(features(docs, size, coordinates))
-    sets = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("r"), F.max("sig").alias("sig"))
-    nodes = durable(sets.select("set_key", F.col("r.doc_id").alias("id"), "r.version", "sig"))
+    sets = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("r"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n"))
+    nodes = durable(sets.select("set_key", F.col("r.doc_id").alias("id"), "r.version", "sig", "n"))
     least = least_matches(similarity, coordinates)
     posts = durable(_prefixes(nodes, coordinates, least))
-    hubs = posts.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    posted = posts.join(hubs, "key")
-    confirm = lambda pairs: durable(_confirmed(durable(_enough_matches(pairs.filter("a < b").distinct(), nodes, coordinates, least)), docs, nodes, size, similarity))
-    links = confirm(posted.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    lists = posts.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).filter("k > 1")
+    posted = durable(posts.join(lists, "key"))
+    linked = lambda compared: compared.filter(F.col("common") * similarity.denominator >= F.col("total") * similarity.numerator).select("a", "b")
+    check = lambda pairs: linked(_compared(durable(_enough_matches(pairs.filter("a < b").distinct(), nodes, coordinates, least)), docs, nodes, size))
+
+    # first: every list's star, and short lists whole
+    star = posted.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    short = posted.filter(F.col("k") <= SHORT).select("key", "id", "hub")
+    whole = short.select("key", F.col("id").alias("a")).join(short.filter("id != hub").select("key", F.col("id").alias("b")), "key").select("a", "b")
+    links = check(star.union(whole))
     found = components(links)
-    # what the stars left apart: members outside their hub's component, with all of other components
-    mine = posted.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    mine = mine.join(found.toDF("hub", "hub_c"), "hub", "left").withColumn("apart", F.col("c") != F.coalesce("hub_c", "hub"))
-    apart = mine.filter("apart").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    inner = F.col("cx").isNotNull() & (F.col("cx") != F.col("c")) & (F.col("x") != F.col("id")) & (F.col("id") != F.col("hub"))
-    rest = apart.join(mine, "key").filter(inner).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    more = confirm(rest)
-    if more.limit(1).count():
-        found = components(links.union(more))
+
+    # then: two other hubs of each list, against other components only
+    labelled = lambda: posted.join(_if_small(found.toDF("id", "c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mine = labelled().filter(F.col("k") > SHORT)
+    firsts = [F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))) for turn in range(2)]
+    other = mine.groupBy("key").agg(F.array(*firsts).alias("h"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).filter("c_lo < c_hi").select("key", F.explode("h").alias("h"))
+    apart = mine.join(other, "key").filter(F.col("c") != F.col("h.c")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
+    found = joined(found, check(apart))
+
+    # last: what is still outside its hub's component, with all that it may link with
+    mine = labelled().filter(F.col("k") > SHORT).join(_if_small(found.toDF("hub", "hub_c")), "hub", "left").withColumn("apart", F.col("c") != F.coalesce("hub_c", "hub"))
+    open_lists = mine.groupBy("key").agg(F.max("apart").alias("open")).filter("open").select("key")
+    members = durable(mine.join(open_lists, "key", "left_semi").groupBy("id").agg(F.min("c").alias("c"), F.max("apart").alias("apart")))
+    more = linked(_rest(members, docs, nodes, size, similarity))
+    found = joined(found, more)
     return rows, nodes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
 
 
@@ -201,4 +285,4 @@ def survivors(docs: DataFrame, size: int = 5, similarity: Fraction = Fraction(4,
     own = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_version", F.xxhash64(text_col))
     rows, sets = link(own.select(F.col("_id").alias("doc_id"), F.col("_version").alias("version"), F.col(text_col).alias("text")), size, similarity, coordinates)
     gone = rows.join(sets, "set_key").filter("doc_id != component").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
-    return own.join(gone, ["_id", "_version"], "left_anti").dropDuplicates(["_id", "_version"]).select(*docs.columns)
+    return own.join(_if_small(durable(gone)), ["_id", "_version"], "left_anti").dropDuplicates(["_id", "_version"]).select(*docs.columns)
