@@ -167,9 +167,9 @@ def _bucket_minima(packed: DataFrame, width: int) -> DataFrame:
 
 def removed(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 50_000) -> DataFrame:
     """``doc_id, version, first, n``: stretches of windows that start in a document with a smaller id."""
-    found = durable(runs(docs, width, gram))
+    found = runs(docs, width, gram)
     shared = found.groupBy("key").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("key")
-    mine = found.join(shared, "key")
+    mine = durable(found.join(shared, "key"))
     of = F.struct("doc_id", "version", "first", "n", "at")
     chosen = durable(mine.groupBy("key", "sig").agg(F.min(of).alias("r"), F.max("doc_id").alias("last")))
     many = chosen.groupBy("key").agg(F.count("*").alias("_k")).filter(F.col("_k") > hot).select("key", F.lit(True).alias("hot"))
