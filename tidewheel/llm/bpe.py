@@ -26,7 +26,9 @@ from .common import per_batch
 _END = 0xE000
 _LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 #: Words in one trie, words remembered (twice), characters looked at together.
-_NEW_WORDS, _REMEMBERED, _AT_ONCE = 50_000, 250_000, 4_000_000
+_NEW_WORDS, _REMEMBERED, _AT_ONCE = 50_000, 150_000, 2_000_000
+#: Bytes of texts whose results a worker holds at once.
+_PIECE = 4_000_000
 #: Marks a special token among words; no word holds a space.
 _SPECIAL = " "
 
@@ -254,4 +256,4 @@ def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, dige
         return f
 
     kind = dict(docs.dtypes)[id_col]
-    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make)
+    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make, piece_bytes=_PIECE)

@@ -52,8 +52,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
-    """Map Arrow batches of ``columns``: ``make()`` once a task gives ``f(*lists) -> {column: values}``."""
+def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]], piece_bytes: int | None = None) -> DataFrame:
+    """Map Arrow batches of ``columns``: ``make()`` once a task gives ``f(*lists) -> {column: values}``.
+
+    With ``piece_bytes`` a batch is worked on in pieces of about that size, which bounds what a
+    worker holds at once where results are as large as the texts.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -61,8 +65,9 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            step = max(1, whole.num_rows * piece_bytes // max(1, whole.nbytes)) if piece_bytes else max(1, whole.num_rows)
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                 out = f(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
                 arrays = [pa.array(out[k.name], k.type) for k in kinds]
                 if len(arrays[0]):
