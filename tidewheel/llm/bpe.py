@@ -26,9 +26,9 @@ from .common import per_batch
 _END = 0xE000
 _LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 #: Words in one trie, words remembered (twice), characters looked at together.
-_NEW_WORDS, _REMEMBERED, _AT_ONCE = 50_000, 150_000, 2_000_000
+_NEW_WORDS, _REMEMBERED, _AT_ONCE = 15_000, 80_000, 1_000_000
 #: Bytes of texts whose results a worker holds at once.
-_PIECE = 4_000_000
+_PIECE = 2_000_000
 #: Marks a special token among words; no word holds a space.
 _SPECIAL = " "
 
@@ -96,7 +96,7 @@ class TrieEncoder:
         """Whether the characters of both tokens merge into just these tokens; a = -1: into b alone."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 300_000:
                 self._pairs.clear()
             left = self._string[a] if a >= 0 else ""
             known = self._pairs[a, b] = self._merge(left + self._string[b], len(left))
