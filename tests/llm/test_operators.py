@@ -283,6 +283,19 @@ def test_toxicity_learns(spark, edges, empty):
     assert nothing is None and toxicity.predict(d, nothing).filter("score != 0").count() == 0 and toxicity.predict(empty, model).count() == 0
 
 
+def test_toxicity_of_many_toxic_labels(spark):
+    r = random.Random(3)
+    bad = ["stupid", "trash", "scum", "moron"]
+    text = lambda i: " ".join([f"w{r.randint(0, 300)}" for _ in range(30)] + (r.sample(bad, 2) if i % 20 < 9 else []))
+    d = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(i, int(i % 20 < 9)) for i in range(400)], "doc_id long, toxic int"))
+    got = {x.doc_id: x.predicted for x in toxicity.predict(d, model).collect()}
+    assert [got[i] for i in range(600)] == [int(i % 20 < 9) for i in range(600)]
+    # the length is that of the whole text: words that no example has count too
+    score = toxicity.Scorer(model)
+    assert score("stupid trash")[0] > score("stupid " + " ".join(f"strange{i}" for i in range(20_000)))[0]
+
+
 def test_isotonic():
     low, value = toxicity.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]))
     assert value.tolist() == [0, 0.5, 1]

@@ -1,14 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over an inverted index.
 
 Examples are a bounded sample of labelled rows (``examples`` in all, the first by a hash of the
-id). Terms are the words of the examples whose presence goes with the label (in five of
-them at least, chi-squared of the 2x2 table ``least_chi2`` or more, ``LIFT`` times as often toxic, at most ``terms``); their document frequencies are counted over
-all documents. The index holds, for each term, the examples that have it with their normalised
-weights, and for each block of examples the largest of these weights. A query adds its terms'
-block maxima to bounds, takes blocks from the highest bound down and stops when the k-th best
-cosine is above every bound left: so the k nearest are exact. Their votes, weighted by cosine,
-give a raw score; isotonic regression over the examples' own scores, each found without itself,
-makes it a probability.
+id). Terms are all words of the examples and their beginnings; none is left out. Their document
+frequencies are counted over all documents. A term's weight is TF-IDF times how strongly its presence
+goes with the label, in either direction: (chi2 + 1) / examples of the 2x2 table, so a term that
+says nothing still weighs what chance gives. Vectors have unit length over the whole text: a word
+that no example has counts with the largest idf and the least such factor. A query's cosines with
+all examples that share a term are added up, so the k nearest are exact. Their votes, weighted by
+cosine, give a raw score; isotonic regression over the examples' own scores, each found without
+itself, makes it a probability.
 
 Defined results: null and empty texts, and texts without any term, have no neighbours and get the
 calibrated rate of such examples; without labelled rows every score is 0; ties in cosine go to the
@@ -30,9 +30,6 @@ from pyspark.sql import functions as F
 from .common import durable, per_batch
 
 _TERM = re.compile(r"[^\W_]+")
-BLOCK = 64
-#: A term's share of toxic examples is at least so many times that of all.
-LIFT = 3
 #: Lengths of the beginnings of words that are terms too.
 BEGINNINGS = (5, 7)
 
@@ -47,65 +44,60 @@ def expanded(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts the chosen terms in texts; what a word gives is remembered for a bounded number of words."""
+    """Counts the terms in texts; what a word gives is remembered for a bounded number of words."""
 
     def __init__(self, number: dict[str, int]):
         self.number, self.known = number, {}
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        known, out = self.known, {}
-        if len(known) > 400_000:
+    def __call__(self, text: str | None) -> tuple[dict[int, int], list[int]]:
+        """Counts of the examples' terms, and those of words that no example has."""
+        known, out, strange = self.known, {}, []
+        if len(known) > 200_000:
             known.clear()
         for w, n in Counter(terms_of(text)).items():
             own = known.get(w)
             if own is None:
                 own = known[w] = tuple(self.number[t] for t in expanded(w) if t in self.number)
+            if w not in self.number:
+                strange.append(n)
             for t in own:
                 out[t] = out.get(t, 0) + n
-        return out
+        return out, strange
 
 
-class BlockMaxIndex:
-    """Inverted index over rows of (term, weight) with unit length, in blocks of rows."""
+class InvertedIndex:
+    """Inverted index over rows of (term, weight) with unit length or less."""
 
     def __init__(self, rows: list[dict[int, float]], n_terms: int):
         self.n = len(rows)
-        self.blocks = (self.n + BLOCK - 1) // BLOCK
-        self.highest = np.zeros((n_terms, self.blocks))
-        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in range(n_terms)]
-        for i, row in enumerate(rows):
-            for t, w in row.items():
-                lists[t][0].append(i)
-                lists[t][1].append(w)
-                self.highest[t, i // BLOCK] = max(self.highest[t, i // BLOCK], w)
-        self.rows = [np.array(a, np.int64) for a, _ in lists]
-        self.weights = [np.array(b) for _, b in lists]
-        self.block = [r // BLOCK for r in self.rows]
+        sizes = [len(row) for row in rows]
+        term = np.fromiter((t for row in rows for t in row), np.int64, sum(sizes))
+        order = np.argsort(term, kind="stable")
+        self.rows = np.repeat(np.arange(self.n), sizes)[order]
+        self.weights = np.fromiter((w for row in rows for w in row.values()), float, sum(sizes))[order]
+        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=n_terms))]
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest with a cosine above 0; ties to the smaller row."""
-        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
         if not query:
-            return rows, cosines
-        bound = sum(q * self.highest[t] for t, q in query.items())
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        at, size = 0, 8
-        while at < len(order) and (len(rows) < k or bound[order[at]] >= cosines[k - 1] - 1e-9):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at : at + size]] = True
-            at, size = at + size, size * 2
-            score = np.zeros(self.n)
-            for t, q in query.items():
-                here = chosen[self.block[t]]
-                score[self.rows[t][here]] += q * self.weights[t][here]
-            if without >= 0:
-                score[without] = 0
-            new = score.nonzero()[0]
-            rows, cosines = np.r_[rows, new], np.round(np.r_[cosines, score[new]], 9)
-            best = np.lexsort((rows, -cosines))[:k]
-            rows, cosines = rows[best], cosines[best]
-        return rows, cosines
+            return np.zeros(0, np.int64), np.zeros(0)
+        term = np.fromiter(query, np.int64, len(query))
+        low, high = self.start[term], self.start[term + 1]
+        parts = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        held = np.concatenate([self.weights[x] for x in parts])
+        held *= np.repeat(np.fromiter(query.values(), float, len(query)), high - low)
+        score = np.round(np.bincount(np.concatenate([self.rows[x] for x in parts]), held, self.n), 9)
+        if without >= 0:
+            score[without] = 0
+        rows = score.nonzero()[0]
+        if len(rows) > k:
+            rows = rows[score[rows] >= np.partition(score[rows], -k)[-k]]
+        rows = rows[np.lexsort((rows, -score[rows]))[:k]]
+        return rows, score[rows]
+
+
+#: The name of the index when it skipped blocks of rows by bounds, which all terms make too loose.
+BlockMaxIndex = InvertedIndex
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +115,15 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array([o[0] for o in out]), np.array([o[1] for o in out])
 
 
-def _weighted(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    row = {t: (1 + math.log(c)) * float(idf[t]) for t, c in counts.items() if idf[t] > 0}
-    norm = math.sqrt(math.fsum(w * w for w in row.values()))
-    return {t: w / norm for t, w in sorted(row.items())} if norm else {}
+def _weighted(counts: dict[int, int], weight: np.ndarray, strange: list[int] = [], other: float = 0.0) -> dict[int, float]:  # noqa: B006
+    """Unit vector of a text's terms; ``strange`` counts of other words, of weight ``other``, only lengthen it."""
+    if not counts:
+        return {}
+    term = np.fromiter(counts, np.int64, len(counts))
+    w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * weight[term]
+    norm = math.sqrt(float(w @ w) + sum(((1 + math.log(n)) * other) ** 2 for n in strange))
+    keep = w > 0
+    return dict(zip(term[keep].tolist(), (w[keep] / norm).tolist(), strict=True)) if norm else {}
 
 
 def _vote(rows: np.ndarray, cosines: np.ndarray, labels: np.ndarray, empty: float, rate: float) -> float:
@@ -134,7 +131,7 @@ def _vote(rows: np.ndarray, cosines: np.ndarray, labels: np.ndarray, empty: floa
     return (float((cosines * labels[rows]).sum()) + rate) / (float(cosines.sum()) + 1) if len(rows) else empty
 
 
-def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, terms: int = 1024, least_chi2: float = 18.0, k: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
+def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """Model from a bounded sample of ``labelled`` (``id_col``, ``label_col``); frequencies over all ``docs``."""
     one = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).alias("_label"))
     first = one.groupBy(id_col).agg(F.max("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(examples)
@@ -159,14 +156,15 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, terms: int =
     size, toxic = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not size:
         return None
-    # 2x2 table of each term: a toxic with it, b others with it, c toxic without, d others without
-    a, b = F.col("a"), F.col("df") - F.col("a")
-    c, d = F.lit(toxic) - a, F.lit(size - toxic) - b
-    chi2 = F.pow(a * d - b * c, F.lit(2.0)) * size / F.nullif((a + b) * (c + d) * (a + c) * (b + d), F.lit(0)).cast("double")
     by_term = bags.select("label", F.explode("term").alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    chosen = by_term.filter(F.col("df") >= 5).withColumn("chi2", chi2).filter((F.col("chi2") >= least_chi2) & (a * size >= LIFT * F.col("df") * toxic)).orderBy(F.desc("chi2"), "term").limit(terms)
-    names = sorted(r["term"] for r in chosen.select("term").collect())
+    table = by_term.orderBy("term").toArrow()  # the terms of a bounded sample
+    names = table.column("term").to_pylist()
     number = {t: i for i, t in enumerate(names)}
+    # 2x2 table of each term: a toxic with it, b others with it, c toxic without, d others without
+    a, b = table.column("a").to_numpy(), table.column("df").to_numpy() - table.column("a").to_numpy()
+    c, d = toxic - a, size - toxic - b
+    product = (a + b) * (c + d) * (a + c) * (b + d)
+    chi2 = np.where(product > 0, (a * d - b * c) ** 2 * size / np.maximum(product, 1), 0.0)
 
     def frequency():
         count = Terms(number)
@@ -174,59 +172,59 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, terms: int =
         def f(texts):
             n = Counter()
             for t in texts:
-                n.update(count(t).keys())
+                n.update(count(t)[0].keys())
             return {"term": [*n, -1], "n": [*n.values(), len(texts)]}
 
         return f
 
-    df = {r["term"]: r["n"] for r in per_batch(docs, [text_col], "term int, n long", frequency).groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df[-1]) / (1 + df.get(i, 0))) for i in range(len(names))])
+    found = per_batch(docs, [text_col], "term int, n long", frequency).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(names) + 1)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()  # the last is -1, all documents
+    idf = np.log((1 + df[-1]) / (1 + df[:-1]))
+    weight = idf * (chi2 + 1) / size
+    other = float(idf.max(initial=0.0)) / size
     known = _sparse(bags, number)
-    vectors = [_weighted(dict(zip(t, n, strict=True)), idf) for _, _, t, n in known]
+    vectors = [_weighted(dict(zip(t.tolist(), n.tolist(), strict=True)), weight) for _, _, t, n in known]
     labels = np.array([r[1] for r in known], float)
-    index, rate = BlockMaxIndex(vectors, len(names)), float(labels.mean())
+    index, rate = InvertedIndex(vectors, len(names)), float(labels.mean())
     bare = np.array([not v for v in vectors])
     empty = float(labels[bare].mean()) if bare.any() else rate
     raw = np.array([_vote(*index.nearest(v, k, i), labels, empty, rate) for i, v in enumerate(vectors)])
     steps = isotonic(raw, labels)
-    return {"number": number, "idf": idf, "index": index, "labels": labels, "ids": [r[0] for r in known], "empty": empty, "rate": rate, "steps": steps, "k": k}
+    return {"number": number, "weight": weight, "other": other, "index": index, "labels": labels, "ids": [r[0] for r in known], "empty": empty, "rate": rate, "steps": steps, "k": k}
 
 
 def _sparse(bags: DataFrame, number: dict[str, int]) -> list[tuple]:
-    """(id, label, terms, counts) of the sample, chosen terms only, by id."""
+    """(id, label, terms, counts) of the sample by id."""
 
     def make():
         def f(ids, labels, terms, counts):
-            kept = [[(number[t], n) for t, n in zip(ts, ns, strict=True) if t in number] for ts, ns in zip(terms, counts, strict=True)]
-            return {"id": ids, "label": labels, "term": [[t for t, _ in k] for k in kept], "n": [[n for _, n in k] for k in kept]}
+            return {"id": ids, "label": labels, "term": [[number[t] for t in ts] for ts in terms], "n": counts}
 
         return f
 
     kind = dict(bags.dtypes)["id"]
-    rows = per_batch(bags, ["id", "label", "term", "n"], f"id {kind}, label int, term array<int>, n array<int>", make).collect()
-    return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1], r[2], r[3]))
+    found = per_batch(bags, ["id", "label", "term", "n"], f"id {kind}, label int, term array<int>, n array<int>", make).toArrow()
+    ids, labels = found.column("id").to_pylist(), found.column("label").to_pylist()
+    terms, counts = ([x.values.to_numpy() for x in found.column(c)] for c in ("term", "n"))
+    return [(ids[i], labels[i], terms[i], counts[i]) for i in sorted(range(len(ids)), key=lambda i: (ids[i], labels[i], terms[i].tolist(), counts[i].tolist()))]
 
 
 class Scorer:
-    """Scores texts by a model; equal bags of terms are looked up once, for a bounded number of them."""
+    """Scores texts by a model."""
 
     def __init__(self, model: dict | None, evidence: int = 3):
-        self.model, self.evidence, self.seen = model, evidence, {}
+        self.model, self.evidence = model, evidence
         self.count = Terms(model["number"]) if model else None
 
     def __call__(self, text: str | None) -> tuple[float, list]:
         m = self.model
         if m is None:
             return 0.0, []
-        counts = self.count(text)
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            rows, cosines = m["index"].nearest(_weighted(counts, m["idf"]), m["k"])
-            raw, (low, value) = _vote(rows, cosines, m["labels"], m["empty"], m["rate"]), m["steps"]
-            self.seen[key] = float(value[max(0, np.searchsorted(low, raw, "right") - 1)]), [m["ids"][r] for r in rows[: self.evidence]]
-        return self.seen[key]
+        counts, strange = self.count(text)
+        rows, cosines = m["index"].nearest(_weighted(counts, m["weight"], strange, m["other"]), m["k"])
+        raw, (low, value) = _vote(rows, cosines, m["labels"], m["empty"], m["rate"]), m["steps"]
+        return float(value[max(0, np.searchsorted(low, raw, "right") - 1)]), [m["ids"][r] for r in rows[: self.evidence]]
 
 
 def predict(docs: DataFrame, model: dict | None, threshold: float = 0.3, evidence: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
