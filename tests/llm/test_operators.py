@@ -55,6 +55,16 @@ def test_bpe_equals_the_library(spark, sf):
     assert e.decode(e.encode("Hello there")) == "hello</w> there</w>"
 
 
+def test_bpe_text_of_many_words():
+    e = bpe.TrieEncoder(bpe.default_path())
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    many = " ".join([letters(i) for i in range(100_000)])
+    assert [n for n, _, _ in e.encode_batch(["aaaa"])] and len(set(many.split())) == 100_000
+    _, ids, _ = e.encode_batch([many])[0]
+    assert ids.split()[: len(e.encode("aaaa baaa"))] == [str(i) for i in bpe.TrieEncoder(bpe.default_path()).encode("aaaa baaa")]
+    assert e.encode_batch([many])[0][1] == ids and len(e._known) <= bpe._REMEMBERED
+
+
 def test_bpe_edges(edges, empty):
     got = bpe.digests(edges)
     assert got.count() == edges.count() and bpe.digests(empty).count() == 0

@@ -159,23 +159,26 @@ class TrieEncoder:
                 stack += [(below, depth + 1, keep + symbol) for symbol, below in node.items()]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode what isn't known yet; an older half of the memory goes when it is full."""
-        if len(self._known) + len(words) > _REMEMBERED:
-            self._older, self._known = self._known, {}
-        new, text_of, older = [], self.text_of, self._older
-        for w in words:
-            found = older.get(w)
-            if found is None:
+    def _learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
+        """What all words of a run give, encoding what isn't known yet; an older half of the memory goes when it is full."""
+        found, older, text_of, new = self._known, self._older, self.text_of, []
+        fresh = words.difference(found)
+        if len(found) + len(fresh) > _REMEMBERED:  # what the run needs goes into the new half
+            self._older, found = found, {w: found[w] for w in words.intersection(found)}
+        for w in fresh:
+            f = older.get(w)
+            if f is None:
                 new.append(w)
             else:
-                self._known[w] = found
+                found[w] = f
         for w in [w for w in new if w[0] == _SPECIAL]:
-            self._known[w] = str(self.special[w[1:]]), w[1:]
+            found[w] = str(self.special[w[1:]]), w[1:]
         new = [w for w in new if w[0] != _SPECIAL]
         for i in range(0, len(new), _NEW_WORDS):
             for w, ids in self.encode_words(new[i : i + _NEW_WORDS]).items():
-                self._known[w] = " ".join(map(str, ids)), " ".join([text_of[x] for x in ids])
+                found[w] = " ".join(map(str, ids)), " ".join([text_of[x] for x in ids])
+        self._known = found if len(found) <= _REMEMBERED else {}
+        return found
 
     def parts(self, text: str | None) -> list[str]:
         """Words and special tokens (marked) of a whole text in order."""
@@ -199,12 +202,7 @@ class TrieEncoder:
                 until += 1
             parts = [self.parts(t) for t in texts[at:until]]
             at = until
-            words = set().union(*parts)
-            new = words.difference(self._known)
-            self._learn(new)
-            if again := words.difference(self._known):  # the memory was renewed meanwhile
-                self._learn(again)
-            known = self._known
+            known = self._learn(set().union(*parts))
             for p in parts:
                 found = [known[w] for w in p]
                 ids = " ".join([f[0] for f in found])
