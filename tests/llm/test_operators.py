@@ -253,6 +253,15 @@ def test_secret_lexing():
     assert of("colour = 'Zx9#kQ2!vB7mP4wT'") == [] and of("password = 'hello'") == []
 
 
+def test_long_secrets_masked_whole(spark):
+    r = random.Random(4)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1700))
+    forms = [f'{{"private_key": "{key}"}}', f"PRIVATE_KEY={key}\n", f"run --private-key {key} now", f"<credential>{key}</credential>"]
+    d = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = [x.text for x in secrets.redact(d).orderBy("doc_id").collect()]
+    assert got == [f.replace(key, "[SECRET]") for f in forms]
+
+
 def test_secrets_masked(spark, edges, empty):
     d = spark.createDataFrame([(1, 'a token = "abcdef0123456789" b ' + "0f" * 20), (2, None)], "doc_id long, text string")
     masked = {r.doc_id: r.text for r in secrets.redact(d).collect()}

@@ -29,9 +29,9 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
 _PAIR = re.compile(
-    rf"""(?:(?P<tag><(?P<t>{_NAME})>(?P<inner>[^<>\s]{{1,512}})</(?P=t)>)"""
-    rf"""|(?P<flag>(?<![\w-])--(?P<f>{_NAME})[ =](?P<fv>[^\s"']{{1,512}}))"""
-    rf"""|(?P<q1>["']?)(?P<name>{_NAME})(?P=q1)[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<q>["'`])(?P<lit>[^"'`\n]{{1,512}})(?P=q)|(?P<bare>[^\s"'`,;(){{}}\[\]<>|]{{1,512}})))"""
+    rf"""(?:(?P<tag><(?P<t>{_NAME})>(?P<inner>[^<>\s]+)</(?P=t)>)"""
+    rf"""|(?P<flag>(?<![\w-])--(?P<f>{_NAME})[ =](?P<fv>[^\s"']+))"""
+    rf"""|(?P<q1>["']?)(?P<name>{_NAME})(?P=q1)[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<q>["'`])(?P<lit>[^"'`\n]+)(?P=q)|(?P<bare>[^\s"'`,;(){{}}\[\]<>|]+)))"""
 )
 _NAME_ONLY = re.compile(rf"{_NAME}\Z")
 #: Parts of names and how sensitive they are.
