@@ -365,6 +365,36 @@ def test_decontamination(spark, edges, empty):
     assert decontaminate.clean(edges, b).columns == edges.columns
 
 
+def test_decontamination_of_long_items(spark):
+    r = random.Random(21)
+    text = lambda n: " ".join(f"v{int(r.paretovariate(0.7))}" if r.random() < 0.4 else f"u{r.randint(0, 4000)}" for _ in range(n))
+    items = {n: text(n) for n in (40, 100, 200, 500, 1000)}
+    most = lambda t: " ".join(w for i, w in enumerate(t.split()) if i % 5 < 4)
+    docs = [(i, text(300)) for i in range(40)]
+    docs += [(100 + n, f"{text(130)} {t} {text(90)}") for n, t in items.items()] + [(5000 + n, f"{text(70)} {most(t)} {text(300)}") for n, t in items.items()]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.hits(d, b).collect()}
+    assert got == {(k + n, n) for n in items for k in (100, 5000)}
+    assert decontaminate.clean(d, b).count() == 40
+
+
+def test_decontamination_recall_with_more_items_than_rank(spark):
+    r = random.Random(22)
+    text = lambda n: [f"u{r.randint(0, 2500)}" for _ in range(n)]
+    items = [(i, text(r.randint(20, 60))) for i in range(320)]
+    docs = []
+    for i in range(60):
+        held = [w for w in items[5 * i][1] if r.random() < 0.8]
+        docs.append((i, " ".join(text(60) + held + text(r.randint(10, 80)))))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    every = [decontaminate.Item(i, " ".join(t)) for i, t in items]
+    confirmed = lambda share, told: share >= 0.7 or share >= 0.5 and told >= 0.8
+    exact = {(i, x.id) for i, t in docs for x in every if confirmed(*x.best(t.split(), 0, len(t.split())))}
+    got = {(x.doc_id, x.item_id) for x in decontaminate.hits(d, b).collect()}
+    print(f"recall {len(got & exact) / len(exact):.3f} of {len(exact)}")
+    assert len(exact) > 40 and len(got & exact) >= 0.95 * len(exact)
+
+
 # -- 9 PII --------------------------------------------------------------------------------------------
 
 
