@@ -417,6 +417,20 @@ def test_pseudonyms(spark, edges, empty):
     assert pii.pseudonymise(empty, "k").count() == 0
 
 
+def test_spaced_ibans_and_dates_with_slashes(spark):
+    text = "GB82WEST12345698765432 or GB82 WEST 1234 5698 7654 32, on 28/02/2021 (2021/02/28, 2021-02-28) not 31/02/2021, 12/31/2021 or GB83 WEST 1234 5698 7654 32"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = pii.pseudonymise(d, "k")
+    got = out.first()
+    assert (got.n_iban, got.n_date) == (2, 3) and "28/02/2021" not in got.text and "7654 32," not in got.text
+    assert got.text.endswith(" not 31/02/2021, 12/31/2021 or GB83 WEST 1234 5698 7654 32")
+    a, b = re.match(r"(\w+) or ([A-Z0-9 ]+),", got.text).groups()
+    assert a == b.replace(" ", "") and re.fullmatch(r"[A-Z]{2}\d\d WEST \d{4} \d{4} \d{4} \d\d", b)
+    (p, q, r), = re.findall(r"(\d\d/\d\d/\d{4}) \((\d{4}/\d\d/\d\d), (\d{4}-\d\d-\d\d)\)", got.text)
+    assert q.replace("/", "-") == r == "-".join(reversed(p.split("/")))
+    assert pii.pseudonymise(out.select("doc_id", "text"), "k", inverse=True).first().text == text
+
+
 def test_feistel_is_a_permutation(spark):
     n = 17 * 23
     d = spark.range(n).select(pii.feistel((F.col("id") / 23).cast("long"), F.col("id") % 23, F.lit(17), F.lit(23), "k", "t", False).alias("s"))

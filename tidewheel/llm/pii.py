@@ -6,7 +6,9 @@ theirs, IPv4 by its octets, US social security numbers by their ranges, dates by
 keyed Feistel network, whose halves are numbers modulo the sizes of the two parts, so every valid
 value has one pseudonym of the same kind, equal values stay linked across documents, however their
 separators are written, and ``inverse=True`` with the key gives the value back. Check digits are
-recomputed; separators, country codes, domains and letter case stay. What fails validation stays.
+recomputed; separators, country codes, domains and letter case stay. What fails validation stays. The separators
+known are spaces and hyphens in cards, spaces between groups of four in IBANs, and - or / in dates;
+a card with other digits a space or hyphen away is validated together with them, and so stays.
 
 It is one narrow projection: no shuffle, no state, text stays in the JVM.
 
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 KINDS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
-    "date": r"(?<![\p{L}\p{N}\-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![\p{N}\-])",
+    "date": r"(?<![\p{L}\p{N}\-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![\p{N}\-])|(?<!/)(?:(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![\p{N}/]))",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}\-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\p{N}\-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{N}\-])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -98,6 +100,7 @@ def _luhn(d: Column) -> Column:
 
 
 def _mod97(iban: Column) -> Column:
+    iban = F.replace(iban, F.lit(" "), F.lit(""))
     moved = F.concat(iban.substr(F.lit(5), F.length(iban)), iban.substr(F.lit(1), F.lit(4)))
     step = lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + F.try_to_number(c, F.lit("9")).cast("int")) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
     return F.aggregate(F.split(moved, ""), F.lit(0), step)
@@ -125,11 +128,19 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
     return _bind(out, lambda s: F.concat_ws(".", *halves(s["x"]), *halves(s["y"])))
 
 
+def _day(m: Column) -> Column:
+    """The day of yyyy-mm-dd, yyyy/mm/dd or dd/mm/yyyy; null if there is none."""
+    iso = F.when(m.rlike("^[0-9]{2}/"), F.concat_ws("-", m.substr(F.lit(7), F.lit(4)), m.substr(F.lit(4), F.lit(2)), m.substr(F.lit(1), F.lit(2)))).otherwise(F.translate(m, "/", "-"))
+    return F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
+
+
 def _date(m: Column, key: str, inverse: bool) -> Column:
     # 73,049 days from 1900 to 2099 are 17 times 4297
-    n = F.datediff(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1900-01-01").cast("date"))
+    n = F.datediff(_day(m), F.lit("1900-01-01").cast("date"))
     out = feistel(F.floor(n / 4297), n % 4297, F.lit(17), F.lit(4297), key, "date", inverse)
-    return _bind(out, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["x"] * 4297 + s["y"]).cast("int")).cast("string"))
+    new = lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["x"] * 4297 + s["y"]).cast("int"))
+    form = lambda d: F.when(m.rlike("^[0-9]{2}/"), F.date_format(d, "dd/MM/yyyy")).when(m.contains("/"), F.date_format(d, "yyyy/MM/dd")).otherwise(d.cast("string"))
+    return _bind(out, lambda s: form(new(s)))
 
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
@@ -185,7 +196,7 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         return whole & F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
     if kind == "date":
-        return whole & F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).isNotNull()
+        return whole & _day(m).isNotNull()
     if kind == "ssn":
         return whole & ~m.rlike("^(?:000|666|9)|-00-|-0000$")
     return whole
