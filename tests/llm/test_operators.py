@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe, brown, decontaminate, language, neardup, pii, quality, secrets, substrings, toxicity
-from tidewheel.llm.common import crc_mod, lower_az, words_of
+from tidewheel.llm.common import HashTable, Tokens, crc_mod, lower_az, words_of
 from tidewheel.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -273,18 +273,37 @@ def test_secrets_masked(spark, edges, empty):
 # -- 7 toxicity ---------------------------------------------------------------------------------------
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("dense", [0.05, 0.2, 2.0])
+def test_nearest_is_exact(dense):
     r = np.random.default_rng(5)
     rows = []
     for _ in range(500):
-        t = r.choice(40, r.integers(1, 6), replace=False)
+        t = np.sort(r.choice(40, r.integers(1, 6), replace=False))
         w = r.random(len(t))
-        rows.append(dict(zip(t.tolist(), (w / np.linalg.norm(w)).tolist(), strict=True)))
-    index = toxicity.BlockMaxIndex(rows, 40)
-    for q in rows[:60]:
-        got, cos = index.nearest(q, 10)
-        want = sorted(((-round(sum(q[t] * x[t] for t in q if t in x), 9), i) for i, x in enumerate(rows)), key=lambda v: v)[:10]
-        assert [i for v, i in want if v < 0] == got.tolist() and np.allclose([-v for v, _ in want if v < 0], cos, atol=1e-8)
+        rows.append(dict(zip(t.tolist(), (w / np.linalg.norm(w)).astype(np.float32).astype(float).tolist(), strict=True)))
+    flat = lambda rows: (np.cumsum([0, *map(len, rows)]), np.array([t for x in rows for t in x], np.int64), np.array([w for x in rows for w in x.values()]))
+    bound, term, weight = flat(rows)
+    index = toxicity.BlockMaxIndex(np.repeat(np.arange(500), np.diff(bound)), term, weight, 500, 40, kin=np.array([min(x) for x in rows]), dense=dense)
+    queries = [*rows[:60], {}]
+    for own in (None, np.arange(61)):
+        for i, (q, (got, cos)) in enumerate(zip(queries, index.nearest(*flat(queries), 10, own, 7), strict=True)):
+            want = sorted(((-round(sum(q[t] * x[t] for t in q if t in x), 9), j) for j, x in enumerate(rows) if own is None or j != i), key=lambda v: v)[:10]
+            assert [j for v, j in want if v < 0] == got.tolist() and np.allclose([-v for v, _ in want if v < 0], cos, atol=1e-8)
+
+
+def test_hashed_tokens(spark, sf):
+    texts = [t for _, t in rows_of(spark, sf)[:150]] + [None, "", "İstanbul ΟΔΟΣ x_y²³ 中文字 \ud800 a", "b" * 3000]
+    tokens, seen = Tokens(texts), {}
+    words = [w for t in texts for w in re.findall(r"[^\W_]+", (t or "").lower())]
+    assert len(tokens.start) == len(words) and np.diff(tokens.bound).tolist() == [len(re.findall(r"[^\W_]+", (t or "").lower())) for t in texts]
+    hashes = tokens.words()
+    for w, h in zip(words, hashes.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) and np.array_equal(Tokens(texts[70:]).words(), hashes[tokens.bound[70] :])
+    at, first = tokens.beginnings(5)
+    assert at.tolist() == [i for i, w in enumerate(words) if len(w) > 5] and len(set(first.tolist())) == len({w[:5] for w in words if len(w) > 5}) and not set(first.tolist()) & set(hashes.tolist())
+    table = HashTable(np.unique(hashes))
+    assert np.array_equal(table(np.unique(hashes)), np.arange(len(seen))) and (table(first) == -1).all() and HashTable(hashes[:0])(hashes).max() == -1
 
 
 def test_toxicity_learns(spark, edges, empty):
@@ -312,7 +331,8 @@ def test_toxicity_of_many_toxic_labels(spark):
     assert [got[i] for i in range(600)] == [int(i % 20 < 9) for i in range(600)]
     # the length is that of the whole text: words that no example has count too
     score = toxicity.Scorer(model)
-    assert score("stupid trash")[0] > score("stupid " + " ".join(f"strange{i}" for i in range(20_000)))[0]
+    short, long = score(["stupid trash", "stupid " + " ".join(f"strange{i}" for i in range(20_000))])
+    assert short[0] > long[0]
 
 
 def test_isotonic():

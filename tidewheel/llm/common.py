@@ -52,30 +52,68 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]], piece_bytes: int | None = None) -> DataFrame:
-    """Map Arrow batches of ``columns``: ``make()`` once a task gives ``f(*lists) -> {column: values}``.
+#: Bytes of rows that a worker turns into Python values at once.
+PIECE = 1_000_000
 
-    With ``piece_bytes`` a batch is worked on in pieces of about that size, which bounds what a
-    worker holds at once where results are as large as the texts.
-    """
+
+def pieces(batch: pa.RecordBatch, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch of about ``size`` bytes each; a longer row is a slice of its own."""
+    step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
+def _kinds(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _batch(out: dict, kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[k.name], k.type) for k in kinds], kinds.names)
+
+
+def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]], piece_bytes: int = PIECE) -> DataFrame:
+    """Map Arrow batches of ``columns``: ``make()`` once a task gives ``f(*lists) -> {column: values}``.
+
+    A batch is worked on in pieces of about ``piece_bytes``, which bounds what a worker holds at once.
+    """
+    kinds = _kinds(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for whole in batches:
-            step = max(1, whole.num_rows * piece_bytes // max(1, whole.nbytes)) if piece_bytes else max(1, whole.num_rows)
-            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                out = f(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-                arrays = [pa.array(out[k.name], k.type) for k in kinds]
-                if len(arrays[0]):
-                    yield pa.RecordBatch.from_arrays(arrays, kinds.names)
+        for batch in (p for whole in batches for p in pieces(whole, piece_bytes)):
+            out = _batch(f(*(c.to_pylist() for c in batch.columns)), kinds)
+            if out.num_rows:
+                yield out
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def per_task(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tuple[Callable[..., None], Callable[[], dict]]]) -> DataFrame:
+    """Sum up partitions of ``columns``: ``make()`` gives ``f(*lists)``, called piece by piece, and ``end() -> {column: values}``."""
+    kinds = _kinds(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, end = make()
+        for batch in (p for whole in batches for p in pieces(whole)):
+            f(*(c.to_pylist() for c in batch.columns))
+        yield _batch(end(), kinds)
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows for whose ``column`` ``make()``'s function says so, with all columns. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in (p for whole in batches for p in pieces(whole)):
+            yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
@@ -97,6 +135,91 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_P = np.uint64(0x9E3779B97F4A7C15)
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> np.ndarray:
+    """_P to the powers 0 to n at least; longer ones than usual aren't kept."""
+    known = _TABLES.get("powers")
+    if known is None or len(known) <= n:
+        known = np.full(max(n, 1 << 20) + 1, _P, np.uint64)
+        known[0] = 1
+        np.cumprod(known, dtype=np.uint64, out=known)
+        if len(known) <= 2 << 20:
+            _TABLES["powers"] = known
+    return known
+
+
+class Tokens:
+    """The runs of letters and digits of some lower-cased texts, as 64-bit hashes of their characters, without a Python value for each."""
+
+    def __init__(self, texts: list[str | None]):
+        lower = [t.lower() if t else "" for t in texts]
+        code = np.frombuffer(" ".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if "alnum" not in _TABLES:
+            _TABLES["alnum"] = np.array([chr(i).isalnum() for i in range(0x110000)])
+        inside = np.zeros(len(code) + 2, np.int8)
+        inside[1:-1] = _TABLES["alnum"][code]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.end = edge[::2], edge[1::2]
+        until = np.cumsum(np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower)))
+        #: Place of each text's first token; one more than texts.
+        self.bound = np.r_[0, np.searchsorted(self.start, until)]
+        powers = _powers(len(code))
+        self._sum = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(code * powers[: len(code)], out=self._sum[1:])
+        # a token's sum holds a power of its start: all are brought to that of the greatest
+        n = len(powers) - 1
+        self._up = powers[n - self.start] * np.uint64(pow(pow(int(_P), -1, 1 << 64), n, 1 << 64))
+
+    def text(self) -> np.ndarray:
+        """Of each token the place of its text."""
+        return np.repeat(np.arange(len(self.bound) - 1), np.diff(self.bound))
+
+    def words(self) -> np.ndarray:
+        """Hash of each token."""
+        return mix64((self._sum[self.end] - self._sum[self.start]) * self._up)
+
+    def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of tokens of more than n characters, and hashes of their first n (another than those of tokens)."""
+        long = np.flatnonzero(self.end - self.start > n)
+        start = self.start[long]
+        return long, mix64((self._sum[start + n] - self._sum[start]) * self._up[long] + np.uint64(n * int(_MIX1) % (1 << 64)))
+
+
+class HashTable:
+    """Numbers of distinct 64-bit hashes: an open table, looked up for many hashes at once."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.size = len(hashes)
+        bits = max(4, int(2 * self.size).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.number = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left = np.arange(self.size)
+        slot = (hashes >> self.shift).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.number[slot[left]] < 0)
+            _, first = np.unique(slot[left[free]], return_index=True)
+            now = left[free[first]]
+            self.key[slot[now]], self.number[slot[now]] = hashes[now], now
+            left = left[self.key[slot[left]] != hashes[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if there is none."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        out = self.number[slot]
+        left = np.flatnonzero((out >= 0) & (self.key[slot] != hashes))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            out[left] = self.number[slot]
+            more = np.flatnonzero((out[left] >= 0) & (self.key[slot] != hashes[left]))
+            left, slot = left[more], slot[more]
+        return out
+
+
 class WordHashes:
     """64-bit hashes of words, remembered for a bounded number of them."""
 

@@ -1,103 +1,162 @@
-"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over an inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index.
 
 Examples are a bounded sample of labelled rows (``examples`` in all, the first by a hash of the
-id). Terms are all words of the examples and their beginnings; none is left out. Their document
-frequencies are counted over all documents. A term's weight is TF-IDF times how strongly its presence
-goes with the label, in either direction: (chi2 + 1) / examples of the 2x2 table, so a term that
-says nothing still weighs what chance gives. Vectors have unit length over the whole text: a word
-that no example has counts with the largest idf and the least such factor. A query's cosines with
-all examples that share a term are added up, so the k nearest are exact. Their votes, weighted by
-cosine, give a raw score; isotonic regression over the examples' own scores, each found without
-itself, makes it a probability.
+id). Terms are all words of the examples and their beginnings; none is left out. Words are 64-bit
+hashes of their characters from the start. Document frequencies are counted over all documents. A
+term's weight is TF-IDF times how strongly its presence goes with the label, in either direction:
+(chi2 + 1) / examples of the 2x2 table, so a term that says nothing still weighs what chance gives.
+Vectors have unit length over the whole text: a word that no example has counts with the largest
+idf and the least such factor. The k nearest are exact. Their votes, weighted by cosine, give a raw
+score; isotonic regression over the examples' own scores, each found without itself, makes it a
+probability.
 
 Defined results: null and empty texts, and texts without any term, have no neighbours and get the
 calibrated rate of such examples; without labelled rows every score is 0; ties in cosine go to the
 example with the smaller id; an example with several labels counts once, with the largest; repeated
-rows are scored alike; other columns aren't read.
+rows are scored alike; rows with a null id are scored and never learned from; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, per_batch
+from .common import HashTable, Tokens, keep_rows, per_batch, per_task
 
-_TERM = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings of words that are terms too.
 BEGINNINGS = (5, 7)
 
 
-def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall(text.lower()) if text else []
+def terms_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and hash of each word and of each beginning of a word of some texts, and which are whole words."""
+    tokens = Tokens(texts)
+    text, parts = tokens.text(), [tokens.beginnings(n) for n in BEGINNINGS]
+    hashes = np.concatenate([tokens.words(), *[h for _, h in parts]])
+    return np.concatenate([text, *[text[at] for at, _ in parts]]), hashes, np.arange(len(hashes)) < len(text)
 
 
-def expanded(word: str) -> list[str]:
-    """A word and its beginnings as terms; beginnings end in a star."""
-    return [word, *[word[:n] + "*" for n in BEGINNINGS if len(word) > n]]
+def _counted(first: np.ndarray, second: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, second below ``size``, and how often each is there."""
+    pair, n = np.unique(first * size + second, return_counts=True)
+    return *np.divmod(pair, size), n
 
 
 class Terms:
-    """Counts the terms in texts; what a word gives is remembered for a bounded number of words."""
-
-    def __init__(self, number: dict[str, int]):
-        self.number, self.known = number, {}
-
-    def __call__(self, text: str | None) -> tuple[dict[int, int], list[int]]:
-        """Counts of the examples' terms, and those of words that no example has."""
-        known, out, strange = self.known, {}, []
-        if len(known) > 200_000:
-            known.clear()
-        for w, n in Counter(terms_of(text)).items():
-            own = known.get(w)
-            if own is None:
-                own = known[w] = tuple(self.number[t] for t in expanded(w) if t in self.number)
-            if w not in self.number:
-                strange.append(n)
-            for t in own:
-                out[t] = out.get(t, 0) + n
-        return out, strange
-
-
-class InvertedIndex:
-    """Inverted index over rows of (term, weight) with unit length or less."""
-
-    def __init__(self, rows: list[dict[int, float]], n_terms: int):
-        self.n = len(rows)
-        sizes = [len(row) for row in rows]
-        term = np.fromiter((t for row in rows for t in row), np.int64, sum(sizes))
-        order = np.argsort(term, kind="stable")
-        self.rows = np.repeat(np.arange(self.n), sizes)[order]
-        self.weights = np.fromiter((w for row in rows for w in row.values()), float, sum(sizes))[order]
-        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=n_terms))]
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest with a cosine above 0; ties to the smaller row."""
-        if not query:
-            return np.zeros(0, np.int64), np.zeros(0)
-        term = np.fromiter(query, np.int64, len(query))
-        low, high = self.start[term], self.start[term + 1]
-        parts = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-        held = np.concatenate([self.weights[x] for x in parts])
-        held *= np.repeat(np.fromiter(query.values(), float, len(query)), high - low)
-        score = np.round(np.bincount(np.concatenate([self.rows[x] for x in parts]), held, self.n), 9)
-        if without >= 0:
-            score[without] = 0
-        rows = score.nonzero()[0]
-        if len(rows) > k:
-            rows = rows[score[rows] >= np.partition(score[rows], -k)[-k]]
-        rows = rows[np.lexsort((rows, -score[rows]))[:k]]
-        return rows, score[rows]
-
-
-#: The name of the index when it skipped blocks of rows by bounds, which all terms make too loose.
-BlockMaxIndex = InvertedIndex
+    """Counts the terms of the examples in texts."""
+
+    def __init__(self, table: HashTable):
+        self.table = table
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Text, term and count of each term in each text, in order; and text and count of words that no example has."""
+        text, hashes, whole = terms_of(texts)
+        term = self.table(hashes)
+        known, strange = term >= 0, np.flatnonzero((term < 0) & whole)
+        at, again = text[strange], hashes[strange]
+        order = np.lexsort((again, at))
+        at, again = at[order], again[order]
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (again[1:] != again[:-1])]) if len(at) else at
+        return *_counted(text[known], term[known].astype(np.int64), max(1, self.table.size)), at[first], np.diff(np.r_[first, len(at)])
+
+
+#: More than single precision can be wrong by in a cosine.
+_NEAR = 1e-5
+
+
+class BlockMaxIndex:
+    """Exact cosines of unit vectors: a matrix for frequent terms, a block-max inverted index for all others.
+
+    Terms that a share ``dense`` of the rows have are the columns of a matrix: one product gives what
+    they add for many queries, in single precision; rows that may be among the nearest by it are
+    added up again in double precision. Weights are kept in single precision. The other terms' postings are in order of ``blocks`` blocks of rows, of
+    each of which a term's greatest weight is known. The block of the highest bound comes first; those
+    whose bound doesn't reach the k-th best cosine then aren't looked at. Rows are put in order of
+    their most frequent terms, so that those of one language share blocks.
+    """
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int, kin: np.ndarray | None = None, blocks: int = 4, dense: float = 0.1):
+        self.n, self.blocks, self.block = n_rows, blocks, max(1, -(-n_rows // blocks))
+        self.order = np.arange(n_rows) if kin is None else np.lexsort((np.arange(n_rows), kin))  # place: row
+        self.at = np.empty(n_rows, np.int64)
+        self.at[self.order] = np.arange(n_rows)
+        at, often = self.at[row], np.bincount(term, minlength=n_terms) >= max(2, dense * n_rows)
+        self.column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.matrix = np.zeros((blocks * self.block, int(often.sum())), np.float32)
+        frequent = often[term]
+        self.matrix[at[frequent], self.column[term[frequent]]] = weight[frequent]
+        at, term, weight = at[~frequent], term[~frequent], weight[~frequent].astype(np.float32)
+        by = np.lexsort((at, term))
+        #: Place and weight of each posting, in one number; of each term and block where its postings start, and the greatest weight.
+        self.posting = (at[by] << 32) | weight[by].view(np.uint32).astype(np.int64)
+        key = term[by] * blocks + at[by] // self.block
+        self.start = np.searchsorted(key, np.arange(n_terms * blocks + 1)).astype(np.int32)
+        self.most = np.zeros(n_terms * blocks, np.float32)
+        np.maximum.at(self.most, key, weight[by])
+        self.most = self.most.reshape(n_terms, blocks)
+
+    def nearest(self, bound: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None, at_once: int = 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, terms[bound[i]:bound[i + 1]], the rows and cosines of the k nearest with a cosine above 0; ties to the smaller row."""
+        n = len(bound) - 1
+        query = np.repeat(np.arange(n), np.diff(bound))
+        column = self.column[term]
+        rare = column < 0
+        for first in range(0, n, at_once):
+            many = min(at_once, n - first)
+            here = slice(*bound[[first, first + many]])
+            q, f = np.zeros((many, self.matrix.shape[1])), ~rare[here]
+            q[query[here][f] - first, column[here][f]] = weight[here][f]
+            dense = q.astype(np.float32) @ self.matrix.T
+            score = dense.astype(float)
+            self._search(score, query[here][~f] - first, term[here][~f], weight[here][~f], k)
+            if without is not None:
+                score[np.arange(many), self.at[without[first : first + many]]] = 0
+            least = self._least(score, k)
+            for i, low in enumerate(least.tolist()):
+                places = np.flatnonzero(score[i] >= max(low - _NEAR, 1e-300))
+                again = self.matrix[places].astype(float) @ q[i]
+                found, rows = np.round(score[i, places] - dense[i, places] + again, 9), self.order[places]
+                best = np.lexsort((rows, -found))[:k]
+                best = best[found[best] > 0]
+                yield rows[best], found[best]
+
+    @staticmethod
+    def _least(score: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best of each row."""
+        return np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(len(score))
+
+    def _search(self, score: np.ndarray, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> None:
+        """Add the postings of all blocks that may hold one of a query's k nearest, besides itself."""
+        if not len(term):
+            return
+        most = np.zeros((len(score), self.blocks))
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        most[query[first]] = np.add.reduceat(weight[:, None] * self.most[term], first)
+        bound = score.reshape(len(score), self.blocks, self.block).max(2) + most
+        chosen = np.arange(self.blocks) == bound.argmax(1)[:, None]
+        self._add(score, chosen, query, term, weight)
+        rest = ~chosen & (most > 0) & (bound >= self._least(score, k + 1)[:, None] - _NEAR)
+        if rest.any():
+            self._add(score, rest, query, term, weight)
+
+    def _add(self, score: np.ndarray, chosen: np.ndarray, query: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        of, block = np.nonzero(chosen[query])
+        at = term[of] * self.blocks + block
+        low = self.start[at]
+        size = self.start[at + 1] - low
+        some = np.flatnonzero(size)
+        if not len(some):
+            return
+        of, low, size = of[some], low[some], size[some].astype(np.int64)
+        end = np.cumsum(size)
+        posting = self.posting[np.repeat(low - end + size, size) + np.arange(end[-1])]
+        held = posting.view(np.float32)[::2] * np.repeat(weight[of], size)
+        posting >>= 32
+        posting += np.repeat(query[of] * score.shape[1], size)
+        score += np.bincount(posting, held, score.size).reshape(score.shape)
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +174,17 @@ def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array([o[0] for o in out]), np.array([o[1] for o in out])
 
 
-def _weighted(counts: dict[int, int], weight: np.ndarray, strange: list[int] = [], other: float = 0.0) -> dict[int, float]:  # noqa: B006
-    """Unit vector of a text's terms; ``strange`` counts of other words, of weight ``other``, only lengthen it."""
-    if not counts:
-        return {}
-    term = np.fromiter(counts, np.int64, len(counts))
-    w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * weight[term]
-    norm = math.sqrt(float(w @ w) + sum(((1 + math.log(n)) * other) ** 2 for n in strange))
-    keep = w > 0
-    return dict(zip(term[keep].tolist(), (w[keep] / norm).tolist(), strict=True)) if norm else {}
+class Weights:
+    """Weight of each term and of words that no example has; unit vectors of texts."""
+
+    def __init__(self, weight: np.ndarray, other: float):
+        self.weight, self.other = weight, other
+
+    def __call__(self, text: np.ndarray, term: np.ndarray, n: np.ndarray, strange_text: np.ndarray, strange_n: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the texts' terms, and their weights in vectors of unit length; other words only lengthen them."""
+        w = (1 + np.log(n)) * self.weight[term]
+        square = np.bincount(text, w * w, n_texts) + np.bincount(strange_text, ((1 + np.log(strange_n)) * self.other) ** 2, n_texts)
+        return np.searchsorted(text, np.arange(n_texts + 1)), w / np.sqrt(np.where(square > 0, square, 1.0))[text]
 
 
 def _vote(rows: np.ndarray, cosines: np.ndarray, labels: np.ndarray, empty: float, rate: float) -> float:
@@ -139,75 +200,81 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32,
 
     def counted():
         def f(ids, texts, labels):
-            found = []
-            for t in texts:
-                bag = Counter()
-                for w, n in Counter(terms_of(t)).items():
-                    for term in expanded(w):
-                        bag[term] += n
-                found.append(bag)
-            return {"id": ids, "label": labels, "term": [list(c) for c in found], "n": [list(c.values()) for c in found]}
+            text, hashes, _ = terms_of(texts)
+            order = np.lexsort((hashes, text))
+            text, hashes = text[order], hashes[order].view(np.int64)
+            first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])]) if len(text) else text
+            n, edge = np.diff(np.r_[first, len(text)]), np.searchsorted(text[first], np.arange(1, len(texts)))
+            return {"id": ids, "label": labels, "term": np.split(hashes[first], edge), "n": np.split(n, edge)}
 
         return f
 
     kind = dict(docs.dtypes)[id_col]
-    bags = per_batch(sample, [id_col, text_col, "_label"], f"id {kind}, label int, term array<string>, n array<int>", counted)
-    bags = durable(bags)
-    size, toxic = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    bags = per_batch(sample, [id_col, text_col, "_label"], f"id {kind}, label int, term array<long>, n array<int>", counted).toArrow()  # a bounded sample
+    size = bags.num_rows
     if not size:
         return None
-    by_term = bags.select("label", F.explode("term").alias("term")).groupBy("term").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("df"))
-    table = by_term.orderBy("term").toArrow()  # the terms of a bounded sample
-    names = table.column("term").to_pylist()
-    number = {t: i for i, t in enumerate(names)}
+    lists = pa.concat_arrays(bags.column("term").chunks)
+    counts = pa.concat_arrays(bags.column("n").chunks).flatten().to_numpy().astype(np.int64)
+    ids, label = bags.column("id").to_pylist(), bags.column("label").to_numpy().astype(float)
+    names, term = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    row = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))
+    # rows in order of ids; of a repeated id, in order of labels and texts
+    mark = np.bincount(row, np.sqrt(term + 1.0) * counts, size)
+    order = np.array(sorted(range(size), key=lambda i: (ids[i], label[i], mark[i])))
+    place = np.empty(size, np.int64)
+    place[order] = np.arange(size)
+    ids, label, row = [ids[i] for i in order], label[order], place[row]
+    by = np.lexsort((term, row))
+    row, term, counts = row[by], term[by], counts[by]
+    table = HashTable(names)
+    n_terms, toxic = len(names), float(label.sum())
     # 2x2 table of each term: a toxic with it, b others with it, c toxic without, d others without
-    a, b = table.column("a").to_numpy(), table.column("df").to_numpy() - table.column("a").to_numpy()
+    have = np.bincount(term, minlength=n_terms).astype(float)
+    a = np.bincount(term, label[row], n_terms)
+    b = have - a
     c, d = toxic - a, size - toxic - b
     product = (a + b) * (c + d) * (a + c) * (b + d)
     chi2 = np.where(product > 0, (a * d - b * c) ** 2 * size / np.maximum(product, 1), 0.0)
+    df = _frequencies(docs, table, text_col)
+    idf = np.log((1 + df[-1]) / (1 + df[:-1]))
+    weights = Weights(idf * (chi2 + 1) / size, float(idf.max(initial=0.0)) / size)
+    none = np.zeros(0, np.int64)
+    bound, weight = weights(row, term, counts, none, none, size)
+    kin = np.full(size, -1)  # of each example its most frequent term, that of most examples first
+    top = np.lexsort((term, -have[term], -counts, row))
+    head = np.flatnonzero(np.r_[True, row[top][1:] != row[top][:-1]]) if len(top) else none
+    kin[row[top][head]] = term[top][head]
+    keep = weight > 0
+    index, rate = BlockMaxIndex(row[keep], term[keep], weight[keep], size, n_terms, kin), toxic / size
+    bare = np.bincount(row[keep], minlength=size) == 0
+    empty = float(label[bare].mean()) if bare.any() else rate
+    raw = np.array([_vote(*found, label, empty, rate) for found in index.nearest(bound, term, weight, k, np.arange(size))])
+    return {"table": table, "weights": weights, "index": index, "labels": label, "ids": ids, "empty": empty, "rate": rate, "steps": isotonic(raw, label), "k": k}
+
+
+def _frequencies(docs: DataFrame, table: HashTable, text_col: str) -> np.ndarray:
+    """Of each term the documents that have it, over all of them; last their number."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)  # the terms of a bounded sample
 
-    def frequency():
-        count = Terms(number)
+    def make():
+        count, n = Terms(sent.value), np.zeros(sent.value.size + 1, np.int64)
 
         def f(texts):
-            n = Counter()
-            for t in texts:
-                n.update(count(t)[0].keys())
-            return {"term": [*n, -1], "n": [*n.values(), len(texts)]}
+            n[:] += np.bincount(count(texts)[1], minlength=len(n))
+            n[-1] += len(texts)
 
-        return f
+        def end():
+            some = n.nonzero()[0]
+            return {"term": some, "n": n[some]}
 
-    found = per_batch(docs, [text_col], "term int, n long", frequency).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(names) + 1)
-    df[found.column("term").to_numpy()] = found.column("n").to_numpy()  # the last is -1, all documents
-    idf = np.log((1 + df[-1]) / (1 + df[:-1]))
-    weight = idf * (chi2 + 1) / size
-    other = float(idf.max(initial=0.0)) / size
-    known = _sparse(bags, number)
-    vectors = [_weighted(dict(zip(t.tolist(), n.tolist(), strict=True)), weight) for _, _, t, n in known]
-    labels = np.array([r[1] for r in known], float)
-    index, rate = InvertedIndex(vectors, len(names)), float(labels.mean())
-    bare = np.array([not v for v in vectors])
-    empty = float(labels[bare].mean()) if bare.any() else rate
-    raw = np.array([_vote(*index.nearest(v, k, i), labels, empty, rate) for i, v in enumerate(vectors)])
-    steps = isotonic(raw, labels)
-    return {"number": number, "weight": weight, "other": other, "index": index, "labels": labels, "ids": [r[0] for r in known], "empty": empty, "rate": rate, "steps": steps, "k": k}
-
-
-def _sparse(bags: DataFrame, number: dict[str, int]) -> list[tuple]:
-    """(id, label, terms, counts) of the sample by id."""
+        return f, end
 
-    def make():
-        def f(ids, labels, terms, counts):
-            return {"id": ids, "label": labels, "term": [[number[t] for t in ts] for ts in terms], "n": counts}
-
-        return f
-
-    kind = dict(bags.dtypes)["id"]
-    found = per_batch(bags, ["id", "label", "term", "n"], f"id {kind}, label int, term array<int>, n array<int>", make).toArrow()
-    ids, labels = found.column("id").to_pylist(), found.column("label").to_pylist()
-    terms, counts = ([x.values.to_numpy() for x in found.column(c)] for c in ("term", "n"))
-    return [(ids[i], labels[i], terms[i], counts[i]) for i in sorted(range(len(ids)), key=lambda i: (ids[i], labels[i], terms[i].tolist(), counts[i].tolist()))]
+    found = per_task(docs, [text_col], "term int, n long", make).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(table.size + 1)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    sent.destroy()
+    return df
 
 
 class Scorer:
@@ -215,16 +282,19 @@ class Scorer:
 
     def __init__(self, model: dict | None, evidence: int = 3):
         self.model, self.evidence = model, evidence
-        self.count = Terms(model["number"]) if model else None
+        self.count = Terms(model["table"]) if model else None
 
-    def __call__(self, text: str | None) -> tuple[float, list]:
+    def __call__(self, texts: list[str | None]) -> list[tuple[float, list]]:
         m = self.model
         if m is None:
-            return 0.0, []
-        counts, strange = self.count(text)
-        rows, cosines = m["index"].nearest(_weighted(counts, m["weight"], strange, m["other"]), m["k"])
-        raw, (low, value) = _vote(rows, cosines, m["labels"], m["empty"], m["rate"]), m["steps"]
-        return float(value[max(0, np.searchsorted(low, raw, "right") - 1)]), [m["ids"][r] for r in rows[: self.evidence]]
+            return [(0.0, []) for _ in texts]
+        found = self.count(texts)
+        bound, weight = m["weights"](*found, len(texts))
+        (low, value), out = m["steps"], []
+        for rows, cosines in m["index"].nearest(bound, found[1], weight, m["k"]):
+            raw = _vote(rows, cosines, m["labels"], m["empty"], m["rate"])
+            out.append((float(value[max(0, np.searchsorted(low, raw, "right") - 1)]), [m["ids"][r] for r in rows[: self.evidence]]))
+        return out
 
 
 def predict(docs: DataFrame, model: dict | None, threshold: float = 0.3, evidence: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +306,7 @@ def predict(docs: DataFrame, model: dict | None, threshold: float = 0.3, evidenc
         scorer = Scorer(sent.value, evidence)
 
         def f(ids, texts):
-            found = [scorer(t) for t in texts]
+            found = scorer(texts)
             return {id_col: ids, "score": [s for s, _ in found], "predicted": [int(s >= threshold) for s, _ in found], "evidence": [e for _, e in found]}
 
         return f
@@ -248,10 +318,8 @@ def reject(docs: DataFrame, model: dict | None, threshold: float = 0.3, text_col
     """The rows of ``docs`` that aren't predicted toxic, with all their columns. No shuffle, no join."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def make():
         scorer = Scorer(sent.value)
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-            yield b.filter(pa.array([scorer(t)[0] < threshold for t in texts], pa.bool_()))
+        return lambda texts: [s < threshold for s, _ in scorer(texts)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text_col, make)
