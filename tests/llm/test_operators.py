@@ -356,8 +356,20 @@ def lcs_slow(a, b):
 def test_lcs_bits():
     r = random.Random(1)
     for _ in range(200):
-        a, b = ([r.choice("abcdef") for _ in range(r.randint(1, 25))] for _ in range(2))
-        assert round(decontaminate.Item(0, " ".join(a)).lcs(b)[0] * len(a)) == lcs_slow(a, b)
+        a, b = ([r.randrange(6) for _ in range(r.randint(1, 25))] for _ in range(2))
+        assert round(decontaminate.Item(0, " ".join(map(str, a)), a).lcs(b)[0] * len(a)) == lcs_slow(a, b)
+
+
+def exact_hits(docs, items):
+    """(document, item) pairs whose longest common subsequence in some stretch confirms them: all pairs are compared."""
+    terms = decontaminate.Terms([t for _, t in items])
+    every = [decontaminate.Item(i, t, w.tolist()) for (i, t), w in zip(items, terms.items, strict=True)]
+    confirmed = lambda share, told: share >= 0.7 or share >= 0.5 and told >= 0.8
+    out = set()
+    for i, t in docs:
+        words, _ = terms([t])
+        out |= {(i, x.id) for x in every if len(set(words.tolist()) & set(x.words)) * 2 >= len(set(x.words)) and confirmed(*x.best(words, 0, len(words)))}
+    return out
 
 
 def test_decontamination(spark, edges, empty):
@@ -407,9 +419,7 @@ def test_decontamination_recall_with_more_items_than_rank(spark):
         held = [w for w in items[5 * i][1] if r.random() < 0.8]
         docs.append((i, " ".join(text(60) + held + text(r.randint(10, 80)))))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
-    every = [decontaminate.Item(i, " ".join(t)) for i, t in items]
-    confirmed = lambda share, told: share >= 0.7 or share >= 0.5 and told >= 0.8
-    exact = {(i, x.id) for i, t in docs for x in every if confirmed(*x.best(t.split(), 0, len(t.split())))}
+    exact = exact_hits(docs, [(i, " ".join(t)) for i, t in items])
     got = {(x.doc_id, x.item_id) for x in decontaminate.hits(d, b).collect()}
     print(f"recall {len(got & exact) / len(exact):.3f} of {len(exact)}")
     assert len(exact) > 40 and len(got & exact) >= 0.95 * len(exact)
