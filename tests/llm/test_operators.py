@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -65,6 +66,25 @@ def test_bpe_text_of_many_words():
     assert e.encode_batch([many])[0][1] == ids and len(e._known) <= bpe._REMEMBERED
 
 
+def test_bpe_bytes_without_tokens(tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for token in ("q", "q</w>"):  # what needs them goes too
+        del spec["model"]["vocab"][token]
+    merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+    keep = [m for m in merges if "q" not in m]
+    gone = {m.replace(" ", "") for m in merges} - {m.replace(" ", "") for m in keep}
+    spec["model"]["merges"] = keep
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if t not in gone}
+    path = tmp_path / "few.json"
+    path.write_text(json.dumps(spec))
+    lib, own = Tokenizer.from_file(str(path)), bpe.TrieEncoder(str(path))
+    for text in ("quick brown", "q", "aqa qq", "iraq is"):
+        assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_edges(edges, empty):
     got = bpe.digests(edges)
     assert got.count() == edges.count() and bpe.digests(empty).count() == 0

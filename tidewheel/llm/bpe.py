@@ -1,14 +1,16 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-The distinct words of a batch go into a trie. Its nodes are visited depth first; each node holds
-one state, the last token of the encoding of its prefix, and where that token starts. The state
-follows from the states above it: the last token of a prefix is the one vocabulary token that
+The distinct words of a batch make a trie, laid out as the words in order, each with the length
+that it shares with the one before. Its nodes are visited depth first; each node holds one state,
+the last token of the encoding of its prefix, and where that token starts. The state follows from the states above it: the last token of a prefix is the one vocabulary token that
 ends the prefix and may follow the last token of what is left (two tokens may follow each other
-if merging their characters gives just these two). So what words share as a prefix is encoded
-once, and a word's tokens are read by walking back from its leaf.
+if merging their characters gives just these two). The tokens that end a prefix are those of its
+longest end with which a token can begin, which is remembered. So what words share as a prefix is
+encoded once, and a word's tokens are read by walking back from its leaf.
 
 Defined results: a null text counts as empty; an empty text has no tokens (the digests are those
-of the empty string); repeated rows are encoded alike, row by row; other columns aren't read.
+of the empty string); a byte that the file has no token for is its unknown token, or left out if it
+names none; repeated rows are encoded alike, row by row; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
@@ -25,10 +28,9 @@ from .common import per_batch
 #: The end-of-word mark is folded into the last symbol: a code point this much higher.
 _END = 0xE000
 _LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
-#: Words in one trie, words remembered (twice), characters looked at together.
-_NEW_WORDS, _REMEMBERED, _AT_ONCE = 15_000, 80_000, 1_000_000
-#: Bytes of texts whose results a worker holds at once.
-_PIECE = 2_000_000
+#: Words in one trie, words remembered (twice), states remembered, characters looked at together.
+_NEW_WORDS, _REMEMBERED, _STATES, _AT_ONCE = 15_000, 80_000, 150_000, 1_000_000
+_IDS, _DECODED = itemgetter(0), itemgetter(1)
 #: Marks a special token among words; no word holds a space.
 _SPECIAL = " "
 
@@ -60,9 +62,11 @@ class TrieEncoder:
         self._string = {i: t for t, i in self.vocab.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self._rank = {(self._symbols(a), self._symbols(b)): r for r, (a, b) in enumerate(merges)}
-        self._ends = {t[i:] for t in self.vocab for i in range(len(t))}
-        self._longest = max(map(len, self.vocab))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._starts = {t[:i] for t in self.vocab for i in range(1, len(t) + 1)}
+        self._unknown = self.special.get(model.get("unk_token"), model["vocab"].get(model.get("unk_token")))
+        self._gaps = any(c not in self.vocab for s in _byte_symbols().values() for c in (s, chr(ord(s) + _END)))
+        self._pairs: dict[int, bool] = {}
+        self._forget()
         self._byte = {i: s for i, s in _byte_symbols().items() if chr(i) != s}
         self._known: dict[str, tuple[str, str]] = {}
         self._older: dict[str, tuple[str, str]] = {}
@@ -92,14 +96,31 @@ class TrieEncoder:
         normal, words = self._other
         return [w for w, _ in words.pre_tokenize_str(normal.normalize_str(text))]
 
-    def _may_follow(self, a: int, b: int) -> bool:
-        """Whether the characters of both tokens merge into just these tokens; a = -1: into b alone."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) > 300_000:
-                self._pairs.clear()
-            left = self._string[a] if a >= 0 else ""
-            known = self._pairs[a, b] = self._merge(left + self._string[b], len(left))
+    def _forget(self) -> None:
+        """States: the ends of prefixes with which a token may begin; each knows the tokens that end it, longest first."""
+        self._states, self._state_of, self._next = [""], {"": 0}, {}
+        self._suffixes: list[tuple[tuple[int, int], ...]] = [()]
+
+    def _step(self, state: int, symbol: str) -> int:
+        """The state after one more symbol."""
+        s = self._states[state] + symbol
+        while s and s not in self._starts:
+            s = s[1:]
+        found = self._state_of.get(s)
+        if found is None:
+            found = self._state_of[s] = len(self._states)
+            self._states.append(s)
+            self._suffixes.append(tuple((b, len(s) - i) for i in range(len(s)) if (b := self.vocab.get(s[i:])) is not None))
+        self._next[state << 17 | ord(symbol)] = found
+        return found
+
+    def _may_follow(self, key: int) -> bool:
+        """Whether the characters of both tokens (the first plus one, and the second, of 20 bits) merge into just these; 0: into the second alone."""
+        if len(self._pairs) > 300_000:
+            self._pairs.clear()
+        a, b = (key >> 20) - 1, key & (1 << 20) - 1
+        left = self._string[a] if a >= 0 else ""
+        known = self._pairs[key] = self._merge(left + self._string[b], len(left))
         return known
 
     def _merge(self, symbols: str, cut: int) -> bool:
@@ -118,45 +139,51 @@ class TrieEncoder:
         return len(parts) == (2 if cut else 1)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Token ids of distinct words."""
-        root: dict = {}
+        """Token ids of distinct words.
+
+        Words in order are the trie's leaves depth first: a word goes on from the states of what it
+        shares with the word before.
+        """
+        if len(self._states) > _STATES:
+            self._forget()
+        leaves = []
         for w in words:
             s = w if w.isascii() and w.isprintable() else w.encode("utf-8").decode("latin-1").translate(self._byte)
-            node = root
-            for symbol in s[:-1]:
-                below = node.get(symbol)
-                if below is None:
-                    below = node[symbol] = {}
-                node = below
-            node[chr(ord(s[-1]) + _END)] = w
+            leaves.append((s[:-1] + chr(ord(s[-1]) + _END), w))
         out: dict[str, list[int]] = {}
-        vocab, ends, longest, pairs = self.vocab, self._ends, self._longest, self._pairs
-        last, start = [-1], [0]
-        stack = [(node, 1, symbol) for symbol, node in root.items()]
-        while stack:
-            node, depth, tail = stack.pop()
-            del last[depth:], start[depth:]
-            for n in range(1, len(tail) + 1):
-                token = tail[-n:]
-                if token not in ends:
-                    raise ValueError(f"no token ends {tail!r}")
-                b = vocab.get(token)
-                if b is not None:
-                    a = last[depth - n]
-                    ok = pairs.get((a, b))
-                    if ok if ok is not None else self._may_follow(a, b):
-                        last.append(b)
-                        start.append(depth - n)
+        if self._gaps and self._unknown is None:  # bytes without a token are left out before anything merges
+            leaves = [("".join(filter(self.vocab.__contains__, s)), w) for s, w in leaves]
+        leaves.sort()
+        suffixes, following, pairs = self._suffixes, self._next, self._pairs
+        room = max((len(s) for s, _ in leaves), default=0) + 1
+        states, last, start, before = [0] * room, [-1] * room, [0] * room, [0] * room
+        above = ""
+        for s, w in leaves:
+            shared = 0
+            for x, y in zip(above, s, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            state, above = states[shared], s
+            for depth, symbol in enumerate(s[shared:], shared + 1):
+                now = following.get(state << 17 | ord(symbol))
+                if now is None:
+                    now = self._step(state, symbol)
+                states[depth] = state = now
+                for b, n in suffixes[now]:
+                    key = before[depth - n] | b
+                    ok = pairs.get(key)
+                    if ok if ok is not None else self._may_follow(key):
+                        last[depth], start[depth], before[depth] = b, depth - n, (b + 1) << 20
                         break
-            if isinstance(node, str):
-                ids, at = [], depth
-                while at:
-                    ids.append(last[at])
-                    at = start[at]
-                out[node] = ids[::-1]
-            else:
-                keep = tail[1 - longest :] if len(tail) >= longest else tail
-                stack += [(below, depth + 1, keep + symbol) for symbol, below in node.items()]
+                else:  # a byte without a token of its own: nothing merges with it
+                    last[depth], start[depth], before[depth] = -1, depth - 1, 0
+            ids, at = [], len(s)
+            while at:
+                ids.append(last[at])
+                at = start[at]
+            ids.reverse()
+            out[w] = [self._unknown if i < 0 else i for i in ids] if self._gaps else ids
         return out
 
     def _learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
@@ -204,9 +231,9 @@ class TrieEncoder:
             at = until
             known = self._learn(set().union(*parts))
             for p in parts:
-                found = [known[w] for w in p]
-                ids = " ".join([f[0] for f in found])
-                out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([f[1] for f in found])))
+                found = list(map(known.__getitem__, p))
+                ids = " ".join(map(_IDS, found))
+                out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join(map(_DECODED, found))))
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -254,4 +281,4 @@ def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, dige
         return f
 
     kind = dict(docs.dtypes)[id_col]
-    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make, piece_bytes=_PIECE)
+    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make)
