@@ -118,10 +118,19 @@ def test_binomial_and_cutoffs(spark):
     clean = [("en", 500, 2000, 0, 0, 0)] * 997 + [("en", 500, 2000, 900, 0, 0)] * 3 + [("de", 500, 2000, 0, 0, 0)] * 20
     good = spark.createDataFrame(clean, "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     chosen = quality.cutoffs(good, "lang")
-    assert {s for s, _, _ in chosen} == {"en"}  # twenty rows certify nothing
+    assert {s for s, _, _ in chosen} == {("en",)}  # twenty rows certify nothing
     assert dict((r, c) for _, r, c in chosen)["symbols"] < 0.45  # three of a thousand may be lost
 
 
+def test_small_strata_are_pooled(spark):
+    rows = [(lang, 500, 2000, 0, 0, 0) for lang in ("en", "de", None) for _ in range(150)]
+    good = spark.createDataFrame(rows, "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    chosen = quality.cutoffs(good, "lang")
+    assert {frozenset(s) for s, _, _ in chosen} == {frozenset(["en", "de", None])} and len(chosen) == len(quality.RULES)
+    odd = spark.createDataFrame([(lang, 500, 2000, 1900, 0, 0, False) for lang in ("en", None, "fr")], "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+    assert {r.lang: r.kept for r in quality.apply(odd, chosen, "lang").collect()} == {"en": False, None: False, "fr": True}
+
+
 # -- 3 substrings -------------------------------------------------------------------------------------
 
 

@@ -38,12 +38,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests) a temporary one is set.
+    Only where that is unset and all runs in one process (tests) a temporary one is set; a cluster
+    without one is an error, as a folder of one machine would lose what others wrote.
     """
+    context = spark.sparkContext
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_by_cluster and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return set_by_cluster or spark.sparkContext.getCheckpointDir()
+    if not set_by_cluster and context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return set_by_cluster or context.getCheckpointDir()
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def durable(df: DataFrame) -> DataFrame:

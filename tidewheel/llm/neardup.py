@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, lower_az, mix64, per_batch, words_of
+from .common import WordHashes, durable, lower_az, mix64, per_batch, unused, words_of
 from .quality import binomial_at_most
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -131,6 +131,23 @@ def _enough_matches(pairs: DataFrame, nodes: DataFrame, coordinates: int, least:
     return per_batch(both, ["a", "b", "sig_a", "sig_b"], "a long, b long", make)
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """``doc_id, version`` of rows that are there more than once: narrow numbers, no texts."""
+    return durable(rows.groupBy("doc_id", "version").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "version"))
+
+
+def _once(docs: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each of ``again`` (``keys``, null-safe); other rows stay where they are. Only the repeated ones move."""
+    if not again.limit(1).count():
+        return docs
+    flag = unused(docs, "_again")
+    small = F.broadcast if again.count() <= SMALL else lambda df: df
+    a, b = docs.alias("d"), small(again.withColumn(flag, F.lit(True))).alias("r")
+    same = F.col(f"d.{keys[0]}").eqNullSafe(F.col(f"r.{keys[0]}")) & F.col(f"d.{keys[1]}").eqNullSafe(F.col(f"r.{keys[1]}"))
+    marked = a.join(b, same, "left").select("d.*", F.col(f"r.{flag}").alias(flag))
+    return marked.filter(F.col(flag).isNull()).unionByName(marked.filter(flag).dropDuplicates(keys)).drop(flag)
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of ``ids`` (doc_id): most others are passed by before the shuffle.
 
@@ -140,7 +157,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = durable(nodes.select(F.col("id").alias("doc_id"), "version").join(_if_small(durable(ids.distinct())), "doc_id", "left_semi"))
     if wanted.count() <= SMALL:
         return docs.join(F.broadcast(wanted), ["doc_id", "version"]).select("doc_id", "text")
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")  # ``docs`` has the columns of link()
     some = docs.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi")
     return some.join(wanted, ["doc_id", "version"]).select("doc_id", "text")
 
@@ -235,6 +252,7 @@ def joined(found: DataFrame, more: DataFrame) -> DataFrame:
 def link(docs: DataFrame, size: int, similarity: Fraction, coordinates: int = 64) -> tuple[DataFrame, DataFrame]:
     """(features, ``set_key, component`` of all sets) of ``doc_id, version, text``."""
     rows = durable(features(docs, size, coordinates))
+    docs = _once(docs, repeated(rows), ["doc_id", "version"])  # equal rows are one when texts are compared
     sets = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("r"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n"))
     nodes = durable(sets.select("set_key", F.col("r.doc_id").alias("id"), "r.version", "sig", "n"))
     least = least_matches(similarity, coordinates)
@@ -282,7 +300,9 @@ def survivors(docs: DataFrame, size: int = 5, similarity: Fraction = Fraction(4,
 
     Exact copies under one id, or without an id, leave one row.
     """
-    own = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_version", F.xxhash64(text_col))
-    rows, sets = link(own.select(F.col("_id").alias("doc_id"), F.col("_version").alias("version"), F.col(text_col).alias("text")), size, similarity, coordinates)
-    gone = rows.join(sets, "set_key").filter("doc_id != component").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
-    return own.join(_if_small(durable(gone)), ["_id", "_version"], "left_anti").dropDuplicates(["_id", "_version"]).select(*docs.columns)
+    i, v = unused(docs, "_id"), unused(docs, "_version")
+    own = docs.withColumn(i, F.col(id_col).cast("long")).withColumn(v, F.xxhash64(text_col))
+    rows, sets = link(own.select(F.col(i).alias("doc_id"), F.col(v).alias("version"), F.col(text_col).alias("text")), size, similarity, coordinates)
+    gone = rows.join(sets, "set_key").filter("doc_id != component").select(F.col("doc_id").alias(i), F.col("version").alias(v)).distinct()
+    left = own.join(_if_small(durable(gone)), [i, v], "left_anti")
+    return _once(left, repeated(rows).toDF(i, v), [i, v]).select(*docs.columns)

@@ -10,14 +10,17 @@ m AS (SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(li
   CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [n_symbols / nullif(word_chars, 0), n_dup_lines * 10::DOUBLE / nullif(n_words, 0), n_repeat_words / nullif(n_words, 0)] AS ratio FROM m),
-good AS (SELECT f.* FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE quality = 1 AND NOT base_failed),
-size AS (SELECT lang, count(*) AS n FROM good GROUP BY 1),
+size0 AS (SELECT lang, count(*) AS n FROM f JOIN (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1) l ON l.doc_id = f.doc_id WHERE NOT base_failed GROUP BY 1),
+pool AS (SELECT lang, CASE WHEN pow(1 - 0.05 / 3, n) <= 0.05 / (3 * (SELECT count(*) FROM size0)) THEN 'one ' || coalesce(lang, '') ELSE 'pooled' END AS stratum FROM size0),
+f2 AS (SELECT f.*, stratum FROM f LEFT JOIN pool ON pool.lang IS NOT DISTINCT FROM f.lang),
+good AS (SELECT f2.* FROM f2 JOIN (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1) l ON l.doc_id = f2.doc_id WHERE NOT base_failed),
+size AS (SELECT stratum, count(*) AS n FROM good GROUP BY 1),
 grid AS (SELECT r, i, CAST(CASE r WHEN 2 THEN round(1 - 0.04 * i, 2) ELSE round(0.5 - 0.02 * i, 2) END AS DOUBLE) AS cut FROM range(1, 4) a(r), range(0, 25) b(i)),
-lost AS (SELECT s.lang, s.n, r, i, cut, (SELECT count(*) FROM good WHERE good.lang IS NOT DISTINCT FROM s.lang AND ratio[r] > cut) AS k FROM size s, grid),
-p AS (SELECT lang, r, i, cut, CASE WHEN k >= n THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05 / 3) + (n - j) * ln(1 - 0.05 / 3))) FROM range(0, k + 1) t(j)) END AS p FROM lost),
-bad AS (SELECT lang, r, min(i) AS i FROM p WHERE p > 0.05 / (3 * (SELECT count(*) FROM size)) GROUP BY 1, 2),
-chosen AS (SELECT p.lang, p.r, min(p.cut) AS cut FROM p LEFT JOIN bad ON bad.lang IS NOT DISTINCT FROM p.lang AND bad.r = p.r WHERE p.i < coalesce(bad.i, 25) GROUP BY 1, 2)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.lang IS NOT DISTINCT FROM f.lang AND f.ratio[c.r] > c.cut) AS kept FROM f"""
+lost AS (SELECT s.stratum, s.n, r, i, cut, (SELECT count(*) FROM good WHERE good.stratum = s.stratum AND ratio[r] > cut) AS k FROM size s, grid),
+p AS (SELECT stratum, r, i, cut, CASE WHEN k >= n THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05 / 3) + (n - j) * ln(1 - 0.05 / 3))) FROM range(0, k + 1) t(j)) END AS p FROM lost),
+bad AS (SELECT stratum, r, min(i) AS i FROM p WHERE p > 0.05 / (3 * (SELECT count(*) FROM size)) GROUP BY 1, 2),
+chosen AS (SELECT p.stratum, p.r, min(p.cut) AS cut FROM p LEFT JOIN bad ON bad.stratum = p.stratum AND bad.r = p.r WHERE p.i < coalesce(bad.i, 25) GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.stratum = f2.stratum AND f2.ratio[c.r] > c.cut) AS kept FROM f2"""
 
 OP3 = rf"""WITH {_WORDS},
 g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS lo FROM (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM w WHERE len(w) >= 50))),

@@ -13,7 +13,8 @@ a card with other digits a space or hyphen away is validated together with them,
 It is one narrow projection: no shuffle, no state, text stays in the JVM.
 
 Defined results: null texts stay null and empty ones empty, with counts of 0; equal values get equal
-pseudonyms in any row; other columns are kept as they are.
+pseudonyms in any row; addresses that differ in case get pseudonyms that differ in case alone; other
+columns are kept as they are, and a count whose name is taken gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 KINDS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
@@ -161,12 +164,12 @@ def _iban(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _email(m: Column, key: str, inverse: bool) -> Column:
-    """Local part: two halves of characters; letters a-z and digits are shifted by a hash of the other half."""
+    """Local part: two halves of characters; letters a-z and digits are shifted by a hash of the other half, whatever its case."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     a = F.floor(F.length(local) / 2).cast("int")
 
     def shifted(half: Column, other: Column, r: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), r.cast("string"), other), 256)
+        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), r.cast("string"), F.lower(other)), 256)
 
         def one(c: Column, i: Column) -> Column:
             k = F.conv(stream.substr(i % 61 + 1, F.lit(3)), 16, 10).cast("int")
@@ -222,10 +225,11 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
 
         return _bind(kind, new)
 
-    done = docs.withColumn("_found", F.transform(found, one))
+    held = unused(docs, "_found")
+    done = docs.withColumn(held, F.transform(found, one))
     pieces = F.split(text, PATTERN, -1)
-    values = F.concat(F.col("_found.value"), F.array(F.lit("")))
-    changed = F.when(F.size("_found") > 0, F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, v)), "")).otherwise(text)
-    of_kind = lambda k: F.filter("_found.kind", lambda x: x == k)
-    counts = {f"n_{k}": F.coalesce(F.size(of_kind(k)), F.lit(0)).cast("long") for k in KINDS}
-    return done.withColumns({text_col: changed} | counts).drop("_found")
+    values = F.concat(F.col(f"{held}.value"), F.array(F.lit("")))
+    changed = F.when(F.size(held) > 0, F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, v)), "")).otherwise(text)
+    of_kind = lambda k: F.filter(f"{held}.kind", lambda x: x == k)
+    counts = {unused(docs, f"n_{k}"): F.coalesce(F.size(of_kind(k)), F.lit(0)).cast("long") for k in KINDS}
+    return done.withColumns({text_col: changed} | counts).drop(held)

@@ -6,16 +6,22 @@ strictest cutoff of a grid, a cutoff is certified while the exact binomial test
 rejects fewer than ``alpha / rules`` of the good rows, at level ``delta / (strata * rules)``;
 the walk ends at the first that isn't (a fixed sequence needs no further correction; strata and
 rules are corrected by Bonferroni). This is the exact (Clopper-Pearson) upper bound on the false
-rejection rate. A stratum with too few labelled rows certifies nothing, so nothing is rejected.
+rejection rate. Strata with so few good rows that even no false rejection would certify nothing
+are pooled and judged as one (which is decided by their numbers alone, so the bound holds for the
+pool); a pool that is still too small, and strata without a good row, have nothing rejected by a
+cutoff. The bound is on good rows that hold the base rule: those that fail it are rejected whatever
+the cutoffs.
 
 Defined results: null or empty texts have no words, fail the base rule and aren't kept; rows with
-equal text get equal results unless their strata differ; a null stratum is a stratum; duplicate
-label rows count once a row; without labels only the base rule rejects; other columns aren't read.
+equal text get equal results unless their strata differ; a null stratum is a stratum; repeated
+label rows count once; a row with labels of both kinds isn't good; repeated rows of a document count
+once each; without labels only the base rule rejects; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -94,14 +100,20 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
 
 
-def cutoffs(good: DataFrame, stratum: str = "stratum", alpha: float = 0.05, delta: float = 0.05) -> list[tuple[str | None, str, float]]:
-    """(stratum, rule, cutoff) of each certified rule. ``good``: features of rows labelled good.
+def cutoffs(good: DataFrame, stratum: str = "stratum", alpha: float = 0.05, delta: float = 0.05) -> list[tuple[tuple[str | None, ...], str, float]]:
+    """(strata, rule, cutoff) of each certified rule; strata are one, or all that were pooled. ``good``: features of rows labelled good.
 
-    One aggregate: for each stratum and cutoff, how many good rows it would reject.
+    One aggregate: for each stratum (there are few) and cutoff, how many good rows it would reject.
     """
     counts = [F.sum(F.coalesce((_ratio(r) > c).cast("long"), F.lit(0))).alias(f"{r}_{i}") for r, (_, grid) in RULES.items() for i, c in enumerate(grid)]
     rows = good.groupBy(stratum).agg(F.count("*").alias("n_good"), *counts).collect()
-    out = []
+    enough = lambda n, strata: (1 - alpha / len(RULES)) ** n <= delta / (strata * len(RULES))
+    rows = [r.asDict() | {stratum: (r[stratum],)} for r in rows]
+    own = [r for r in rows if enough(r["n_good"], len(rows))]
+    few = [r for r in rows if not enough(r["n_good"], len(rows))]
+    if few:
+        own.append({k: sum(r[k] for r in few) for k in few[0] if k != stratum} | {stratum: tuple(r[stratum][0] for r in few)})
+    rows, out = own, []
     for row in rows:
         for rule, (_, grid) in RULES.items():
             best = None
@@ -118,11 +130,12 @@ def _ratio(rule: str) -> Column:
     return F.expr(RULES[rule][0])
 
 
-def apply(measured: DataFrame, chosen: list[tuple[str | None, str, float]], stratum: str = "stratum") -> DataFrame:
+def apply(measured: DataFrame, chosen: list[tuple[tuple[str | None, ...], str, float]], stratum: str = "stratum") -> DataFrame:
     """``measured`` with ``kept``: the base rule holds and no certified cutoff is passed."""
     bad = F.lit(False)
-    for s, rule, cut in chosen:
-        bad = bad | (F.col(stratum).eqNullSafe(F.lit(s)) & F.coalesce(_ratio(rule) > cut, F.lit(False)))
+    for strata, rule, cut in chosen:
+        here = reduce(Column.__or__, [F.col(stratum).eqNullSafe(F.lit(s)) for s in strata])
+        bad = bad | (here & F.coalesce(_ratio(rule) > cut, F.lit(False)))
     return measured.withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
@@ -132,5 +145,6 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     The texts are read once; their measures are checkpointed and joined with the labels by id.
     """
     measured = durable(features(docs, id_col, text_col, (stratum,)))
-    good = measured.filter(~F.col("base_failed")).join(labels.filter("quality = 1").select(id_col), id_col)
+    labelled = labels.groupBy(id_col).agg(F.min("quality").alias("_q")).filter("_q = 1").select(id_col)
+    good = measured.filter(~F.col("base_failed")).join(labelled, id_col)
     return apply(measured, cutoffs(good, stratum, alpha, delta), stratum)
