@@ -173,8 +173,8 @@ def test_substrings_edges(spark, edges, empty):
 
 def test_brown_scores(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
-    model = brown.fit(docs.filter("not held_out"), 12, 64, 2000, 100)
-    got = {r.doc_id: r for r in brown.learn_and_score(docs, classes=12, top=64, head=2000, sample=100).collect()}
+    model = brown.fit(docs.filter("not held_out"), 12, 64, 2000)
+    got = {r.doc_id: r for r in brown.learn_and_score(docs, classes=12, top=64, head=2000).collect()}
     rows, counts = rows_of(spark, sf), collections.Counter()
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
@@ -191,21 +191,26 @@ def test_brown_scores(spark, sf):
     total = collections.Counter()  # after any token all words and the unknown one sum to one
     for w, c in counts.items():
         if w != " ":
-            at = model["items"].number.get(w)
-            k = model["class"][model["items"].item[at]] if at is not None else model["class"][1 + model["items"].n_words + brown.group_of(w)]
+            k = model["class"][model["items"]([w])[3][1]]
             total[k] += (c - model["give"][k]) / (model["per"][k] + 1)
     for k in total:
         assert math.isclose(total[k] + (10 ** model["unknown"][k] if model["give"][k] else 1 / (model["per"][k] + 1)), 1, rel_tol=1e-9)
     assert np.allclose((10 ** model["step"]).sum(1), 1)
 
 
+def test_brown_head_changes_no_score(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    one, other = ({r.doc_id: r for r in brown.learn_and_score(docs, classes=12, top=64, head=h).collect()} for h in (5000, 64))
+    assert all(math.isclose(r.score, other[i].score, rel_tol=1e-9) and math.isclose(r.base_score, other[i].base_score, rel_tol=1e-9) and r.n_known == other[i].n_known for i, r in one.items())
+
+
 def test_brown_edges(edges, empty):
     at = edges.withColumn("held_out", F.col("doc_id") == 1003)
-    got = brown.learn_and_score(at, classes=4, top=8, head=20, sample=5)
+    got = brown.learn_and_score(at, classes=4, top=8, head=20)
     assert got.count() == edges.count() and got.filter("doc_id = 1000").first().n_tokens == 1
-    none = brown.learn_and_score(edges.withColumn("held_out", F.lit(True)), classes=4, top=8, head=20, sample=5)
+    none = brown.learn_and_score(edges.withColumn("held_out", F.lit(True)), classes=4, top=8, head=20)
     assert none.count() == edges.count() and none.filter("score != 0 or train_tokens != 0").count() == 0
-    assert brown.learn_and_score(empty.withColumn("held_out", F.lit(False)), classes=4, top=8, head=20, sample=5).count() == 0
+    assert brown.learn_and_score(empty.withColumn("held_out", F.lit(False)), classes=4, top=8, head=20).count() == 0
 
 
 # -- 5 near-duplicates --------------------------------------------------------------------------------

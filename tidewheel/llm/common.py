@@ -74,7 +74,7 @@ def pieces(batch: pa.RecordBatch, size: int = PIECE) -> Iterator[pa.RecordBatch]
     return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
 
 
-def _kinds(schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -82,7 +82,8 @@ def _kinds(schema: str) -> pa.Schema:
 
 
 def _batch(out: dict, kinds: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[k.name], k.type) for k in kinds], kinds.names)
+    values = lambda x, kind: x if isinstance(x, pa.Array) else pa.array(x, kind)
+    return pa.RecordBatch.from_arrays([values(out[k.name], k.type) for k in kinds], kinds.names)
 
 
 def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]], piece_bytes: int = PIECE) -> DataFrame:
@@ -90,7 +91,7 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
     A batch is worked on in pieces of about ``piece_bytes``, which bounds what a worker holds at once.
     """
-    kinds = _kinds(schema)
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -102,14 +103,18 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def per_task(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tuple[Callable[..., None], Callable[[], dict]]]) -> DataFrame:
-    """Sum up partitions of ``columns``: ``make()`` gives ``f(*lists)``, called piece by piece, and ``end() -> {column: values}``."""
-    kinds = _kinds(schema)
+def per_task(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tuple[Callable[..., dict | None], Callable[[], dict]]]) -> DataFrame:
+    """Sum up partitions of ``columns``: ``make()`` gives ``f(*lists)``, called piece by piece, and ``end() -> {column: values}``.
+
+    ``f`` may give such columns as well where a task would hold too much.
+    """
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, end = make()
         for batch in (p for whole in batches for p in pieces(whole)):
-            f(*(c.to_pylist() for c in batch.columns))
+            if (some := f(*(c.to_pylist() for c in batch.columns))) is not None:
+                yield _batch(some, kinds)
         yield _batch(end(), kinds)
 
     return df.select(*columns).mapInArrow(run, schema)
@@ -163,41 +168,66 @@ def _powers(n: int) -> np.ndarray:
     return known
 
 
+def _table(kind: str) -> np.ndarray:
+    """For each code point whether it is a letter or digit (``alnum``), a digit, or no space (``word``)."""
+    if kind not in _TABLES:
+        inside = {"alnum": str.isalnum, "digit": str.isdigit, "word": lambda c: c != " " and not "\t" <= c <= "\r"}[kind]
+        _TABLES[kind] = np.array([inside(chr(i)) for i in range(0x110000)])
+    return _TABLES[kind]
+
+
 class Tokens:
-    """The runs of letters and digits of some lower-cased texts, as 64-bit hashes of their characters, without a Python value for each."""
+    """The tokens of some texts as 64-bit hashes of their characters, without a Python value for each.
 
-    def __init__(self, texts: list[str | None]):
-        lower = [t.lower() if t else "" for t in texts]
+    They are runs of letters and digits of the lower-cased texts or, of kind ``word``, words as
+    words_of() has them of texts with A-Z lower-cased.
+    """
+
+    def __init__(self, texts: list[str | None], kind: str = "alnum"):
+        lower = [t.lower() if t else "" for t in texts] if kind == "alnum" else [t or "" for t in texts]
         code = np.frombuffer(" ".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        if "alnum" not in _TABLES:
-            _TABLES["alnum"] = np.array([chr(i).isalnum() for i in range(0x110000)])
+        if kind == "word":
+            code = code + 32 * ((code >= 65) & (code <= 90)).astype(np.uint32)
+        self.code = code
         inside = np.zeros(len(code) + 2, np.int8)
-        inside[1:-1] = _TABLES["alnum"][code]
+        inside[1:-1] = _table(kind)[code]
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         until = np.cumsum(np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower)))
         #: Place of each text's first token; one more than texts.
         self.bound = np.r_[0, np.searchsorted(self.start, until)]
-        powers = _powers(len(code))
+        self._powers = _powers(len(code))
         self._sum = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(code * powers[: len(code)], out=self._sum[1:])
-        # a token's sum holds a power of its start: all are brought to that of the greatest
-        n = len(powers) - 1
-        self._up = powers[n - self.start] * np.uint64(pow(pow(int(_P), -1, 1 << 64), n, 1 << 64))
+        np.cumsum(code * self._powers[: len(code)], out=self._sum[1:])
+        self._down = np.uint64(pow(pow(int(_P), -1, 1 << 64), len(self._powers) - 1, 1 << 64))
 
     def text(self) -> np.ndarray:
         """Of each token the place of its text."""
         return np.repeat(np.arange(len(self.bound) - 1), np.diff(self.bound))
 
+    def hashes(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Hash of each stretch of characters: a sum holds a power of its start, so all are brought to one power."""
+        up = self._powers[len(self._powers) - 1 - start] * self._down
+        return mix64((self._sum[end] - self._sum[start]) * up + np.uint64(salt * int(_MIX1) % (1 << 64)))
+
     def words(self) -> np.ndarray:
         """Hash of each token."""
-        return mix64((self._sum[self.end] - self._sum[self.start]) * self._up)
+        return self.hashes(self.start, self.end)
 
     def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of tokens of more than n characters, and hashes of their first n (another than those of tokens)."""
         long = np.flatnonzero(self.end - self.start > n)
         start = self.start[long]
-        return long, mix64((self._sum[start + n] - self._sum[start]) * self._up[long] + np.uint64(n * int(_MIX1) % (1 << 64)))
+        return long, self.hashes(start, start + n, n)
+
+    def endings(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the last n characters of the tokens at these places."""
+        return self.hashes(np.maximum(self.start[at], self.end[at] - n), self.end[at], n)
+
+    def digits(self, at: np.ndarray) -> np.ndarray:
+        """Which of the tokens at these places have a digit."""
+        count = np.r_[0, np.cumsum(_table("digit")[self.code])]
+        return count[self.end[at]] > count[self.start[at]]
 
 
 class HashTable:
