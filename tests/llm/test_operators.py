@@ -539,3 +539,31 @@ def test_pipeline(spark, sf):
             assert d.columns == docs.columns
     assert docs.count() >= seen["toxicity"] >= seen["near_duplicates"] >= seen["decontamination"] == seen["secrets"] == seen["bpe"] > 0
     assert c.run(spark, sf).count() == seen["bpe"]
+
+
+# -- repeated rows and clashing names -----------------------------------------------------------------
+
+
+def test_many_equal_rows(spark):
+    """1,000 equal rows of one id, its near copy, and columns named like the operators' own."""
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 500)}" for _ in range(80)]
+    docs = [(1, " ".join(words), "a", "x")] * 1000 + [(2, " ".join([*words[:-1], "other"]), "b", "y")] * 20 + [(3, "alone " * 3, "c", "z")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _id string, _version string").withColumns({"_bucket": F.lit("b"), "_again": F.lit(1)})
+    got = neardup.cluster(d)
+    assert {(x.doc_id, x.component_id, x.kept) for x in got.collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)} and got.count() == 1021
+    left = neardup.survivors(d)
+    assert left.columns == d.columns and sorted((x.doc_id, x["_id"], x["_version"]) for x in left.collect()) == [(1, "a", "x"), (3, "c", "z")]
+    for hot in (5000, 1):
+        out = substrings.dedup(d, 20, 4, hot).groupBy("doc_id", "n_removed").count().collect()
+        assert sorted(map(tuple, out)) == [(1, 0, 1000), (2, 79, 20), (3, 0, 1)]
+
+
+def test_pseudonyms_keep_other_columns(spark):
+    d = spark.createDataFrame([(1, "John.Doe7@mail.example.com john.doe7@MAIL.example.com", "mine", "own")], "doc_id long, text string, _found string, n_email string")
+    out = pii.pseudonymise(d, "k")
+    got = out.first()
+    assert (got["_found"], got["n_email"], got["_n_email"]) == ("mine", "own", 2)
+    a, b = got.text.split()
+    assert a != b and a.lower() == b.lower() and "ohn" not in a
+    assert pii.pseudonymise(out.select("doc_id", "text"), "k", inverse=True).first().text == d.first().text

@@ -179,8 +179,8 @@ def _table(kind: str) -> np.ndarray:
 class Tokens:
     """The tokens of some texts as 64-bit hashes of their characters, without a Python value for each.
 
-    They are runs of letters and digits of the lower-cased texts or, of kind ``word``, words as
-    words_of() has them of texts with A-Z lower-cased.
+    They are runs of letters and digits of the lower-cased texts (``alnum``), words as words_of() has
+    them of texts with A-Z lower-cased (``word``), or words of the texts as they are (``exact``).
     """
 
     def __init__(self, texts: list[str | None], kind: str = "alnum"):
@@ -190,7 +190,7 @@ class Tokens:
             code = code + 32 * ((code >= 65) & (code <= 90)).astype(np.uint32)
         self.code = code
         inside = np.zeros(len(code) + 2, np.int8)
-        inside[1:-1] = _table(kind)[code]
+        inside[1:-1] = _table("alnum" if kind == "alnum" else "word")[code]
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         until = np.cumsum(np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower)))
@@ -214,6 +214,10 @@ class Tokens:
         """Hash of each token."""
         return self.hashes(self.start, self.end)
 
+    def lists(self) -> list[np.ndarray]:
+        """Hashes of the tokens of each text."""
+        return np.split(self.words(), self.bound[1:-1])
+
     def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of tokens of more than n characters, and hashes of their first n (another than those of tokens)."""
         long = np.flatnonzero(self.end - self.start > n)
@@ -260,21 +264,3 @@ class HashTable:
             more = np.flatnonzero((out[left] >= 0) & (self.key[slot] != hashes[left]))
             left, slot = left[more], slot[more]
         return out
-
-
-class WordHashes:
-    """64-bit hashes of words, remembered for a bounded number of them."""
-
-    def __init__(self, limit: int = 300_000):
-        import xxhash
-
-        self._hash, self._known, self._limit = xxhash.xxh3_64_intdigest, {}, limit
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known = self._known
-        if len(known) > self._limit:
-            known.clear()
-        h = self._hash
-        for w in set(words).difference(known):
-            known[w] = h(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, lower_az, mix64, per_batch, unused, words_of
+from .common import Tokens, durable, mix64, per_batch, unused
 from .quality import binomial_at_most
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -44,15 +44,18 @@ def _if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def shingles(words: list[str], size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words."""
-    if not words:
+def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of the runs of ``size`` words, A-Z lower-cased."""
+    return [_shingles(h, size) for h in Tokens(texts, "word").lists()]
+
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    if not len(words):
         return np.zeros(0, np.uint64)
-    h = hashes(words)
     k = min(size, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        total = total * _P + h[i : len(words) - k + 1 + i]
+        total = total * _P + words[i : len(words) - k + 1 + i]
     return np.unique(mix64(total))
 
 
@@ -79,14 +82,13 @@ def features(docs: DataFrame, size: int, coordinates: int, seed: int = 11) -> Da
     def make():
         import xxhash
 
-        hashes, rng = WordHashes(), np.random.default_rng(seed)
+        rng = np.random.default_rng(seed)
         a = rng.integers(0, 1 << 63, coordinates, np.uint64) * np.uint64(2) + np.uint64(1)
         b = rng.integers(0, 1 << 63, coordinates, np.uint64)
 
         def f(ids, versions, texts):
             out = {"doc_id": ids, "version": versions, "n_shingles": [], "set_key": [], "sig": []}
-            for t in texts:
-                s = shingles(words_of(lower_az(t or "")), size, hashes)
+            for s in shingles(texts, size):
                 out["n_shingles"].append(len(s))
                 out["set_key"].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 out["sig"].append(signature(s, a, b).tobytes() if len(s) else None)
@@ -167,8 +169,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) ->
     texts = _texts(docs, nodes, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
 
     def sets():
-        hashes = WordHashes()
-        return lambda ids, texts: {"id": ids, "shingles": [shingles(words_of(lower_az(t or "")), size, hashes).tobytes() for t in texts]}
+        return lambda ids, texts: {"id": ids, "shingles": [s.tobytes() for s in shingles(texts, size)]}
 
     known = per_batch(texts, ["doc_id", "text"], "id long, shingles binary", sets)
     both = pairs.join(known.toDF("a", "set_a"), "a").join(known.toDF("b", "set_b"), "b")
@@ -213,10 +214,8 @@ def _rest(members: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
     p, q = similarity.numerator, similarity.denominator
 
     def sets():
-        hashes = WordHashes()
-
         def f(ids, texts):
-            found = [shingles(words_of(lower_az(t or "")), size, hashes).view(np.int64) for t in texts]
+            found = [s.view(np.int64) for s in shingles(texts, size)]
             return {"id": np.repeat(np.array(ids, np.int64), [len(s) for s in found]), "h": np.concatenate(found)}
 
         return f

@@ -9,7 +9,9 @@ in two documents has the same minimiser in both, so:
 3. Of runs with equal words one is the representative. Its words travel as one packed string to the
    bucket of its minimiser, where its windows are sorted; equal neighbours are counted exactly and
    the smallest document is found. Equal windows hold the minimiser at the same place, so a bucket
-   is sorted place by place. Buckets of more than ``hot`` representatives are dealt out by window.
+   is sorted place by place. A minimiser with more than ``hot`` representatives has no bucket: its
+   windows are rows, of which the engine finds the smallest document by an aggregate that adds up
+   before it shuffles, so no task holds them together.
 4. What the buckets found is joined back to all runs, and by document to the texts.
 
 A large group of copies thus becomes one representative each run, and its members only rows of
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, durable, mix64, per_batch, words_of
+from .common import Tokens, durable, mix64, per_batch, words_of
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -44,18 +46,17 @@ class Cutter:
     """Cuts lists of words into runs."""
 
     def __init__(self, width: int, gram: int):
-        self.width, self.gram, self.hashes = width, gram, WordHashes()
+        self.width, self.gram = width, gram
         self.powers = self.inverse = np.ones(1, np.uint64)
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, ...] | None:
-        """Each run's first window, number of windows, place of the minimiser in its first window, minimiser and fingerprint."""
-        n, width, gram = len(words), self.width, self.gram
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """Of a text's words' hashes: each run's first window, number of windows, place of the minimiser in its first window, minimiser and fingerprint."""
+        n, width, gram = len(h), self.width, self.gram
         if n < width:
             return None
         if len(self.powers) <= n:
             ones = np.ones(n * 2 + 1, np.uint64)
             self.powers, self.inverse = (np.cumprod(np.r_[ones[:1], ones[1:] * p], dtype=np.uint64) for p in (_P, _P_INV))
-        h = self.hashes(words)
         total = np.r_[np.uint64(0), np.cumsum(h * self.powers[:n], dtype=np.uint64)]
         part = lambda s, e: mix64((total[e] - total[s]) * self.inverse[s])
         i = np.arange(n - gram + 1)
@@ -76,8 +77,8 @@ def runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
         def f(ids, versions, texts):
             out: list[tuple] = []
-            for i, v, t in zip(ids, versions, texts, strict=True):
-                if (found := cut(words_of(t))) is not None:
+            for i, v, h in zip(ids, versions, Tokens(texts, "exact").lists(), strict=True):
+                if (found := cut(h)) is not None:
                     k = len(found[0])
                     out.append((np.full(k, i), np.full(k, v), *found))
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
@@ -89,13 +90,11 @@ def runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _packed(with_runs: DataFrame, width: int) -> DataFrame:
-    """Rows (bucket, key, sig, doc_id, base, at, words): a representative, or a window of a hot one."""
+    """Rows (hot, key, sig, doc_id, base, at, words): a representative, or a window of a hot one."""
 
     def make():
-        hashes = WordHashes()
-
         def f(ids, texts, lists):
-            out = {k: [] for k in ("bucket", "key", "sig", "doc_id", "base", "at", "words")}
+            out = {k: [] for k in ("hot", "key", "sig", "doc_id", "base", "at", "words")}
 
             def add(*row):
                 for column, value in zip(out.values(), row, strict=True):
@@ -105,16 +104,15 @@ def _packed(with_runs: DataFrame, width: int) -> DataFrame:
                 words = words_of(t)
                 for r in found:
                     if not r["hot"]:
-                        add(r["key"], r["key"], r["sig"], i, 0, r["at"], " ".join(words[r["first"] : r["first"] + r["n"] + width - 1]))
+                        add(False, r["key"], r["sig"], i, 0, r["at"], " ".join(words[r["first"] : r["first"] + r["n"] + width - 1]))
                         continue
                     for j in range(r["n"]):
-                        window = " ".join(words[r["first"] + j : r["first"] + j + width])
-                        add(int(hashes([window]).view(np.int64)[0]), r["key"], r["sig"], i, j, 0, window)
+                        add(True, r["key"], r["sig"], i, j, 0, " ".join(words[r["first"] + j : r["first"] + j + width]))
             return out
 
         return f
 
-    return per_batch(with_runs, ["doc_id", "text", "runs"], "bucket long, key long, sig long, doc_id long, base int, at int, words string", make)
+    return per_batch(with_runs, ["doc_id", "text", "runs"], "hot boolean, key long, sig long, doc_id long, base int, at int, words string", make)
 
 
 def window_minima(rows: list[tuple], width: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -153,7 +151,7 @@ def _bucket_minima(packed: DataFrame, width: int) -> DataFrame:
         out: list[tuple] = []
         emit = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "sig", "window", "n", "least"])
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        for _, same in groupby(rows, itemgetter(0)):
+        for _, same in groupby(rows, itemgetter(1)):
             out += window_minima(list(same), width)
             if len(out) > 50_000:
                 yield emit()
@@ -161,30 +159,41 @@ def _bucket_minima(packed: DataFrame, width: int) -> DataFrame:
         if out:
             yield emit()
 
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, sig long, window int, n int, least long")
 
 
-def removed(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 50_000) -> DataFrame:
+def _hot_minima(windows: DataFrame) -> DataFrame:
+    """As _bucket_minima() of single windows, by an aggregate over their words and a join that may be split."""
+    least = durable(windows.groupBy("words").agg(F.min("doc_id").alias("least")))
+    return windows.join(least, "words").select("key", "sig", F.col("base").alias("window"), F.lit(1).alias("n"), "least")
+
+
+def removed(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 5_000) -> DataFrame:
     """``doc_id, version, first, n``: stretches of windows that start in a document with a smaller id."""
     found = runs(docs, width, gram)
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("key")
+    # a table of its own, so that the join's other side may be split where a minimiser is frequent
+    shared = durable(found.groupBy("key").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("key"))
     mine = durable(found.join(shared, "key"))
     of = F.struct("doc_id", "version", "first", "n", "at")
     chosen = durable(mine.groupBy("key", "sig").agg(F.min(of).alias("r"), F.max("doc_id").alias("last")))
     many = chosen.groupBy("key").agg(F.count("*").alias("_k")).filter(F.col("_k") > hot).select("key", F.lit(True).alias("hot"))
     listed = chosen.join(many, "key", "left").select("r.doc_id", "r.version", F.struct("key", "sig", "r.first", "r.n", "r.at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run"))
     by_doc = listed.groupBy("doc_id", "version").agg(F.collect_list("run").alias("runs"))  # a document's own runs
-    minima = _bucket_minima(_packed(docs.join(by_doc, ["doc_id", "version"]), width), width)
+    once = docs.join(by_doc, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])  # equal rows are one; they are together already
+    packed = _packed(once, width)
+    minima = _bucket_minima(packed.filter("not hot"), width)
+    if many.limit(1).count():
+        minima = minima.unionByName(_hot_minima(packed.filter("hot")))
     known = minima.join(chosen.select("key", "sig", "last"), ["key", "sig"]).filter("least < last").drop("last")
     back = mine.select("key", "sig", "doc_id", "version", F.col("first").alias("_f")).join(known, ["key", "sig"]).filter("least < doc_id")
     return back.select("doc_id", "version", (F.col("_f") + F.col("window")).alias("first"), "n")
 
 
-def dedup(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 5_000, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed`` and the kept words joined by a space (``kept``), or their digest (``kept_sha256``)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
-    cut = removed(own, width, gram, hot).groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "n")).alias("cut"))
+    cut = removed(own, width, gram, hot).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "n")).alias("cut"))  # equal rows give equal stretches
     last = "kept_sha256" if digest else "kept"
 
     def make():
