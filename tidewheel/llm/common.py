@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import zlib
@@ -86,6 +88,25 @@ def _batch(out: dict, kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([values(out[k.name], k.type) for k in kinds], kinds.names)
 
 
+def _give_back() -> None:
+    """Return what a task leaves unused to the machine: workers live on, and other stages need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _tasks(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` with the memory given back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]], piece_bytes: int = PIECE) -> DataFrame:
     """Map Arrow batches of ``columns``: ``make()`` once a task gives ``f(*lists) -> {column: values}``.
 
@@ -100,7 +121,7 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             if out.num_rows:
                 yield out
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(_tasks(run), schema)
 
 
 def per_task(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tuple[Callable[..., dict | None], Callable[[], dict]]]) -> DataFrame:
@@ -117,7 +138,7 @@ def per_task(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
                 yield _batch(some, kinds)
         yield _batch(end(), kinds)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(_tasks(run), schema)
 
 
 def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
@@ -128,7 +149,18 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
         for batch in (p for whole in batches for p in pieces(whole)):
             yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(column)).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(_tasks(run), df.schema)
+
+
+def change_texts(df: DataFrame, column: str, change: Callable[[str | None], str | None]) -> DataFrame:
+    """The same rows with each text of ``column`` changed. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for whole in batches for p in pieces(whole)):
+            i = b.schema.get_field_index(column)
+            yield b.set_column(i, b.schema.field(i), pa.array([change(t) for t in b.column(i).to_pylist()], b.schema.field(i).type))
+
+    return df.mapInArrow(_tasks(run), df.schema)
 
 
 def crc_mod(doc_id: int, modulus: int) -> int:
