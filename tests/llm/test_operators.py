@@ -287,6 +287,25 @@ def test_secret_lexing():
     assert of("colour = 'Zx9#kQ2!vB7mP4wT'") == [] and of("password = 'hello'") == []
 
 
+S = "aB3dE6gH9jK2mN5pQ8"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (f'cfg["db_pwd"] = "{S}"', [S]), (f"db_pwd: |\n  {S}\n  {S}\nother: 1", [f"{S}\n  {S}"]), (f'pwd = """{S}"""', [S]), (f'pwd = "it\'s{S}"', [f"it's{S}"]), (f"pwd: str = '{S}'", [S]),
+    ("k = 'Zx9#kQ2!'; pwd = k + 'vB7mP4wT'", ["Zx9#kQ2!", "vB7mP4wT"]), (f"pwd = k\nk = '{S}'", [S]), ("pwd = 'Zx9#kQ2!' 'vB7mP4wT'", ["Zx9#kQ2!", "vB7mP4wT"]), (f"don't set pwd={S} it's", [S]),
+    (f"--db-pwd {S} x", [S]), (f"'pwd' => '{S}',", [S]), (f"x = f'{S}'\ny = x\nz = y\npwd = z", [S]), ("a" * 100 + f"_pwd = '{S}'", [S]), ("pwd = '" + S * 6000 + "'", [S * 6000]),
+    ("pwd = os.getenv('FOO_BAR_123')", []), (f"if pwd == '{S}':", []), ("a = b\nb = a\npwd = a", []), ("author: John Smith, 1999", []), ("The key: a summary of what matters", []), ("a = b + b\n" * 500 + "pwd = a", []),
+])
+def test_secret_syntax(text, want):
+    assert [text[s:e] for s, k, e in secrets.spans(text) if k == 3] == want
+
+
+def test_no_false_alarms_in_plain_texts(spark, sf):
+    base = {i: len(secrets.base_spans(t or "")) for i, t in rows_of(spark, sf)}
+    more = {i: len(secrets.spans(t)) - base[i] for i, t in rows_of(spark, sf)}
+    assert sum(more.values()) <= 0.02 * len(more)
+
+
 def test_long_secrets_masked_whole(spark):
     r = random.Random(4)
     key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1700))

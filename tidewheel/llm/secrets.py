@@ -1,14 +1,16 @@
 """Secret scan by assignment-aware lexing.
 
-Base spans come from three fixed patterns. The method then reads source and configuration syntax
-into name-literal pairs (``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``,
-``<name>x</name>``, ``--name x``), propagates constants (a literal given to one name and that name
-given to another: ``k = "…"`` then ``password = k``), and scores each literal by how sensitive the
-names are that it reaches, by its length and by its variety of characters. Literals that score
-``threshold`` or more become spans of kind ``lexed``. Base spans always stay.
-
-Defined results: a null text counts as empty and has no spans; texts are scanned whole; repeated
-rows are scanned alike; other columns aren't read. Positions are code points, ends exclusive.
+Base spans come from three fixed patterns. The method then cuts source and configuration syntax into
+tokens (strings of each quote kind, triple quotes, names, flags, tags, marks), parses these into
+name-literal pairs (see assignments()), propagates constants (a literal given to one name and that
+name given to another, in either order, whole or as a part: ``k = "…"`` then ``password = k + "…"``),
+and scores each value by how sensitive the names are that it reaches, by its length and by its variety
+of characters. The literals of values that score ``threshold`` or more become spans of kind ``lexed``.
+Base spans always stay.
+
+Defined results: a null text counts as empty and has no spans; texts are scanned whole, and names and
+literals may have any length; repeated rows are scanned alike; other columns aren't read. Positions
+are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -16,32 +18,45 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from .common import per_batch
+from .common import change_texts, per_batch
 
 KINDS = ("assign", "access", "hex", "lexed")
 _ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 #: Every run of 32 or more holds one of these steps, so short runs needn't be looked at one by one.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
-_PAIR = re.compile(
-    rf"""(?:(?P<tag><(?P<t>{_NAME})>(?P<inner>[^<>\s]+)</(?P=t)>)"""
-    rf"""|(?P<flag>(?<![\w-])--(?P<f>{_NAME})[ =](?P<fv>[^\s"']+))"""
-    rf"""|(?P<q1>["']?)(?P<name>{_NAME})(?P=q1)[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<q>["'`])(?P<lit>[^"'`\n]+)(?P=q)|(?P<bare>[^\s"'`,;(){{}}\[\]<>|]+)))"""
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$.\-]*"
+#: Tokens of source and configuration: strings of each kind, tags, flags, names, marks, ends of lines, other runs.
+_TOKEN = re.compile(
+    r"""(?P<string>(?:(?<![A-Za-z0-9_])[rRbBfFuU]{1,2}|(?<![A-Za-z0-9_]))(?:\"\"\"(?P<s3>(?:[^\\]|\\[\s\S])*?)\"\"\"|'''(?P<t3>(?:[^\\]|\\[\s\S])*?)'''|"(?P<s1>(?:[^"\\\n]|\\.)*)"|'(?P<t1>(?:[^'\\\n]|\\.)*)'|`(?P<b1>(?:[^`\\]|\\[\s\S])*)`))"""
+    rf"""|(?P<tag><(?P<t>{_NAME})>(?P<inner>[^<>\s]+)</(?P=t)>)"""
+    rf"""|(?P<flag>(?<![\w-])--(?P<f>{_NAME})(?:[ =](?=[^\s"'-])))"""
+    rf"""|(?P<name>{_NAME})"""
+    r"""|(?P<mark>:=|=>|[=!<>]=|[=:+,;\[\](){}\n])"""
+    r"""|(?P<other>[^\s"'`,;(){}\[\]<>|=:+]+)"""
 )
+_BARE, _FLAG_VALUE = re.compile(r"""[^\s"'`,;(){}\[\]<>|]+"""), re.compile(r"""[^\s"']+""")
 _NAME_ONLY = re.compile(rf"{_NAME}\Z")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[ \t]*\n(?P<lines>(?P<indent>[ \t]+)\S[^\n]*(?:\n(?:(?P=indent)[^\n]*|[ \t]*(?=\n|\Z)))*)")
+_BLANKS = re.compile(r"[ \t]*")
+_ASSIGNS = ("=", ":", ":=", "=>")
 #: Parts of names and how sensitive they are.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 0.9, "credential": 0.9, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.6, "passphrase": 1.0, "salt": 0.5, "key": 0.4}
-_HINTS = re.compile("|".join(["pass", "pwd", "secret", "token", "key", "cred", "auth", "salt"]), re.I)
+_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "salt")
+#: Every match of the first base pattern holds one of these in some case.
+_ASSIGNED = ("passw", "secret", "token", "apikey", "api_key")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three patterns; leftmost, non-overlapping within a kind."""
-    found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+    low, found = text.lower(), []
+    if any(word in low for word in _ASSIGNED):
+        found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _LONG_HEX.finditer(text)]
@@ -53,46 +68,150 @@ def name_score(name: str) -> float:
     return max((v for k, v in SENSITIVE.items() if k in plain), default=0.0)
 
 
-def literal_score(literal: str) -> float:
+def literal_score(literal: str | Counter) -> float:
     """0 to 1 by length and by the entropy of the characters; words of letters alone score low."""
-    n = len(literal)
+    count = Counter(literal)
+    n = count.total()
     if n < 6:
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, n / 16) * min(1.0, entropy / 3.2) * (0.35 if classes == 1 else 1.0)
+    entropy = -sum(c / n * math.log2(c / n) for c in count.values())
+    kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+    return min(1.0, n / 16) * min(1.0, entropy / 3.2) * (0.35 if len(set(map(kind, count))) == 1 else 1.0)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, value, start, end of the value) as assigned in the text, in order."""
+#: A part of a value: the name it stands for, if it may be one, and its place if it is a literal.
+Part = tuple[str | None, tuple[int, int] | None]
+
+
+def lexed(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of the tokens; of strings what the quotes hold."""
     out = []
-    for m in _PAIR.finditer(text):
-        if m["tag"]:
-            out.append((m["t"], m["inner"], *m.span("inner"), True))
-        elif m["flag"]:
-            out.append((m["f"], m["fv"], *m.span("fv"), True))
-        elif m["lit"] is not None:
-            out.append((m["name"], m["lit"], *m.span("lit"), True))
+    for m in _TOKEN.finditer(text):
+        kind = m.lastgroup if m.lastgroup in ("name", "mark", "other") else next(k for k in ("string", "tag", "flag") if m[k] is not None)
+        if kind == "string":
+            inner = next(k for k in ("s3", "t3", "s1", "t1", "b1") if m[k] is not None)
+            out.append((kind, m[inner], *m.span(inner)))
         else:
-            out.append((m["name"], m["bare"], *m.span("bare"), False))
+            out.append((kind, m[0], *m.span()))
     return out
 
 
+def assignments(text: str) -> list[tuple[list[str], list[Part]]]:
+    """(names, parts of the value) as assigned in the text, in order.
+
+    ``name = "x"``, ``name: x``, ``"name" => "x"``, ``a["name"] = x``, ``name: kind = "x"``, values put
+    together by ``+`` (spaced, or beside a string) or side by side, blocks of lines after ``name: |``,
+    ``--name x``, ``<name>x</name>``.
+    """
+    tokens, out = lexed(text), []
+    for i, (kind, value, start, end) in enumerate(tokens):
+        if kind == "tag":
+            at = start + value.index(">") + 1
+            out.append(([value[1 : at - start - 1]], [(None, (at, text.index("<", at)))]))
+        elif kind == "flag":
+            m = _FLAG_VALUE.match(text, end)
+            out.append(([value[2:-1]], [(None, m.span())] if m else []))
+        elif kind == "mark" and value in _ASSIGNS and (names := _targets(tokens, i)):
+            out.append((names, _value(text, tokens, i + 1, end)))
+    return [(names, parts) for names, parts in out if parts]
+
+
+def _targets(tokens: list[tuple[str, str, int, int]], i: int) -> list[str]:
+    """The names that the assignment mark at i gives a value to."""
+    kind, value, start, _ = tokens[i - 1] if i else ("", "", 0, 0)
+    if kind in ("name", "string"):
+        names = [value] if value.strip() else []
+        if i > 2 and tokens[i - 2][1] == ":" and tokens[i][1] == "=" and tokens[i - 3][0] == "name":  # name: kind = …
+            names.append(tokens[i - 3][1])
+        return names
+    if value == "]" and i > 3 and tokens[i - 3][1] == "[" and tokens[i - 2][0] in ("name", "string"):
+        return [tokens[i - 2][1]] + ([tokens[i - 4][1]] if tokens[i - 4][0] == "name" else [])
+    return []
+
+
+def _value(text: str, tokens: list[tuple[str, str, int, int]], i: int, at: int) -> list[Part]:
+    """The parts of the value that starts at a place of the text, before token i."""
+    if tokens[i - 1][1] == ":" and (m := _BLOCK.match(text, at)):
+        return [(None, (m.start("lines") + len(m["indent"]), m.end("lines")))]
+    parts: list[Part] = []
+    while i < len(tokens) and tokens[i][0] == "string" and not text[at : tokens[i][2]].strip(" \t\"'`rRbBfFuU") or (m := _BARE.match(text, _BLANKS.match(text, at).end())):
+        if i < len(tokens) and tokens[i][0] == "string" and not text[at : tokens[i][2]].strip(" \t\"'`rRbBfFuU"):
+            parts.append((None, tokens[i][2:]))
+            at = tokens[i][3] + (3 if text[tokens[i][3] : tokens[i][3] + 3] in ('\"\"\"', "'''") else 1)
+            more = True  # strings side by side are one
+        else:
+            whole = m[0] if m[0] == "+" else m[0].rstrip("+")  # other plus signs may be of a key
+            if whole in ("", "+"):
+                return parts
+            at = m.start() + len(whole)
+            if text[at : at + 1] == "(":  # a call
+                return parts
+            parts.append((whole if _NAME_ONLY.match(whole) else None, (m.start(), at)))
+            more = False
+        after = _BLANKS.match(text, at).end()
+        plus = text[after : after + 1] == "+"
+        if not plus and not (more and text[after : after + 1] in ('"', "'")):
+            break
+        at = after + plus
+        while i < len(tokens) and tokens[i][2] < at:
+            i += 1
+    return parts
+
+
 def lexed_spans(text: str, threshold: float) -> list[tuple[int, int, int]]:
-    """Spans of literals that sensitive names get, straight or through other names."""
-    if not _HINTS.search(text) or not ("=" in text or ":" in text or "--" in text or "</" in text):
+    """Spans of literals that sensitive names get, straight or through other names, before or after these are given their values."""
+    low = text.lower()
+    if not any(hint in low for hint in _HINTS) or not ("=" in text or ":" in text or "--" in text or "</" in text):
         return []
-    bound: dict[str, tuple[str, int, int, float]] = {}  # name: its literal so far
-    found: dict[tuple[int, int], float] = {}
-    for name, value, start, end, literal in pairs(text):
-        score = name_score(name)
-        if not literal and _NAME_ONLY.match(value) and value in bound:
-            value, start, end, before = bound[value]
-            score = max(score, before)
-        bound[name] = value, start, end, score
-        if score and score * literal_score(value) >= threshold:
-            found[start, end] = max(found.get((start, end), 0.0), score * literal_score(value))
-    return [(s, 3, e) for s, e in found]
+    every = assignments(text)
+    given: dict[str, list[int]] = {}
+    for k, (names, _) in enumerate(every):
+        for name in names:
+            given.setdefault(name, []).append(k)
+
+    def source(name: str | None, k: int) -> int | None:
+        """The assignment that a name in the k-th one stands for: the last before it, else the first after it."""
+        of = given.get(name) if name else None
+        if not of:
+            return None
+        at = bisect_left(of, k)
+        return of[at - 1] if at else next((j for j in of if j != k), None)
+
+    known: dict[int, tuple[Counter, frozenset]] = {}
+
+    def resolve(first: int) -> tuple[Counter, frozenset]:
+        """Characters and places of the literals that the value of an assignment is made of."""
+        todo, open_ = [first], set()
+        while todo:
+            k = todo[-1]
+            if k in known:
+                todo.pop()
+                continue
+            below = [source(name, k) for name, _ in every[k][1]]
+            if k not in open_:
+                open_.add(k)
+                if new := [j for j in below if j is not None and j not in known and j not in open_]:
+                    todo += new
+                    continue
+            count, places = Counter(), set()
+            for (_, place), j in zip(every[k][1], below, strict=True):
+                if j is not None and j in known:
+                    count += known[j][0]
+                    places |= known[j][1]
+                elif j is None and place:
+                    count += Counter(text[slice(*place)])
+                    places.add(place)
+            known[k] = count, frozenset(places)
+            todo.pop()
+        return known[first]
+
+    found: set[tuple[int, int]] = set()
+    for k, (names, _) in enumerate(every):
+        if score := max(map(name_score, names)):
+            count, places = resolve(k)
+            if score * literal_score(count) >= threshold:
+                found |= places
+    return [(s, 3, e) for s, e in sorted(found) if e > s]
 
 
 def spans(text: str | None, threshold: float = 0.5) -> list[tuple[int, int, int]]:
@@ -140,15 +259,4 @@ def redact(docs: DataFrame, threshold: float = 0.5, mark: str = "[SECRET]", text
                 at = e
         return "".join(out) + text[at:]
 
-    return _rewritten(docs, hide, text_col)
-
-
-def _rewritten(docs: DataFrame, change, text_col: str) -> DataFrame:
-    import pyarrow as pa
-
-    def run(batches):
-        for b in batches:
-            i = b.schema.get_field_index(text_col)
-            yield b.set_column(i, b.schema.field(i), pa.array([change(t) for t in b.column(i).to_pylist()], b.schema.field(i).type))
-
-    return docs.mapInArrow(run, docs.schema)
+    return change_texts(docs, text_col, hide)
