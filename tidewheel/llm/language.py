@@ -8,7 +8,8 @@ the score under which a prediction counts as rejected. As the model is linear, a
 embedding times the softmax weights is one row of scores, so a text is scored by one sum.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; without any
-labelled row all get that; repeated rows are scored alike; other columns aren't read.
+labelled row all get that; repeated rows are scored alike; rows with a null id are scored and not
+learned from; an id with several languages is an example of each; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import durable, per_batch
 
 BUCKETS, GRAMS = 1 << 16, (2, 3, 4)
 #: Characters handled at once.
@@ -113,12 +114,35 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dims: int = 16, epochs
     return {"langs": langs, "scores": table * np.float32(t), "reject": min(reject, 0.999)}
 
 
+def _first(known: DataFrame, per_language: int) -> DataFrame:
+    """``i, l``: for each language the ids with the least hashes, ``per_language`` at most.
+
+    Only ids below a bound on their hash travel, which the language's number of rows sets so that
+    about eight times as many as are needed do; where they are too few (ids that repeat) it is raised.
+    So what reaches one task doesn't grow with the table.
+    """
+    whole = 1 << 30
+    bound = {r["l"]: min(whole, 8 * per_language * whole // r["n"] + 1) for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not bound:
+        return known.limit(0)
+    hashed = known.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(whole)))
+    while True:
+        below = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])
+        few = durable(hashed.filter(F.col("h") < F.element_at(below, F.col("l"))).select("i", "l").distinct())
+        have = {r["l"]: r["n"] for r in few.groupBy("l").agg(F.count("*").alias("n")).collect()}
+        short = [x for x, b in bound.items() if b < whole and have.get(x, 0) < per_language]
+        if not short:
+            break
+        bound |= {x: min(whole, bound[x] * 64) for x in short}
+    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    return few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("i", "l")
+
+
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
     """Gram counts of at most ``per_language`` rows for each language, the first by a hash of the id."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    first = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = known.select(id_col, lang_col).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).select(id_col).distinct()
-    chosen = known.join(F.broadcast(ids), id_col, "left_semi")  # its bound: per_language ids a language
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    ids = _first(known.select("i", "l"), per_language)
+    chosen = known.join(F.broadcast(ids), ["i", "l"], "left_semi")  # its bound: per_language ids a language
 
     def make():
         def f(texts, langs):
@@ -134,15 +158,17 @@ def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_
 
         return f
 
-    rows = per_batch(chosen, [text_col, lang_col], "lang string, bucket array<int>, n array<int>", make).toArrow().to_pydict()
+    rows = per_batch(chosen, ["t", "l"], "lang string, bucket array<int>, n array<int>", make).toArrow().to_pydict()
     return sorted(((np.array(b), np.array(n), lang) for b, n, lang in zip(rows["bucket"], rows["n"], rows["lang"], strict=True)), key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
 
 
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score, rejected`` of every whole text. No shuffle."""
     kind = dict(docs.dtypes)[id_col]
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a row for each bucket
 
     def make():
+        model = sent.value
         if model is None:
             return lambda ids, texts: {id_col: ids, "lang_pred": ["und"] * len(ids), "score": [0.0] * len(ids), "rejected": [True] * len(ids)}
         langs = model["langs"]
