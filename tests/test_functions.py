@@ -53,3 +53,18 @@ def test_kendall_by_pairs():
 def test_cascading_fill_needs_enough_values():
     x = np.array([np.nan, 1, np.nan, np.nan])
     assert np.isnan(S.cascading_fill(x, "mean", 2, 2)[2]) and S.cascading_fill(x, "mean", 2)[3] == 1
+
+
+def test_kendall_by_pairs():
+    r = np.random.default_rng(3)
+    for n, values in ((0, 3), (1, 3), (2, 2), (60, 5), (300, 1000)):
+        x, y = r.integers(0, values, n).astype(float), r.integers(0, values, n).astype(float)
+        if n > 10:
+            y[3] = np.nan
+        ok = ~np.isnan(y)
+        a, b = np.sign(x[ok][:, None] - x[ok]), np.sign(y[ok][:, None] - y[ok])
+        total = np.sqrt((a != 0).sum() * (b != 0).sum())
+        got = S.kendall(x, y)
+        assert np.isnan(got) if not total else np.isclose(got, (a * b).sum() / total)
+    big = r.normal(size=100_000)
+    assert abs(S.kendall(big, big) - 1) < 1e-12 and abs(S.kendall(big, -big) + 1) < 1e-12

@@ -151,7 +151,10 @@ def correlation(df: DataFrame, key: str, ts: str, cols: list[str], method: str =
         rows = []
         for a, b in combinations(cols, 2):
             both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-            ranked = both.select(*(by or []), *[_average_rank(c, by or []).alias(n) for c, n in ((a, "x"), (b, "y"))])
+            if by:
+                ranked = both.select(*by, *[_average_rank(c, by).alias(n) for c, n in ((a, "x"), (b, "y"))])
+            else:
+                ranked = both.select(a, b).join(_global_rank(both, a, "x"), a).join(_global_rank(both, b, "y"), b)
             table = (ranked.groupBy(*by) if by else ranked.groupBy()).agg(F.corr("x", "y").alias("corr"))
             rows.append(table.select(*(by or []), F.lit(a).alias("a"), F.lit(b).alias("b"), "corr"))
         out = rows[0]
@@ -165,18 +168,30 @@ def correlation(df: DataFrame, key: str, ts: str, cols: list[str], method: str =
     return table.select(*(by or []), F.explode(rows).alias("r")).select(*(by or []), "r.*")
 
 
+def _global_rank(df: DataFrame, c: str, name: str, parts: int = 64) -> DataFrame:
+    """``c, name``: the average rank of each distinct value of a whole table, from counts in ranges of values; no task sorts it all."""
+    counts = df.groupBy(c).agg(F.count("*").alias("_n"))
+    bounds = sorted(set(counts.approxQuantile(c, [i / parts for i in range(1, parts)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(c).cast("double"))) if bounds else F.lit(0)
+    dealt = counts.withColumn("_p", part)
+    before, at = 0, {}
+    for r in sorted(dealt.groupBy("_p").agg(F.sum("_n").alias("n")).collect()):  # ``parts`` rows at most
+        at[r["_p"]], before = before, before + r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in (at or {0: 0}).items() for x in pair]), F.col("_p"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.select(c, (offset + below + (F.col("_n") + 1) / 2).alias(name))
+
+
 def _average_rank(c: str, by: list[str]):
     """Rank with ties averaged: a value's rank, from counts of distinct values, needs no order among ties."""
     w = Window.partitionBy(*by)
     return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
 
-def _kendall(df: DataFrame, key: str, cols: list[str], most: int = 20_000) -> DataFrame:
+def _kendall(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     kind = dict(df.dtypes)[key]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a series has more than {most} rows; its pairs are quadratic")
         rows = [(pdf[key].iloc[0], a, b, numeric.kendall(pdf[a].to_numpy(float), pdf[b].to_numpy(float))) for a, b in combinations(cols, 2)]
         return pd.DataFrame(rows, columns=[key, "a", "b", "corr"])
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..panel import in_order, whole
+from ..panel import in_order, whole, with_blocks
 from . import metrics
 
 
@@ -39,18 +39,18 @@ def epsilon_threshold(scores: DataFrame, key: str, ts: str, score: str = "score"
     if not n:
         return scores.sparkSession.createDataFrame([(None,)], "threshold double")
     limits = [m + z * sd for z in zs]
-    flags = [(F.col(score) > t).cast("int").alias(f"f_{i}") for i, t in enumerate(limits)]
+    flags = [(F.col(score) >= t).cast("int").alias(f"f_{i}") for i, t in enumerate(limits)]
     frame = in_order(key, ts).rowsBetween(-reach, reach)
     wide = scores.select(key, ts, score, *flags).select(score, *[F.max(f"f_{i}").over(frame).alias(f"d_{i}") for i in range(len(zs))])
     aggs = [F.sum(f"d_{i}").alias(f"n_{i}") for i in range(len(zs))]
-    aggs += [f(F.when(F.col(score) <= t, F.col(score))).alias(f"{k}_{i}") for i, t in enumerate(limits) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
+    aggs += [f(F.when(F.col(score) < t, F.col(score))).alias(f"{k}_{i}") for i, t in enumerate(limits) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
     got = wide.agg(*aggs).first()
     best, chosen = -np.inf, float(top)
     for i, t in enumerate(limits):
         if not got[f"n_{i}"] or got[f"n_{i}"] >= n * 0.5 or got[f"m_{i}"] is None or not m or not sd:
             continue
         gain = (m - got[f"m_{i}"]) / m + (sd - got[f"s_{i}"]) / sd
-        value = gain / (1, got[f"n_{i}"], got[f"n_{i}"] ** 2)[reg_level]
+        value = round(gain / (1, got[f"n_{i}"], got[f"n_{i}"] ** 2)[reg_level], 10)  # limits that part the same rows are equal
         if value >= best:
             best, chosen = value, t
     return scores.sparkSession.createDataFrame([(float(chosen),)], "threshold double")
@@ -81,6 +81,23 @@ def point_adjust(df: DataFrame, key: str, ts: str, pred: str, real: str) -> Data
     return runs.withColumn(pred, F.when(F.col(real) == 1, hit).otherwise(F.col(pred))).drop("_start", "_run")
 
 
+def point_adjust_in_blocks(df: DataFrame, key: str, ts: str, step: str, pred: str, real: str, block: int = 100_000) -> DataFrame:
+    """As point_adjust() for series of any length: runs are numbered block by block, so no task holds a series."""
+    at = with_blocks(df, key, ts, step, block)
+    w = in_order([key, "_block"], ts)
+    inner = (F.lag(real, 1).over(w).isNull() | (F.lag(real, 1).over(w) != F.col(real))).cast("long")
+    at = at.withColumn("_new", inner).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # a few rows a series: what each block starts and ends with, and how many runs it begins
+    ends = at.groupBy(key, "_block").agg(F.min_by(real, ts).alias("_first"), F.max_by(real, ts).alias("_last"), F.max("_run").alias("_runs"))
+    over = in_order(key, "_block")
+    joins = (F.lag("_last", 1).over(over) == F.col("_first")).cast("long")
+    ends = ends.withColumn("_less", F.coalesce(joins, F.lit(0))).withColumn("_new", F.col("_runs") - F.col("_less"))
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_less"))
+    runs = at.join(ends.select(key, "_block", "_before"), [key, "_block"]).withColumn("_run", F.col("_run") + F.col("_before"))
+    hit = runs.filter(F.col(real) == 1).groupBy(key, "_run").agg(F.max(pred).alias("_hit"))
+    return runs.join(hit, [key, "_run"], "left").withColumn(pred, F.when(F.col(real) == 1, F.col("_hit")).otherwise(F.col(pred))).select(*df.columns)
+
+
 def anomaly_segments(df: DataFrame, key: str, ts: str, flag: str) -> DataFrame:
     """``key, start, end, length`` of the runs of 1."""
     starts = df.withColumn("_start", _run_id(key, ts, F.col(flag)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as numeric
-from ..panel import in_order, whole
+from ..panel import in_order, with_blocks
 
 Change = Callable[[DataFrame], DataFrame]
 
@@ -46,10 +46,7 @@ def fill(df: DataFrame, key: str, ts: str, cols: list[str], method: str = "pre",
         return df.withColumns({c: F.coalesce(c, F.lit(value).cast(dict(df.dtypes)[c])) for c in cols})
     if method not in ("max", "min", "mean", "median"):
         raise ValueError(f"no fill method {method}")
-    gaps = F.sum(F.greatest(*[F.col(c).isNull().cast("int") for c in cols], F.lit(0))).over(whole(key)) > 0
-    marked = df.withColumn("_gaps", gaps)
-    for c in cols:
-        marked = marked.withColumn(c, F.col(c).cast("double"))
+    marked = df.withColumns({c: F.col(c).cast("double") for c in cols})
 
     def per_series(pdf):
         pdf = pdf.sort_values(ts)
@@ -57,10 +54,30 @@ def fill(df: DataFrame, key: str, ts: str, cols: list[str], method: str = "pre",
             pdf[c] = numeric.cascading_fill(pdf[c].to_numpy(float), method, window_size, min_num_non_missing_values)
         return pdf
 
-    rest = marked.filter("not _gaps").drop("_gaps")  # series without a gap don't go through Python
-    filled = marked.filter("_gaps").drop("_gaps")
-    filled = filled.groupBy(key).applyInPandas(per_series, filled.schema)
-    return rest.unionByName(filled.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols}))
+    filled = marked.groupBy(key).applyInPandas(per_series, marked.schema)
+    return filled.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
+
+
+def fill_in_blocks(df: DataFrame, key: str, ts: str, step: str, cols: list[str], method: str = "pre", block: int = 100_000) -> DataFrame:
+    """As fill() ``pre`` or ``next`` for series of any length, in two passes over blocks of ``block`` steps.
+
+    A block is filled by itself; what its first or last gap lacks comes from the nearest block with a
+    value, found among one row a block.
+    """
+    if method not in ("pre", "next"):
+        raise ValueError(f"no fill method {method} in blocks")
+    at, back = with_blocks(df, key, ts, step, block), method == "pre"
+    reach = lambda w: w.rowsBetween(Window.unboundedPreceding, 0) if back else w.rowsBetween(0, Window.unboundedFollowing)
+    near = F.last if back else F.first
+    inner = reach(in_order([key, "_block"], ts))
+    at = at.withColumns({c: near(c, ignorenulls=True).over(inner) for c in cols})
+    edge = F.max_by if back else F.min_by
+    ends = at.groupBy(key, "_block").agg(*[edge(c, ts).alias(f"_{c}") for c in cols])
+    over = in_order(key, "_block")
+    beyond = over.rowsBetween(Window.unboundedPreceding, -1) if back else over.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select(key, "_block", *[near(f"_{c}", ignorenulls=True).over(beyond).alias(f"_{c}") for c in cols])
+    joined = at.join(ends, [key, "_block"])
+    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).select(*df.columns)
 
 
 def fill_isolated(df: DataFrame, key: str, ts: str, col: str, method: str, window_size: int) -> DataFrame:

@@ -56,6 +56,12 @@ def position(df: DataFrame, key: str, ts: str, step: str | None = None, name: st
     return df.join(first, key).withColumn(name, F.floor((F.unix_micros(ts) - F.unix_micros("_first")) / seconds).cast("long")).drop("_first")
 
 
+def with_blocks(df: DataFrame, key: str, ts: str, step: str, block: int) -> DataFrame:
+    """Add ``_block``: rows of ``block`` steps of time each, counted from the epoch."""
+    length = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {step})") * block
+    return df.withColumn("_block", F.floor(F.unix_micros(ts) / length))
+
+
 def in_blocks(df: DataFrame, key: str, ts: str, step: str, need: int, block: int, fn) -> DataFrame:
     """Apply an operator that looks ``need`` rows back to series of any length.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .jobs import anomaly_watch, forecast_evaluation, series_groups
 from .operators import analysis, anomaly, calendar, ensemble, folds, forecast, grid, metrics, samples, series_ml, transforms
-from .panel import Panel, in_blocks, in_order
+from .panel import Panel, in_blocks, in_order, whole
 from .sources import io
 from .streaming import stream
 
@@ -104,12 +104,33 @@ def a6_json_round_trip(spark, sf_dir):
     return io.from_json(io.to_json(daily(spark, sf_dir), K, T, ["value"], "1 day"), K, ["value"]).select(K, day(), "value")
 
 
-@query(f"SELECT user_id, {_DAY}, value FROM daily WHERE pos BETWEEN 7 AND 19")
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below what the cluster shares."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last FROM events GROUP BY 1")
+def a1_load_csv(spark, sf_dir):
+    folder = _folder(spark, "csv")
+    events(spark, sf_dir).select(K, T, "value").write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(folder)
+    p = io.load_csv(spark, folder, f"{K} long, {T} timestamp, value double", group_id=K, time_col=T, target_cols="value")
+    return p.df.groupBy(K).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.date_format(F.max(T), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"))
+
+
+@query(f"SELECT user_id, {_DAY}, value, 'user_id ts value:target 1 day' AS meta FROM daily")
+def a7_save_load(spark, sf_dir):
+    folder = _folder(spark, "panel")
+    io.save(panel(daily(spark, sf_dir)), folder, 8)
+    p = io.load(spark, folder)
+    return p.df.select(K, day(), "value", F.lit(f"{p.key} {p.ts} {' '.join(f'{c}:{r}' for c, r in p.roles.items())} {p.freq}").alias("meta"))
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS pos FROM events) WHERE pos BETWEEN 7 AND 19")
 def a8_catalog_split(spark, sf_dir):
-    catalog = {"events": {"path": "events.parquet", "options": {"group_id": K, "time_col": T, "target_cols": "value"}, "split": {"test": (10, 20)}}}
-    p = panel(daily(spark, sf_dir))
-    lo, hi = catalog["events"]["split"]["test"]
-    return grid.slice_rows(p.df, K, T, lo - 3, hi).select(K, day(), "value")
+    catalog = {"events": {"path": "events.parquet", "options": {"group_id": K, "time_col": T, "target_cols": "value"}, "split": {"train": (0, 10), "test": (10, 20)}}}
+    p = io.catalog_get(spark, catalog, sf_dir, "events", "test", seq_len=3)
+    return p.df.select(K, F.date_format(F.col(T).cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "value")
 
 
 # -- B: grids -------------------------------------------------------------------------------------
@@ -155,11 +176,11 @@ def b7_slice(spark, sf_dir):
     return grid.slice_rows(daily(spark, sf_dir), K, T, 3, 12).select(K, day(), "value")
 
 
-@query(f"SELECT user_id, {_DAY}, coalesce(value, -1.0) AS value FROM daily WHERE pos < 30")
+@query(f"SELECT user_id, {_DAY}, coalesce(value, -1.0) AS value FROM daily")
 def b8_concat_rows(spark, sf_dir):
     d = daily(spark, sf_dir)
     a, b = d.filter("value is not null"), d.select(K, T, F.lit(-1.0).alias("value"))
-    return grid.slice_rows(grid.concat_rows([a, b], K, T), K, T, 0, 30).select(K, day(), "value")
+    return grid.concat_rows([a, b], K, T).select(K, day(), "value")
 
 
 @query(f"SELECT user_id, {_DAY}, value, value * 2 AS twice FROM daily")
@@ -204,6 +225,14 @@ def b16_check_continuity(spark, sf_dir):
     return grid.check_continuity(grid.slice_rows(d, K, T, 0, 10), grid.slice_rows(d, K, T, 10), K, T, "1 day")
 
 
+@query(f"SELECT user_id, {_DAY}, value, value * 3 AS c, 'user_id,ts,value,a,c' AS columns FROM daily")
+def b13_columns(spark, sf_dir):
+    """Columns sorted within their role, some dropped, some taken."""
+    d = daily(spark, sf_dir).select(K, T, (F.col("value") * 3).alias("c"), (F.col("value") * 2).alias("b"), F.lit(1).alias("a"), "value")
+    p = grid.drop_columns(grid.sort_columns(panel(d, c="observed", b="observed", a="observed", value="target")), ["b"])
+    return grid.get_columns(p, ["value", "c"]).select(K, day(), "value", "c", F.lit(",".join(p.df.columns)).alias("columns"))
+
+
 @query(f"SELECT a.user_id, strftime(a.ts, '%Y-%m-%d') AS day, a.value, b.value AS value_pred FROM daily a JOIN daily b ON a.user_id = b.user_id AND a.ts = b.ts + INTERVAL 1 DAY")
 def b17_align(spark, sf_dir):
     d = daily(spark, sf_dir)
@@ -233,7 +262,15 @@ def c1_fill_value(spark, sf_dir):
     return transforms.fill(daily(spark, sf_dir), K, T, ["value"], "default", value=7.0).select(K, day(), "value")
 
 
-@query()
+@query(f"SELECT user_id, {_DAY}, value FROM filled")
+def c1_fill_in_blocks(spark, sf_dir):
+    """The same over blocks of eight days, as for series too long for one task."""
+    return transforms.fill_in_blocks(daily(spark, sf_dir), K, T, "1 day", ["value"], "pre", 8).select(K, day(), "value")
+
+
+@query(DAILY.replace("WITH", "WITH RECURSIVE", 1) + """, c AS (SELECT user_id, ts, pos, value, [value] AS seen FROM daily WHERE pos = 0
+UNION ALL SELECT d.user_id, d.ts, d.pos, coalesce(d.value, list_avg(c.seen)), list_append(c.seen, coalesce(d.value, list_avg(c.seen)))[-4:] FROM c JOIN daily d ON d.user_id = c.user_id AND d.pos = c.pos + 1)
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, round(value, 6) AS value FROM c""")
 def c1_fill_cascade(spark, sf_dir):
     return transforms.fill(daily(spark, sf_dir), K, T, ["value"], "mean", window_size=5).select(K, day(), r6("value", "value"))
 
@@ -249,6 +286,13 @@ def c3_lag(spark, sf_dir):
     return transforms.lag(daily(spark, sf_dir), K, T, ["value"], 4, 2).select(K, day(), "value", "value_before_2", "value_before_4")
 
 
+@query(f"SELECT user_id, {_DAY}, lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts) AS value_before_2 FROM daily")
+def c3_lag_in_blocks(spark, sf_dir):
+    """Lags over blocks with copied edges, as for series too long for one task."""
+    lagged = in_blocks(daily(spark, sf_dir), K, T, "1 day", 2, 8, lambda d, keys: transforms.lag(d, keys, T, ["value"], 2, 2))
+    return lagged.select(K, day(), "value_before_2")
+
+
 @query(f"SELECT user_id, {_DAY}, round(value - lag(value, 1) OVER w, 6) AS value_diff_1, round(value - lag(value, 2) OVER w, 6) AS value_diff_2 FROM daily WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def c4_difference(spark, sf_dir):
     d = transforms.difference(daily(spark, sf_dir), K, T, ["value"], 2)
@@ -288,7 +332,14 @@ def c8_work_days(spark, sf_dir):
     return calendar.work_days(daily(spark, sf_dir), T).select(K, day(), F.col("is_holiday").cast("long").alias("is_holiday"), F.col("is_workday").cast("long").alias("is_workday"))
 
 
-@query()
+_EASTER = """, y AS (SELECT unnest(range((SELECT min(year(ts)) FROM daily) - 1, (SELECT max(year(ts)) FROM daily) + 2)) AS y),
+e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y), e2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM e1),
+e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS k FROM e2), e4 AS (SELECT *, h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114 AS md FROM e3),
+hol AS (SELECT 'easter' AS name, make_date(y, md // 31, md % 31 + 1) AS date FROM e4 UNION ALL SELECT 'new_year', make_date(y, 1, 1) FROM y) """
+
+
+@query(DAILY + _EASTER + """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(CAST(ts AS DATE) - (SELECT min(date) FROM hol WHERE name = 'new_year' AND abs(date - CAST(ts AS DATE)) <= 200) AS DOUBLE) AS new_year,
+CAST(CAST(ts AS DATE) - (SELECT min(date) FROM hol WHERE name = 'easter' AND abs(date - CAST(ts AS DATE)) <= 200) AS DOUBLE) AS easter FROM daily""")
 def c9_holiday_distance(spark, sf_dir):
     names = ["New Years Day", "Easter Sunday"]
     d = calendar.holiday_distance(daily(spark, sf_dir), T, names, scale=False)
@@ -389,21 +440,37 @@ def d5_spearman(spark, sf_dir):
     return analysis.correlation(d, K, T, ["value", "pos"], "spearman", by=[K]).select(K, "a", "b", r6("corr", "corr"))
 
 
-@query()
+@query("""SELECT 'value' AS a, 'before' AS b, round(corr(x, y), 6) AS corr FROM (SELECT rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS x,
+rank() OVER (ORDER BY before) + (count(*) OVER (PARTITION BY before) - 1) / 2.0 AS y FROM (SELECT value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM daily) WHERE value IS NOT NULL AND before IS NOT NULL)""")
+def d5_spearman_of_all(spark, sf_dir):
+    d = daily(spark, sf_dir).withColumn("before", F.col("value"))
+    return analysis.correlation(d, K, T, ["value", "before"], "spearman", lag=1, lag_cols=("before",)).select("a", "b", r6("corr", "corr"))
+
+
+@query("""SELECT p.user_id, 'value' AS a, 'pos' AS b, round(sum(sign(x.value - p.value)) / sqrt(count(*) FILTER (x.value <> p.value) * count(*)::DOUBLE), 6) AS corr
+FROM daily p JOIN daily x ON x.user_id = p.user_id AND x.pos > p.pos AND x.value IS NOT NULL AND p.value IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (x.value <> p.value) > 0""")
 def d5_kendall(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("pos", F.row_number().over(in_order(K, T)))
-    return analysis.correlation(d, K, T, ["value", "pos"], "kendall").select(K, "a", "b", r6("corr", "corr"))
+    return analysis.correlation(d, K, T, ["value", "pos"], "kendall").filter("not isnan(corr)").select(K, "a", "b", r6("corr", "corr"))
 
 
 @query("""SELECT user_id, i, round(sqrt(power(sum(value * cos(2 * pi() * i * pos / n)), 2) + power(sum(value * sin(2 * pi() * i * pos / n)), 2)) / max(n), 6) AS amplitude
-FROM (SELECT user_id, pos, coalesce(value, 0) AS value, count(*) OVER (PARTITION BY user_id) AS n FROM filled) f CROSS JOIN range(0, 5) r(i) WHERE i < n // 2 GROUP BY 1, 2""")
+FROM (SELECT user_id, pos, coalesce(value, 0) AS value, count(*) OVER (PARTITION BY user_id) AS n FROM filled) f JOIN range(0, (SELECT max(pos) + 1 FROM daily)) r(i) ON i < n // 2 GROUP BY 1, 2""")
 def d6_fft(spark, sf_dir):
-    return analysis.fft(filled(spark, sf_dir), K, T, ["value"]).filter("i < 5").select(K, "i", r6("amplitude", "amplitude"))
+    return analysis.fft(filled(spark, sf_dir), K, T, ["value"]).select(K, "i", r6("amplitude", "amplitude"))
 
 
-@query()
+_FRAMES = """, s AS (SELECT user_id, count(*) AS n, least(8, count(*)) AS m, least(8, count(*)) // 2 AS h FROM filled GROUP BY 1), q AS (SELECT *, m - h AS step, n + 2 * h AS len FROM s WHERE m > 1),
+fr AS (SELECT *, unnest(range(0, (len + (step - (len - m) % step) % step - m) // step + 1)) AS k FROM q), fi AS (SELECT *, unnest(range(0, m // 2 + 1)) AS i FROM fr), w AS (SELECT fi.*, j, 0.5 - 0.5 * cos(2 * pi() * j / m) AS w FROM fi JOIN range(0, 8) r(j) ON j < m)
+SELECT w.user_id, round(i / m, 6) AS f, CAST(k * step AS DOUBLE) AS t, round(sum(coalesce(value, 0) * w * cos(2 * pi() * i * j / m)) / sum(w), 5) + 0.0 AS re, round(sum(coalesce(value, 0) * w * -sin(2 * pi() * i * j / m)) / sum(w), 5) + 0.0 AS im
+FROM w LEFT JOIN filled v ON v.user_id = w.user_id AND v.pos = k * step + j - h GROUP BY w.user_id, i, m, k, step"""
+
+
+@query(DAILY + _FRAMES)
 def d7_stft(spark, sf_dir):
-    return analysis.stft(filled(spark, sf_dir), K, T, ["value"], nperseg=8).select(K, r6("f", "f"), r6("t", "t"), r6("re", "re"), r6("im", "im"))
+    enough = filled(spark, sf_dir).withColumn("_n", F.count("*").over(whole(K))).filter("_n > 1").drop("_n")
+    r5 = lambda c: (F.round(c, 5) + F.lit(0.0)).alias(c)
+    return analysis.stft(enough, K, T, ["value"], nperseg=8).select(K, r6("f", "f"), r6("t", "t"), r5("re"), r5("im"))
 
 
 @query()
@@ -417,7 +484,8 @@ def d9_report(spark, sf_dir):
     return analysis.report({"summary": analysis.summary(d, ["value"], [K]), "seasonality": analysis.seasonality(d, K, T, ["value"], period=7)}, K)
 
 
-@query()
+@query("""SELECT i, n // i AS period, round(avg(a), 6) AS amplitude FROM (SELECT user_id, n, i, sqrt(power(sum(coalesce(value, 0) * cos(2 * pi() * i * pos / n)), 2) + power(sum(coalesce(value, 0) * sin(2 * pi() * i * pos / n)), 2)) AS a
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM filled) f JOIN range(1, (SELECT max(pos) + 1 FROM daily)) r(i) ON i <= n // 2 GROUP BY 1, 2, 3) GROUP BY n, i ORDER BY avg(a) DESC, n, i LIMIT 2""")
 def d10_top_periods(spark, sf_dir):
     return analysis.top_periods(filled(spark, sf_dir), K, T, ["value"]).select("i", "period", r6("amplitude", "amplitude"))
 
@@ -459,7 +527,8 @@ def e3_fill_last_value(spark, sf_dir):
     return samples.fill_last_value(panel(daily(spark, sf_dir)), 5, 2, 0, 7, "1 day", 0.0).df.groupBy(K).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(DAILY + """, d AS (SELECT *, lag(value, 3) OVER (PARTITION BY user_id ORDER BY ts) AS seen FROM daily), g AS (SELECT user_id, min(pos) FILTER (value IS NOT NULL) AS lo, max(pos) FILTER (value IS NOT NULL) AS hi, min(pos) FILTER (seen IS NOT NULL) AS slo, max(pos) FILTER (seen IS NOT NULL) AS shi FROM d GROUP BY 1)
+SELECT user_id, 'seen' AS "column", 'starts late' AS problem FROM g WHERE coalesce(slo > lo, true) UNION ALL SELECT user_id, 'seen', 'ends early' FROM g WHERE coalesce(shi < hi - 2, true) UNION ALL SELECT user_id, 'target', 'too short' FROM g WHERE hi - lo + 1 < 7""")
 def e4_coverage(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("seen", F.lag("value", 3).over(in_order(K, T)))
     return samples.coverage_violations(panel(d, value="target", seen="observed"), 5, 2)
@@ -479,7 +548,8 @@ def e6_lag_matrix(spark, sf_dir):
     return m.select(K, day(), F.col("`value:target_lag_-3`").alias("a"), F.col("`value:target_lag_-2`").alias("b"), F.col("`value:target_lag_-1`").alias("c"))
 
 
-@query()
+@query("""SELECT d.user_id, strftime(d.ts, '%Y-%m-%d') AS sample, strftime(d.ts - INTERVAL 1 DAY * i, '%Y-%m-%d') AS day, v.value FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM daily) d CROSS JOIN range(0, 3) r(i)
+JOIN daily v ON v.user_id = d.user_id AND v.pos = d.pos - i WHERE (n - 1 - d.pos) % 4 = 0 AND d.pos >= 2""")
 def e7_lag_matrix_to_series(spark, sf_dir):
     m = samples.lag_matrix(panel(daily(spark, sf_dir)), 3, 1, 0, 4)
     return samples.lag_matrix_to_series(m, K, T, "1 day").select(K, day("sample", "sample_ts"), day(), "value")
@@ -500,10 +570,12 @@ def e9_window_normalise(spark, sf_dir):
     return n.select(K, "tail", F.explode("past_value").alias("z")).select(K, "tail", F.round("z", 5).alias("z"))
 
 
-@query()
+@query("""SELECT user_id, CAST(patch AS BIGINT) AS patch, CAST(i AS BIGINT) AS i, value FROM (SELECT *, 12 - row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM daily), range(0, 5) p(patch), range(0, 4) r(i)
+WHERE n >= 12 AND place = patch * 2 + i""")
 def e10_patches(spark, sf_dir):
     s = samples.predict_samples(panel(daily(spark, sf_dir)), 12)
-    return s.select(K, F.posexplode(samples.patches(F.col("past_value"), 4, 2)).alias("patch", "values"))
+    at = s.select(K, F.posexplode(samples.patches(F.col("past_value"), 4, 2)).alias("patch", "values"))
+    return at.select(K, F.col("patch").cast("long").alias("patch"), F.posexplode("values").alias("i", "value")).withColumn("i", F.col("i").cast("long"))
 
 
 @query("SELECT user_id, max(value) AS full, max(CASE WHEN r <= 3 THEN value END) AS near FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM daily) GROUP BY 1")
@@ -710,7 +782,10 @@ def i3_ratio_threshold(spark, sf_dir):
     return anomaly.ratio_threshold(e.filter("user_id % 2 = 0"), e.filter("user_id % 2 = 1"), 2.0, "value").select(r6("threshold", "threshold"))
 
 
-@query()
+@query("""WITH st AS (SELECT avg(value) AS m, stddev_pop(value) AS s, max(value) AS top, count(value) AS n FROM events), z AS (SELECT i, m + (2.5 + 0.5 * i) * s AS t FROM st, range(0, 19) r(i)),
+d AS (SELECT i, t, value, max(CASE WHEN value >= t THEN 1 ELSE 0 END) OVER (PARTITION BY i, user_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM events, z),
+g AS (SELECT i, t, sum(near) AS c, avg(value) FILTER (value < t) AS pm, stddev_pop(value) FILTER (value < t) AS ps FROM d GROUP BY 1, 2),
+v AS (SELECT i, t, ((m - pm) / m + (s - ps) / s) / c AS gain FROM g, st WHERE c > 0 AND c < n * 0.5 AND pm IS NOT NULL) SELECT round(coalesce((SELECT t FROM v ORDER BY round(gain, 10) DESC, i DESC LIMIT 1), top), 6) AS threshold FROM st""")
 def i4_epsilon_threshold(spark, sf_dir):
     return anomaly.epsilon_threshold(events(spark, sf_dir), K, T, "value", reach=3).select(r6("threshold", "threshold"))
 
@@ -729,6 +804,12 @@ def i6_point_adjust(spark, sf_dir):
     return anomaly.point_adjust(_flags(spark, sf_dir), K, T, "pred", "real").groupBy(K).agg(F.count("*").alias("n"), F.sum("pred").alias("pred"))
 
 
+@query(DAILY + _RUNS + "SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN real = 1 THEN hit ELSE pred END) AS BIGINT) AS pred FROM (SELECT *, max(pred) OVER (PARTITION BY user_id, run) AS hit FROM r) GROUP BY 1")
+def i6_point_adjust_in_blocks(spark, sf_dir):
+    """The same over blocks of two days, as for series too long for one task."""
+    return anomaly.point_adjust_in_blocks(_flags(spark, sf_dir), K, T, "1 day", "pred", "real", 2).groupBy(K).agg(F.count("*").alias("n"), F.sum("pred").alias("pred"))
+
+
 @query(DAILY + _RUNS + "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS length FROM r WHERE real = 1 GROUP BY user_id, run")
 def i7_anomaly_segments(spark, sf_dir):
     at = lambda c, n: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n)
@@ -783,6 +864,14 @@ def j3_classify(spark, sf_dir):
     return scored.join(new.select("vec_id", "label"), "vec_id").agg(F.count("*").alias("n"), r6(series_ml.accuracy("label", "pred"), "accuracy"))
 
 
+@query("""SELECT event_type, n, round(hits / n, 6) AS accuracy FROM (SELECT event_type, count(*) AS n, sum(CASE WHEN CASE WHEN p >= q THEN 'low' ELSE 'mid' END = CASE WHEN value < 30 THEN 'low' ELSE 'mid' END THEN 1 ELSE 0 END)::DOUBLE AS hits
+FROM (SELECT event_type, value, 50 / (value + 50) AS p, value / (value + 50) AS q FROM events) GROUP BY 1)""")
+def j4_label_and_accuracy(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("proba", F.array(50 / (F.col("value") + 50), F.col("value") / (F.col("value") + 50)))
+    e = e.withColumn("pred", series_ml.label_from_proba(F.col("proba"), ["low", "mid"])).withColumn("truth", F.when(F.col("value") < 30, "low").otherwise("mid"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), r6(series_ml.accuracy("truth", "pred"), "accuracy"))
+
+
 @query("SELECT DISTINCT user_id, CAST(user_id % 2 AS BIGINT) AS label FROM events")
 def j5_extract_labels(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("label", F.col(K) % 2)
