@@ -128,13 +128,13 @@ def _first(known: DataFrame, per_language: int) -> DataFrame:
     hashed = known.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(whole)))
     while True:
         below = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])
-        few = durable(hashed.filter(F.col("h") < F.element_at(below, F.col("l"))).select("i", "l").distinct())
+        few = durable(hashed.filter(F.col("h") < F.element_at(below, F.col("l"))).distinct())
         have = {r["l"]: r["n"] for r in few.groupBy("l").agg(F.count("*").alias("n")).collect()}
         short = [x for x, b in bound.items() if b < whole and have.get(x, 0) < per_language]
         if not short:
             break
         bound |= {x: min(whole, bound[x] * 64) for x in short}
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
+    order = Window.partitionBy("l").orderBy("h", "i")
     return few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("i", "l")
 
 
