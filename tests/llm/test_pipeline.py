@@ -220,7 +220,7 @@ def test_toxicity_of_held_out_rows(spark):
     area = np.mean([(b > np.array(good)).mean() + 0.5 * (b == np.array(good)).mean() for b in bad])
     found, wrong = sum(s >= 0.3 for s in bad), sum(s >= 0.3 for s in good)
     print(f"toxicity held out: area {area:.3f}, {found} of {len(bad)} found, {wrong} of {len(good)} false alarms")
-    assert area > 0.85 and found >= 0.5 * len(bad) and wrong <= 0.05 * len(good)
+    assert area > 0.85 and found >= 0.5 * len(bad) and wrong <= 0.1 * len(good)
 
 
 def test_learning_takes_repeated_and_null_rows(spark, sf):

@@ -23,7 +23,7 @@ from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
-from .common import per_batch
+from .common import kept, per_batch
 
 #: The end-of-word mark is folded into the last symbol: a code point this much higher.
 _END = 0xE000
@@ -116,7 +116,7 @@ class TrieEncoder:
 
     def _may_follow(self, key: int) -> bool:
         """Whether the characters of both tokens (the first plus one, and the second, of 20 bits) merge into just these; 0: into the second alone."""
-        if len(self._pairs) > 300_000:
+        if len(self._pairs) > 200_000:
             self._pairs.clear()
         a, b = (key >> 20) - 1, key & (1 << 20) - 1
         left = self._string[a] if a >= 0 else ""
@@ -245,14 +245,9 @@ class TrieEncoder:
         return " ".join([self.text_of[i] for i in ids])
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
-    """One encoder a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
+    """One encoder a worker process, while it works on this operator's tasks."""
+    return kept("bpe", path, lambda: TrieEncoder(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,4 +276,4 @@ def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, dige
         return f
 
     kind = dict(docs.dtypes)[id_col]
-    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make)
+    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make, operator="bpe")

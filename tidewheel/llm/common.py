@@ -88,29 +88,46 @@ def _batch(out: dict, kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([values(out[k.name], k.type) for k in kinds], kinds.names)
 
 
-def _give_back() -> None:
-    """Return what a task leaves unused to the machine: workers live on, and other stages need the memory."""
+#: What a worker process keeps from task to task, by the operator that it belongs to.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str, name: str, make: Callable[[], object]):
+    """Something that is costly to make, kept by the worker until a task of another operator starts there."""
+    own = _KEPT.setdefault(operator, {})
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
+def give_back() -> None:
+    """Return what isn't used to the machine: workers and drivers live on, and other stages need the memory."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def _tasks(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` with the memory given back at its end."""
+def _tasks(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` without what other operators keep, and with the memory given back at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if others := [k for k in _KEPT if k != operator]:
+            for k in others:
+                del _KEPT[k]
+            give_back()
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            give_back()
 
     return run
 
 
-def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]], piece_bytes: int = PIECE) -> DataFrame:
+def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., dict]], piece_bytes: int = PIECE, operator: str = "") -> DataFrame:
     """Map Arrow batches of ``columns``: ``make()`` once a task gives ``f(*lists) -> {column: values}``.
 
     A batch is worked on in pieces of about ``piece_bytes``, which bounds what a worker holds at once.
+    ``operator`` names the owner of what the tasks have kept().
     """
     kinds = arrow_schema(schema)
 
@@ -121,7 +138,7 @@ def per_batch(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             if out.num_rows:
                 yield out
 
-    return df.select(*columns).mapInArrow(_tasks(run), schema)
+    return df.select(*columns).mapInArrow(_tasks(run, operator), schema)
 
 
 def per_task(df: DataFrame, columns: list[str], schema: str, make: Callable[[], tuple[Callable[..., dict | None], Callable[[], dict]]]) -> DataFrame:

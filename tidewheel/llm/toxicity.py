@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, Tokens, keep_rows, per_batch, per_task
+from .common import HashTable, Tokens, give_back, keep_rows, per_batch, per_task
 
 #: Lengths of the beginnings of words that are terms too.
 BEGINNINGS = (5, 7)
@@ -92,7 +92,7 @@ class BlockMaxIndex:
         by = np.lexsort((at, term))
         #: Place and weight of each posting, in one number; of each term and block where its postings start, and the greatest weight.
         self.posting = (at[by] << 32) | weight[by].view(np.uint32).astype(np.int64)
-        key = term[by] * blocks + at[by] // self.block
+        key = term[by].astype(np.int64) * blocks + at[by] // self.block
         self.start = np.searchsorted(key, np.arange(n_terms * blocks + 1)).astype(np.int32)
         self.most = np.zeros(n_terms * blocks, np.float32)
         np.maximum.at(self.most, key, weight[by])
@@ -215,14 +215,16 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32,
     if not size:
         return None
     lists = pa.concat_arrays(bags.column("term").chunks)
-    counts = pa.concat_arrays(bags.column("n").chunks).flatten().to_numpy().astype(np.int64)
+    counts = pa.concat_arrays(bags.column("n").chunks).flatten().to_numpy()
     ids, label = bags.column("id").to_pylist(), bags.column("label").to_numpy().astype(float)
     names, term = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    row = np.repeat(np.arange(size), np.diff(lists.offsets.to_numpy()))
+    term = term.astype(np.int32)
+    row = np.repeat(np.arange(size, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    del bags, lists
     # rows in order of ids; of a repeated id, in order of labels and texts
     mark = np.bincount(row, np.sqrt(term + 1.0) * counts, size)
     order = np.array(sorted(range(size), key=lambda i: (ids[i], label[i], mark[i])))
-    place = np.empty(size, np.int64)
+    place = np.empty(size, np.int32)
     place[order] = np.arange(size)
     ids, label, row = [ids[i] for i in order], label[order], place[row]
     by = np.lexsort((term, row))
@@ -249,7 +251,11 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32,
     index, rate = BlockMaxIndex(row[keep], term[keep], weight[keep], size, n_terms, kin), toxic / size
     bare = np.bincount(row[keep], minlength=size) == 0
     empty = float(label[bare].mean()) if bare.any() else rate
+    del by, top, head, keep, row, counts
+    give_back()
     raw = np.array([_vote(*found, label, empty, rate) for found in index.nearest(bound, term, weight, k, np.arange(size))])
+    del term, weight
+    give_back()
     return {"table": table, "weights": weights, "index": index, "labels": label, "ids": ids, "empty": empty, "rate": rate, "steps": isotonic(raw, label), "k": k}
 
 
