@@ -133,23 +133,77 @@ def ensemble_vote(labels: DataFrame, key: str, ts: str, name: str = "label") ->
     return n.groupBy(key, ts).agg(F.max(F.struct("_n", (-F.col(name)).alias("_l"))).alias("_b")).select(key, ts, (-F.col("_b._l")).alias(name))
 
 
-def window_outliers(vectors: DataFrame, row_id: str, vector: str, k: int = 5, contamination: float = 0.1, references: int = 2048) -> DataFrame:
-    """``id, score, pred``: distance to the k-th nearest of a bounded set of reference windows.
-
-    The references (the first by a hash of the id) are a model of stated size; every window is
-    scored against all of them, block by block, in numpy.
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum((x[:, i, None] - y[None, :, i]) ** 2 for i in range(x.shape[1])))
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, copies: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of x the k least distances to rows of y, each as often as it has copies; one copy of x itself is left out."""
+    out = []
+    for i in range(0, len(x), 256):
+        d = _distances(x[i : i + 256], y)
+        near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1]
+        for row, at in zip(d, near, strict=True):
+            m = np.minimum(copies[at], k + 1) - (row[at] == 0)
+            out.append(np.sort(np.repeat(row[at], m))[:k])
+    return out
+
+
+def window_outliers(vectors: DataFrame, row_id: str, vector: str, k: int = 5, contamination: float = 0.1, pivots: int = 256, chunk: int = 2048) -> DataFrame:
+    """``id, score, pred``: each window's distance to its k-th nearest among all others (the farthest of fewer).
+
+    Exact, without comparing all pairs. Equal windows are one with a count. Windows belong to the
+    cell of the nearest pivot (a bounded sample that decides where windows go, not what they score);
+    large cells are cut into chunks. The k-th best of a window's own chunk bounds its score, and by
+    the triangle inequality only cells that reach within that bound are asked. Windows that ask one
+    chunk are dealt out by salts, to each of which the chunk is copied, so no group grows with the table.
     """
-    chosen = vectors.orderBy(F.xxhash64(row_id), row_id).limit(references).select(row_id, vector).collect()
-    ids = np.array([r[row_id] for r in chosen])
-    matrix = np.array([list(r[vector]) for r in chosen], float)
+    names = vectors.select(F.col(row_id).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    points = names.groupBy("v").agg(F.count("*").alias("m"))
+    wanted = min(pivots, 1 + 4 * points.count() // chunk)
+    centre = np.array([r["v"] for r in points.orderBy(F.xxhash64("v"), "v").select("v").limit(wanted).collect()])
     kind = dict(vectors.dtypes)[row_id]
+    if not len(centre):
+        return vectors.sparkSession.createDataFrame([], f"id {kind}, score double, pred int")
+    matrix = lambda c: np.array(c.tolist(), float)
 
-    def run(batches):
+    def assign(batches):
         for pdf in batches:
-            x = np.array([list(v) for v in pdf[vector]], float).reshape(len(pdf), -1)
-            d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ matrix.T + (matrix**2).sum(1)[None, :]))
-            d[pdf[row_id].to_numpy()[:, None] == ids[None, :]] = np.inf  # not itself
-            yield pdf[[row_id]].assign(score=np.sort(d, axis=1)[:, min(k, d.shape[1] - 1) - 1 if d.shape[1] > 1 else 0])
-
-    scored = vectors.select(row_id, vector).mapInPandas(run, f"{row_id} {kind}, score double")
+            d = _distances(matrix(pdf["v"]), centre)
+            yield pdf.assign(cell=d.argmin(1), r=d.min(1))
+
+    dealt = points.mapInPandas(assign, "v array<double>, m long, cell long, r double")
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()  # ``pivots`` rows at most
+    reach, chunks = {c["cell"]: c["r"] for c in cells}, {c["cell"]: -(-c["n"] // chunk) for c in cells}
+    number = F.element_at(F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair]), F.col("cell"))
+    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("v", F.lit(1)), number))
+    radius = np.array([reach.get(j, -np.inf) for j in range(len(centre))])
+
+    def ask(key, pdf):
+        """The chunks that each window of this one has to be compared with."""
+        import pandas as pd
+
+        x = matrix(pdf["v"])
+        own = _nearest(x, x, pdf["m"].to_numpy(), k)
+        d = _distances(x, centre)
+        bound = np.array([o[k - 1] if len(o) == k else np.inf for o in own])
+        if len(centre) > k:  # pivots are windows as well, one of them perhaps this one
+            bound = np.minimum(bound, np.sort(d, axis=1)[:, k])
+        row, cell = np.nonzero(d - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9)
+        many = np.array([chunks[j] for j in cell.tolist()], int)
+        part = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        return pd.DataFrame({"v": pdf["v"].iloc[np.repeat(row, many)].tolist(), "cell": np.repeat(cell, many), "c": part})
+
+    asked = dealt.groupBy("cell", "c").applyInPandas(ask, "v array<double>, cell long, c long")
+    salts = asked.groupBy("cell", "c").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("salts"))
+    asked = asked.join(salts, ["cell", "c"]).withColumn("s", F.pmod(F.xxhash64("v", F.lit(2)), F.col("salts")))
+    held = dealt.join(salts.toDF("cell", "c", "copies"), ["cell", "c"]).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+
+    def compare(queries, there):
+        out = _nearest(matrix(queries["v"]), matrix(there["v"]), there["m"].to_numpy(), k) if len(queries) and len(there) else [[]] * len(queries)
+        return queries[["v"]].assign(d=[list(o) for o in out])
+
+    found = asked.groupBy("cell", "c", "s").cogroup(held.groupBy("cell", "c", "s")).applyInPandas(compare, "v array<double>, d array<double>")
+    least = found.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
+    scored = names.join(least, "v").select("id", F.when(F.size("d") > 0, F.element_at("d", -1)).alias("score")).persist()  # read twice: for the threshold, and labelled
     return label(scored, percentile_threshold(scored, "score", 100.0 * (1 - contamination)))

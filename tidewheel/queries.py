@@ -835,7 +835,9 @@ def i10_ensemble_vote(spark, sf_dir):
     return anomaly.ensemble_vote(e, K, T).select(K, day(), "label")
 
 
-@query()
+@query(DAILY + """, w AS (SELECT user_id * 100000 + pos AS id, lag(value, 4) OVER x AS a, lag(value, 3) OVER x AS b, lag(value, 2) OVER x AS c, lag(value, 1) OVER x AS d FROM (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS pos FROM filled WHERE value IS NOT NULL) WINDOW x AS (PARTITION BY user_id ORDER BY ts)),
+p AS (SELECT * FROM w WHERE a IS NOT NULL), n AS (SELECT p.id, sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2 + (p.c - q.c) ** 2 + (p.d - q.d) ** 2) AS far, row_number() OVER (PARTITION BY p.id ORDER BY (p.a - q.a) ** 2 + (p.b - q.b) ** 2 + (p.c - q.c) ** 2 + (p.d - q.d) ** 2) AS r FROM p JOIN p q ON p.id <> q.id),
+s AS (SELECT id, far AS score FROM n WHERE r = 5) SELECT id, round(score, 6) AS score, CAST(score >= (SELECT quantile_cont(score, 0.9) FROM s) - 1e-12 AS INTEGER) AS pred FROM s""")
 def i11_window_outliers(spark, sf_dir):
     s = samples.make_samples(panel(filled(spark, sf_dir).filter("value is not null")), 4, 1)
     rows = s.select((F.col(K) * 100_000 + F.col("tail")).alias("id"), F.col("past_value").alias("v"))
