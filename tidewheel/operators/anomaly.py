@@ -159,7 +159,7 @@ def window_outliers(vectors: DataFrame, row_id: str, vector: str, k: int = 5, co
     chunk are dealt out by salts, to each of which the chunk is copied, so no group grows with the table.
     """
     names = vectors.select(F.col(row_id).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    points = names.groupBy("v").agg(F.count("*").alias("m"))
+    points = names.groupBy("v").agg(F.count("*").alias("m")).persist()  # read for the pivots, the cells and the chunks
     wanted = min(pivots, 1 + 4 * points.count() // chunk)
     centre = np.array([r["v"] for r in points.orderBy(F.xxhash64("v"), "v").select("v").limit(wanted).collect()])
     kind = dict(vectors.dtypes)[row_id]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.steps import following
 from ..panel import Panel, in_order
+from .grid import locate
 from .samples import design_matrix, make_samples, predict_samples
 
 
@@ -76,38 +77,54 @@ def fit_forecaster(samples: DataFrame, estimator, out_chunk_len: int) -> list:
     return models
 
 
-def predict(model: Ridge, panel: Panel, step: str) -> DataFrame:
-    """``key, ts, <target>``: the forecast after each series' end."""
-    last = predict_samples(panel, model.in_chunk_len)
-    return _steps(design_matrix(last, panel), panel.key, model, panel.columns("target")[0], step)
+def residual_quantiles(model: Ridge, samples: DataFrame, quantiles: tuple[float, ...]) -> dict[float, list[float]]:
+    """For each quantile, of each output of the model, that of what the samples were above its forecast: one aggregate."""
+    width = model.weights.shape[1]
+    whole_rows = samples.filter(~F.exists("x", lambda v: v.isNull()) & ~F.exists("y", lambda v: v.isNull()))
+    row = whole_rows.agg(*[F.percentile(F.get("y", F.lit(o)) - model.expression(F.col("x"), o), F.lit(q)).alias(f"{q}_{o}") for q in quantiles for o in range(width)]).first()
+    return {q: [row[f"{q}_{o}"] for o in range(width)] for q in quantiles}
 
 
-def _steps(x: DataFrame, key: str, model: Ridge, target: str, step: str) -> DataFrame:
-    values = F.array(*[model.expression(F.col("x"), h) for h in range(model.out_chunk_len)])
-    rows = x.select(key, "last_ts", F.posexplode(values).alias("h", target))
-    return rows.select(key, following(F.col("last_ts"), F.col("h") + model.skip_chunk_len + 1, step).alias("ts"), target)
+def predict(model: Ridge, panel: Panel, step: str, spread: dict[float, list[float]] | None = None) -> DataFrame:
+    """``key, ts`` and each target's forecast after each series' end; with ``spread`` its quantiles as ``<target>@<q>``."""
+    last = predict_samples(panel, model.in_chunk_len)
+    x, out = design_matrix(last, panel), model.out_chunk_len
+    of = lambda j, add: F.array(*[model.expression(F.col("x"), j * out + h) + F.lit(add[j * out + h]) for h in range(out)])
+    columns = {}
+    for j, target in enumerate(panel.columns("target")):
+        columns[target] = of(j, [0.0] * model.weights.shape[1])
+        columns |= {f"{target}@{q}": of(j, add) for q, add in (spread or {}).items()}
+    rows = x.select(panel.key, "last_ts", F.posexplode(F.arrays_zip(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])).alias("h", "v"))
+    return rows.select(panel.key, following(F.col("last_ts"), F.col("h") + model.skip_chunk_len + 1, step).alias("ts"), *[F.col(f"v.c{i}").alias(n) for i, n in enumerate(columns)])
 
 
 def recursive_predict(model: Ridge, panel: Panel, step: str, length: int) -> DataFrame:
-    """``key, ts, <target>``: rounds of forecasts appended as history; targets only, no skip."""
+    """``key, ts`` and each target's forecast: rounds of forecasts appended as history. No skip, and no covariates, whose future isn't forecast."""
     if model.skip_chunk_len:
         raise ValueError("a skip can't be recursive")
-    last, target = predict_samples(panel, model.in_chunk_len), panel.columns("target")[0]
+    if covariates := panel.columns("observed", "known"):
+        raise ValueError(f"the future of {covariates} isn't forecast; drop them")
+    last, targets = predict_samples(panel, model.in_chunk_len), panel.columns("target")
     weights, intercept, size, key = model.weights, model.intercept, model.in_chunk_len, panel.key
+    statics = [c for c in panel.columns("static")]
 
     def run(batches):
         for pdf in batches:
-            past = np.array([np.asarray(v, float) for v in pdf[f"past_{target}"]]).reshape(len(pdf), size)
-            done = np.zeros((len(pdf), 0))
-            while done.shape[1] < length:
-                y = past @ weights + intercept
-                done = np.c_[done, y]
-                past = np.c_[past, y][:, -size:]
-            yield pdf[[key, "last_ts"]].assign(y=list(done[:, :length]))
-
-    kind = dict(panel.df.dtypes)[panel.key]
-    rows = last.select(panel.key, "last_ts", f"past_{target}").mapInPandas(run, f"{panel.key} {kind}, last_ts timestamp, y array<double>")
-    return rows.select(panel.key, "last_ts", F.posexplode("y").alias("h", target)).select(panel.key, following(F.col("last_ts"), F.col("h") + 1, step).alias("ts"), target)
+            past = np.array([[np.asarray(v, float) for v in pdf[f"past_{t}"]] for t in targets]).reshape(len(targets), len(pdf), size)
+            fixed = pdf[statics].to_numpy(float).reshape(len(pdf), len(statics))
+            done = np.zeros((len(targets), len(pdf), 0))
+            while done.shape[2] < length:
+                x = np.concatenate([*past, fixed], axis=1)
+                y = (x @ weights + intercept).reshape(len(pdf), len(targets), -1).transpose(1, 0, 2)
+                done = np.concatenate([done, y], axis=2)
+                past = np.concatenate([past, y], axis=2)[:, :, -size:]
+            yield pdf[[key, "last_ts"]].assign(**{f"c{j}": list(done[j, :, :length]) for j in range(len(targets))})
+
+    kind = dict(panel.df.dtypes)[key]
+    schema = f"{key} {kind}, last_ts timestamp, " + ", ".join(f"c{j} array<double>" for j in range(len(targets)))
+    rows = last.select(key, "last_ts", *[f"past_{t}" for t in targets], *statics).mapInPandas(run, schema)
+    rows = rows.select(key, "last_ts", F.posexplode(F.arrays_zip(*[f"c{j}" for j in range(len(targets))])).alias("h", "v"))
+    return rows.select(key, following(F.col("last_ts"), F.col("h") + 1, step).alias("ts"), *[F.col(f"v.c{j}").alias(t) for j, t in enumerate(targets)])
 
 
 # -- rolling evaluation ---------------------------------------------------------------------------
@@ -129,24 +146,40 @@ def by_model(model: Ridge) -> Forecaster:
     return lambda samples, target, out: F.array(*[model.expression(F.transform(f"past_{target}", lambda v: v.cast("double")), h) for h in range(out)])
 
 
-def backtest(panel: Panel, forecaster: Forecaster, in_chunk_len: int, predict_window: int, stride: int | None = None, start: int | None = None, skip_chunk_len: int = 0) -> DataFrame:
+def backtest(panel: Panel, forecaster: Forecaster, in_chunk_len: int, predict_window: int, stride: int | None = None, start: int | float | str | None = None, skip_chunk_len: int = 0) -> DataFrame:
     """``key, origin, h, y, p``: forecasts from every origin of every series, in one pass.
 
-    Origins run from ``start`` (default in + skip), ``stride`` apart; all are windows of one frame.
+    Origins run from ``start`` (a row, a share of the rows, or a time; default in + skip), ``stride``
+    apart; all are windows of one frame.
     """
+    if isinstance(start, (float, str)):
+        stride, least = stride or predict_window, in_chunk_len + skip_chunk_len
+        begin = locate(panel.df, panel.key, panel.ts, start).withColumn("_start", F.greatest("pos", F.lit(least))).drop("pos")
+        origin = F.col("tail") - predict_window + 1
+        every = make_samples(panel, in_chunk_len, predict_window, skip_chunk_len).join(begin, panel.key)
+        s = every.filter((origin >= F.col("_start")) & ((origin - F.col("_start")) % stride == 0))
+        return _forecasts(s, panel, forecaster, predict_window)
     start = in_chunk_len + skip_chunk_len if start is None else start
     stride = stride or predict_window
     first_tail = start + predict_window - 1
     s = make_samples(panel, in_chunk_len, predict_window, skip_chunk_len, stride, (first_tail, 2**31 - 1))
+    return _forecasts(s, panel, forecaster, predict_window)
+
+
+def _forecasts(s: DataFrame, panel: Panel, forecaster: Forecaster, predict_window: int) -> DataFrame:
     target = panel.columns("target")[0]
     both = F.arrays_zip(F.col(f"future_{target}").alias("y"), forecaster(s, target, predict_window).alias("p"))
     return s.select(panel.key, (F.col("tail") - predict_window + 1).alias("origin"), F.posexplode(both).alias("h", "v")).select(panel.key, "origin", "h", F.col("v.y").alias("y"), F.col("v.p").alias("p"))
 
 
-def backtest_score(forecasts: DataFrame, key: str) -> DataFrame:
-    """``key, rounds, mse, mae``: metrics of each round, then their mean (not pooled)."""
+def backtest_score(forecasts: DataFrame, key: str, reduction: str | None = "mean") -> DataFrame:
+    """``key, rounds, mse, mae``: metrics of each round, then their mean, median, min or max (not pooled); without one, ``key, origin, mse, mae``."""
     rounds = forecasts.groupBy(key, "origin").agg(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("mse"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
-    return rounds.filter("mse is not null").groupBy(key).agg(F.count("*").alias("rounds"), F.avg("mse").alias("mse"), F.avg("mae").alias("mae"))
+    rounds = rounds.filter("mse is not null")
+    if reduction is None:
+        return rounds
+    f = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "min": F.min, "max": F.max}[reduction]
+    return rounds.groupBy(key).agg(F.count("*").alias("rounds"), f("mse").alias("mse"), f("mae").alias("mae"))
 
 
 def cross_validate(panel: Panel, folds: DataFrame, in_chunk_len: int, out_chunk_len: int, alpha: float = 1.0) -> DataFrame:

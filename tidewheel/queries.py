@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -712,6 +713,48 @@ def h4_backtest(spark, sf_dir):
     return scored.select(K, "rounds", r6("mse", "mse"), r6("mae", "mae"))
 
 
+_ROUNDS = """(SELECT o.user_id, o.pos AS origin, avg(power(v.value - l.value, 2)) AS mse, avg(abs(v.value - l.value)) AS mae FROM filled o
+JOIN filled l ON l.user_id = o.user_id AND l.pos = o.pos - 1 JOIN filled v ON v.user_id = o.user_id AND v.pos BETWEEN o.pos AND o.pos + 2 JOIN (SELECT user_id, count(*) AS n, greatest(7, CAST(floor((count(*) - 1) * 0.5) AS BIGINT)) AS s FROM filled GROUP BY 1) c ON c.user_id = o.user_id
+WHERE o.pos >= s AND (o.pos - s) % 3 = 0 AND o.pos + 3 <= n GROUP BY 1, 2)"""
+
+
+@query("SELECT user_id, origin, round(mse, 6) AS mse, round(mae, 6) AS mae FROM " + _ROUNDS + " WHERE mse IS NOT NULL")
+def h4_backtest_from_share(spark, sf_dir):
+    """Rounds from the middle of each series on, not reduced."""
+    scored = forecast.backtest_score(forecast.backtest(panel(filled(spark, sf_dir)), forecast.last_value, 7, 3, start=0.5), K, None)
+    return scored.select(K, "origin", r6("mse", "mse"), r6("mae", "mae"))
+
+
+@query("SELECT user_id, count(*) AS rounds, round(median(mse), 6) AS mse, round(median(mae), 6) AS mae FROM " + _ROUNDS + " WHERE mse IS NOT NULL GROUP BY 1")
+def h4_backtest_median(spark, sf_dir):
+    scored = forecast.backtest_score(forecast.backtest(panel(filled(spark, sf_dir)), forecast.last_value, 7, 3, start=0.5), K, "median")
+    return scored.select(K, "rounds", r6("mse", "mse"), r6("mae", "mae"))
+
+
+_LAST = ", z AS (SELECT user_id, max(ts) AS ts, arg_max(b, ts) AS a, arg_max(value, ts) AS b FROM (SELECT user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM filled WHERE value IS NOT NULL) GROUP BY 1 HAVING count(*) >= 2) "
+
+
+@query(DAILY + _LAST + """SELECT user_id, strftime(ts + INTERVAL 1 DAY * (h + 1), '%Y-%m-%d') AS day, round(CASE h WHEN 0 THEN 1 + a / 3 + b / 7 ELSE 2 + 0.1 * a + 0.2 * b + 0.3 * 2 * a END, 6) AS value,
+round(CASE h WHEN 0 THEN 1 + a / 3 + b / 7 ELSE 2 + 0.1 * a + 0.2 * b + 0.3 * 2 * a END - 3, 6) AS low, round(CASE h WHEN 0 THEN 3 + 2 * b ELSE 4 + 0.4 * 2 * b END, 6) AS twice FROM z, range(0, 2) r(h)""")
+def h2_predict_two_targets(spark, sf_dir):
+    """Forecasts of two targets and a quantile by fixed weights."""
+    d = filled(spark, sf_dir).filter("value is not null").withColumn("twice", F.col("value") * 2)
+    weights = np.array([[1 / 3, 0.1, 0, 0], [1 / 7, 0.2, 0, 0], [0, 0.3, 0, 0], [0, 0, 1.0, 0.4]])  # value two days and a day ago, then twice
+    model = forecast.Ridge(weights, np.array([1.0, 2, 3, 4]), 2, 2)
+    out = forecast.predict(model, panel(d, value="target", twice="target"), "1 day", {0.1: [-3.0] * 4})
+    return out.select(K, day(), r6("value", "value"), r6("`value@0.1`", "low"), r6("twice", "twice"))
+
+
+@query(DAILY.replace("WITH", "WITH RECURSIVE", 1) + _LAST + """, c AS (SELECT user_id, ts, a, b, 0 AS h FROM z UNION ALL SELECT user_id, ts, b, 1 + a / 3 + b / 7, h + 1 FROM c WHERE h < 5)
+SELECT user_id, strftime(ts + INTERVAL 1 DAY * h, '%Y-%m-%d') AS day, round(b, 6) AS value, round(2 * b, 6) AS twice FROM c WHERE h > 0""")
+def h3_recursive_two_targets(spark, sf_dir):
+    """Five days, a day at a time, of two targets by fixed weights."""
+    d = filled(spark, sf_dir).filter("value is not null").withColumn("twice", F.col("value") * 2)
+    model = forecast.Ridge(np.array([[1, 0], [3 / 7, 0], [0, 1], [0, 3 / 7]]) / 3, np.array([1.0, 2]), 2, 1)
+    out = forecast.recursive_predict(model, panel(d, value="target", twice="target"), "1 day", 5)
+    return out.select(K, day(), r6("value", "value"), r6("twice", "twice"))
+
+
 @query()
 def h5_cross_validate(spark, sf_dir):
     p = panel(filled(spark, sf_dir).filter("value is not null"))
