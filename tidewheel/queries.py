@@ -87,6 +87,11 @@ def a3_validate(spark, sf_dir):
     return io.validate(Panel(events(spark, sf_dir), K, T, {"value": "target", "event_type": "static"}))
 
 
+@query("SELECT user_id, 'gap in the index' AS rule, max(event_id) - min(event_id) + 1 - count(*) AS n FROM events GROUP BY 1 HAVING max(event_id) - min(event_id) + 1 > count(*)")
+def a3_validate_integer_index(spark, sf_dir):
+    return io.validate(Panel(events(spark, sf_dir), K, "event_id", {"value": "target"}))
+
+
 @query("""SELECT user_id, min(s) / 1e6 AS seconds, min(s) = max(s) AS regular FROM (
 SELECT user_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS s FROM events) WHERE s IS NOT NULL GROUP BY 1""")
 def a4_infer_freq(spark, sf_dir):
@@ -158,6 +163,12 @@ def b4_locate(spark, sf_dir):
     return grid.locate(daily(spark, sf_dir), K, T, 0.7)
 
 
+@query("SELECT user_id, min(pos) FILTER (ts >= TIMESTAMP '2024-01-15 12:00:00') AS pos FROM daily GROUP BY 1 HAVING min(ts) <= TIMESTAMP '2024-01-15 12:00:00' AND max(ts) >= TIMESTAMP '2024-01-15 12:00:00'")
+def b4_locate_time(spark, sf_dir):
+    """A time that no row has: the next row."""
+    return grid.locate(daily(spark, sf_dir), K, T, "2024-01-15 12:00:00")
+
+
 @query(f"""SELECT user_id, {_DAY}, value, CASE WHEN pos <= floor((n - 1) * 0.7) THEN 'first' ELSE 'second' END AS part FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM daily)""")
 def b5_split(spark, sf_dir):
     a, b = grid.split(panel(daily(spark, sf_dir)), 0.7)
@@ -165,11 +176,12 @@ def b5_split(spark, sf_dir):
     return part(a, "first").unionByName(part(b, "second"))
 
 
-@query(f"""SELECT user_id, {_DAY}, value FROM daily WHERE value IS NOT NULL AND ts <= (SELECT max(u.ts) FROM daily u WHERE u.user_id = daily.user_id AND u.pos < 10)""")
+@query(f"""SELECT user_id, {_DAY}, value, CASE WHEN ts <= (SELECT max(u.ts) FROM daily u WHERE u.user_id = daily.user_id AND u.pos < 10) THEN 'first' ELSE 'second' END AS part FROM daily WHERE value IS NOT NULL""")
 def b6_split_union_index(spark, sf_dir):
     d = daily(spark, sf_dir)
-    first, _ = grid.split_union_index(K, T, 10, d, d.filter("value is not null"))
-    return first[1].select(K, day(), "value")
+    first, second = grid.split_union_index(K, T, 10, d, d.filter("value is not null"))
+    part = lambda p, name: p[1].select(K, day(), "value", F.lit(name).alias("part"))
+    return part(first, "first").unionByName(part(second, "second"))
 
 
 @query(f"SELECT user_id, {_DAY}, value FROM daily WHERE pos >= 3 AND pos < 12")
@@ -347,12 +359,13 @@ def c9_holiday_distance(spark, sf_dir):
     return d.select(K, day(), F.col("`New Years Day`").alias("new_year"), F.col("`Easter Sunday`").alias("easter"))
 
 
-@query("""SELECT event_id, CAST(event_type = (SELECT min(event_type) FROM events) AS DOUBLE) AS first, (SELECT count(DISTINCT event_type) FROM events) AS width FROM events""")
+@query("""SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS hot, CAST(1 AS DOUBLE) AS ones, (SELECT count(DISTINCT event_type) FROM events) AS width FROM events""")
 def c10_one_hot(spark, sf_dir):
     e = events(spark, sf_dir)
     d = transforms.one_hot(e, ["event_type"]).transform(e)
-    n = len([c for c in d.columns if c.startswith("OneHotEncoder_")])
-    return d.select("event_id", F.col("OneHotEncoder_event_type_0").alias("first"), F.lit(n).cast("long").alias("width"))
+    new = [F.col(c) for c in d.columns if c.startswith("OneHotEncoder_event_type_")]
+    hot = sum((F.lit(float(i)) * c for i, c in enumerate(new)), F.lit(0.0))
+    return d.select("event_id", hot.alias("hot"), sum(new, F.lit(0.0)).alias("ones"), F.lit(len(new)).cast("long").alias("width"))
 
 
 @query("SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS event_type FROM events")
