@@ -60,6 +60,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this library wrote, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder, so that lost executors cost little."""
     shared_folder(df.sparkSession)
