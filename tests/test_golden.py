@@ -1,4 +1,4 @@
-"""Operators against small frames with known results."""
+"""Operators against small frames with known results. The frames and results are fixed values that must match."""
 
 import datetime as dt
 
@@ -214,3 +214,19 @@ def test_classes_and_padding(spark):
     assert got.agg(series_ml.accuracy("t", "label")).first()[0] == 1.0
     padded = samples.pad_series(series(spark, [1, None, 3]), "k", "ts", "v", 5).first()
     assert padded["values"] == [1, 0, 3, 0, 0] and padded["mask"] == [1, 1, 1, 0, 0]
+
+
+def test_window_outliers_by_all_pairs(spark):
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=(400, 3)), 1)
+    v[100:160] = v[0]  # copies
+    v[399] = 50.0
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, v array<double>")
+    far = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    want = np.sort(far, axis=1)[:, 4]
+    for pivots, chunk in ((256, 2048), (20, 16), (1, 50)):
+        got = {x.id: (x.score, x.pred) for x in anomaly.window_outliers(d, "id", "v", 5, 0.05, pivots, chunk).collect()}
+        assert np.allclose([got[i][0] for i in range(400)], want) and got[399][1] == 1
+    few = anomaly.window_outliers(d.limit(2), "id", "v", 5)
+    assert few.count() == 2 and anomaly.window_outliers(d.limit(0), "id", "v").count() == 0

@@ -79,4 +79,5 @@ def repr_forecast(panel: Panel, features: DataFrame, steps: int, alpha: float =
         model = LinearRegression(labelCol=f"_y{h}", regParam=alpha, elasticNetParam=0.0).fit(rows)
         part = model.transform(rows).select(key, ts, F.lit(h).cast("long").alias("h"), F.col(f"_y{h}").alias("y"), F.col("prediction").alias("p"))
         out = part if out is None else out.unionByName(part)
+    at.unpersist()
     return out
