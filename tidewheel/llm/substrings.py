@@ -32,7 +32,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tokens, durable, mix64, per_batch, words_of
@@ -163,13 +163,19 @@ def _bucket_minima(packed: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, sig long, window int, n int, least long")
 
 
+def _texts(docs: DataFrame, chosen: DataFrame, run: Column) -> DataFrame:
+    """``doc_id, version, text, runs`` of the documents whose runs are representatives; of equal rows one."""
+    by_doc = chosen.select("r.doc_id", "r.version", run.alias("run")).groupBy("doc_id", "version").agg(F.collect_list("run").alias("runs"))  # a document's own runs
+    return docs.join(by_doc, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])  # these are together already
+
+
 def _hot_minima(windows: DataFrame) -> DataFrame:
     """As _bucket_minima() of single windows, by an aggregate over their words and a join that may be split."""
     least = durable(windows.groupBy("words").agg(F.min("doc_id").alias("least")))
     return windows.join(least, "words").select("key", "sig", F.col("base").alias("window"), F.lit(1).alias("n"), "least")
 
 
-def removed(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 5_000) -> DataFrame:
+def removed(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 50_000) -> DataFrame:
     """``doc_id, version, first, n``: stretches of windows that start in a document with a smaller id."""
     found = runs(docs, width, gram)
     # a table of its own, so that the join's other side may be split where a minimiser is frequent
@@ -177,20 +183,17 @@ def removed(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 5_000) -
     mine = durable(found.join(shared, "key"))
     of = F.struct("doc_id", "version", "first", "n", "at")
     chosen = durable(mine.groupBy("key", "sig").agg(F.min(of).alias("r"), F.max("doc_id").alias("last")))
-    many = chosen.groupBy("key").agg(F.count("*").alias("_k")).filter(F.col("_k") > hot).select("key", F.lit(True).alias("hot"))
-    listed = chosen.join(many, "key", "left").select("r.doc_id", "r.version", F.struct("key", "sig", "r.first", "r.n", "r.at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run"))
-    by_doc = listed.groupBy("doc_id", "version").agg(F.collect_list("run").alias("runs"))  # a document's own runs
-    once = docs.join(by_doc, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])  # equal rows are one; they are together already
-    packed = _packed(once, width)
-    minima = _bucket_minima(packed.filter("not hot"), width)
-    if many.limit(1).count():
-        minima = minima.unionByName(_hot_minima(packed.filter("hot")))
+    many = chosen.groupBy("key").agg(F.count("*").alias("_k")).filter(F.col("_k") > hot).select("key")
+    run = F.struct("key", "sig", "r.first", "r.n", "r.at", F.lit(False).alias("hot"))
+    minima = _bucket_minima(_packed(_texts(docs, chosen.join(many, "key", "left_anti"), run), width), width)
+    if many.limit(1).count():  # only the documents that represent such runs are read again
+        minima = minima.unionByName(_hot_minima(_packed(_texts(docs, chosen.join(many, "key", "left_semi"), run.withField("hot", F.lit(True))), width)))
     known = minima.join(chosen.select("key", "sig", "last"), ["key", "sig"]).filter("least < last").drop("last")
     back = mine.select("key", "sig", "doc_id", "version", F.col("first").alias("_f")).join(known, ["key", "sig"]).filter("least < doc_id")
     return back.select("doc_id", "version", (F.col("_f") + F.col("window")).alias("first"), "n")
 
 
-def dedup(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 5_000, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 50, gram: int = 8, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed`` and the kept words joined by a space (``kept``), or their digest (``kept_sha256``)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
     cut = removed(own, width, gram, hot).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "n")).alias("cut"))  # equal rows give equal stretches
