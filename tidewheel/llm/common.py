@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if not set_by_cluster and context.getCheckpointDir() is None:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return set_by_cluster or context.getCheckpointDir()
