@@ -72,6 +72,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that are broadcast at most.
+SMALL = 100_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numbers a row, to be broadcast where it is counted to be small; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 #: Bytes of rows that a worker turns into Python values at once.
 PIECE = 1_000_000
 

@@ -29,19 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, durable, mix64, per_batch, unused
+from .common import SMALL, Tokens, durable, if_small, mix64, per_batch, unused
 from .quality import binomial_at_most
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Lists up to this length are paired whole.
 SHORT = 8
-#: Numbers that a filter of ids holds at most; rows of a few numbers that are broadcast at most.
-BUCKETS, SMALL = 1 << 17, 100_000
-
-
-def _if_small(df: DataFrame) -> DataFrame:
-    """A checkpointed table of a few numbers a row, to be broadcast where it is counted to be small; else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+#: Numbers that a filter of ids holds at most.
+BUCKETS = 1 << 17
 
 
 def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -138,7 +133,15 @@ def repeated(rows: DataFrame) -> DataFrame:
     return durable(rows.groupBy("doc_id", "version").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "version"))
 
 
-def _once(docs: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
+def same_ids(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets, by the ids they go by in ``sets`` (set_key, id), of the texts that one id has."""
+    known = rows.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key")
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low != high").select("doc_id")
+    named = durable(known.join(if_small(durable(several)), "doc_id", "left_semi").join(sets, "set_key").select("doc_id", F.col("id").alias("b")).distinct())
+    return named.join(named.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a != b").select("a", "b")
+
+
+def once(docs: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each of ``again`` (``keys``, null-safe); other rows stay where they are. Only the repeated ones move."""
     if not again.limit(1).count():
         return docs
@@ -156,7 +159,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     Few ids are broadcast. Of many, only their buckets are, at most ``BUCKETS`` numbers whatever the
     input; that lets some others through, which the join then drops.
     """
-    wanted = durable(nodes.select(F.col("id").alias("doc_id"), "version").join(_if_small(durable(ids.distinct())), "doc_id", "left_semi"))
+    wanted = durable(nodes.select(F.col("id").alias("doc_id"), "version").join(if_small(durable(ids.distinct())), "doc_id", "left_semi"))
     if wanted.count() <= SMALL:
         return docs.join(F.broadcast(wanted), ["doc_id", "version"]).select("doc_id", "text")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")  # ``docs`` has the columns of link()
@@ -164,7 +167,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(wanted, ["doc_id", "version"]).select("doc_id", "text")
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """The pairs with the Jaccard similarity of their full sets, ``common`` and ``total``: the texts of their ends are read again."""
     texts = _texts(docs, nodes, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
 
@@ -176,7 +179,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) ->
     # compared in the JVM: with a second Python step in one task, twice as many workers would live on
     common = F.size(F.array_intersect("set_a", "set_b"))
     found = both.select("a", "b", common.cast("long").alias("common"), (F.size("set_a") + F.size("set_b") - common).cast("long").alias("total"))
-    return durable(found.groupBy("a", "b").agg(F.max(F.struct("common", "total")).alias("s")).select("a", "b", "s.common", "s.total"))
+    return durable(found.groupBy("a", "b").agg(F.max_by(F.struct("common", "total"), F.col("common") / F.col("total")).alias("s")).select("a", "b", "s.common", "s.total"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def _rest(members: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
     own = has.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o"))  # one document's own shingles
     n = F.size("o")
     prefix = F.slice("o", F.lit(1), n - F.ceil(n * p / q - 1e-9).cast("int") + 1)
-    posts = own.select("id", n.alias("n"), F.posexplode(prefix).alias("at", "o")).filter("o.f > 1").select(F.col("o.h").alias("h"), "id", "n", "at").join(_if_small(members), "id")
+    posts = own.select("id", n.alias("n"), F.posexplode(prefix).alias("at", "o")).filter("o.f > 1").select(F.col("o.h").alias("h"), "id", "n", "at").join(if_small(members), "id")
     posts = durable(posts)
     x, y = posts.filter("apart").alias("x"), posts.alias("y")
     once = ~F.col("y.apart") | (F.col("x.id") < F.col("y.id"))
@@ -229,11 +232,11 @@ def _rest(members: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
 
 def joined(found: DataFrame, more: DataFrame) -> DataFrame:
     """Components after further links: only the components that these touch are worked on."""
-    few = _if_small(found)
+    few = if_small(found)
     label = lambda c: few.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
     ends = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     merged = components(ends.filter("a != b"))
-    known = found.join(_if_small(merged.toDF("component", "_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    known = found.join(if_small(merged.toDF("component", "_to")), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
     fresh = merged.join(found.select("id"), "id", "left_anti")
     return durable(known.unionByName(fresh))
 
@@ -241,7 +244,7 @@ def joined(found: DataFrame, more: DataFrame) -> DataFrame:
 def link(docs: DataFrame, size: int, similarity: Fraction, coordinates: int = 64) -> tuple[DataFrame, DataFrame]:
     """(features, ``set_key, component`` of all sets) of ``doc_id, version, text``."""
     rows = durable(features(docs, size, coordinates))
-    docs = _once(docs, repeated(rows), ["doc_id", "version"])  # equal rows are one when texts are compared
+    docs = once(docs, repeated(rows), ["doc_id", "version"])  # equal rows are one when texts are compared
     sets = rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "version")).alias("r"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n"))
     nodes = durable(sets.select("set_key", F.col("r.doc_id").alias("id"), "r.version", "sig", "n"))
     least = least_matches(similarity, coordinates)
@@ -249,7 +252,7 @@ def link(docs: DataFrame, size: int, similarity: Fraction, coordinates: int = 64
     lists = posts.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).filter("k > 1")
     posted = durable(posts.join(lists, "key"))
     linked = lambda compared: compared.filter(F.col("common") * similarity.denominator >= F.col("total") * similarity.numerator).select("a", "b")
-    check = lambda pairs: linked(_compared(durable(_enough_matches(pairs.filter("a < b").distinct(), nodes, coordinates, least)), docs, nodes, size))
+    check = lambda pairs: linked(compared(durable(_enough_matches(pairs.filter("a < b").distinct(), nodes, coordinates, least)), docs, nodes, size))
 
     # first: every list's star, and short lists whole
     star = posted.select(F.col("hub").alias("a"), F.col("id").alias("b"))
@@ -259,7 +262,7 @@ def link(docs: DataFrame, size: int, similarity: Fraction, coordinates: int = 64
     found = components(links)
 
     # then: two other hubs of each list, against other components only
-    labelled = lambda: posted.join(_if_small(found.toDF("id", "c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    labelled = lambda: posted.join(if_small(found.toDF("id", "c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
     mine = labelled().filter(F.col("k") > SHORT)
     firsts = [F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))) for turn in range(2)]
     other = mine.groupBy("key").agg(F.array(*firsts).alias("h"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).filter("c_lo < c_hi").select("key", F.explode("h").alias("h"))
@@ -267,11 +270,11 @@ def link(docs: DataFrame, size: int, similarity: Fraction, coordinates: int = 64
     found = joined(found, check(apart))
 
     # last: what is still outside its hub's component, with all that it may link with
-    mine = labelled().filter(F.col("k") > SHORT).join(_if_small(found.toDF("hub", "hub_c")), "hub", "left").withColumn("apart", F.col("c") != F.coalesce("hub_c", "hub"))
+    mine = labelled().filter(F.col("k") > SHORT).join(if_small(found.toDF("hub", "hub_c")), "hub", "left").withColumn("apart", F.col("c") != F.coalesce("hub_c", "hub"))
     open_lists = mine.groupBy("key").agg(F.max("apart").alias("open")).filter("open").select("key")
     members = durable(mine.join(open_lists, "key", "left_semi").groupBy("id").agg(F.min("c").alias("c"), F.max("apart").alias("apart")))
     more = linked(_rest(members, docs, nodes, size, similarity))
-    found = joined(found, more)
+    found = joined(joined(found, more), same_ids(rows, nodes.select("set_key", "id")))
     return rows, nodes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
 
 
@@ -293,5 +296,5 @@ def survivors(docs: DataFrame, size: int = 5, similarity: Fraction = Fraction(4,
     own = docs.withColumn(i, F.col(id_col).cast("long")).withColumn(v, F.xxhash64(text_col))
     rows, sets = link(own.select(F.col(i).alias("doc_id"), F.col(v).alias("version"), F.col(text_col).alias("text")), size, similarity, coordinates)
     gone = rows.join(sets, "set_key").filter("doc_id != component").select(F.col("doc_id").alias(i), F.col("version").alias(v)).distinct()
-    left = own.join(_if_small(durable(gone)), [i, v], "left_anti")
-    return _once(left, repeated(rows).toDF(i, v), [i, v]).select(*docs.columns)
+    left = own.join(if_small(durable(gone)), [i, v], "left_anti")
+    return once(left, repeated(rows).toDF(i, v), [i, v]).select(*docs.columns)

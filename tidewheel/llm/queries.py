@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, language, neardup, pii, quality, secrets, substrings, toxicity
+from . import bpe, brown, decontaminate, divergence, frames, language, neardup, ngram_join, pii, quality, secrets, substrings, toxicity
 from .common import crc_mod_col, table
 from .oracles import ORACLES as ORACLES
 
@@ -69,6 +69,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod_col("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("score"), "rejected")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source differ from those of the other sources of its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed for filling in its middle, and rebuilt."""
+    return frames.digests(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), size=3, similarity=Fraction(9, 10))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -80,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
+    "op11_divergence": op11_divergence,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ngram_join": op13_ngram_join,
 }
