@@ -478,9 +478,46 @@ def test_decontamination_recall_with_more_items_than_rank(spark):
     assert len(exact) > 40 and len(got & exact) >= 0.95 * len(exact)
 
 
+def test_confirmation_wherever_the_passage_lies():
+    """The share of the best stretch is the same at every offset, and that of comparing every stretch."""
+    r = random.Random(12)
+    item = decontaminate.Item(0, "x", [r.randint(0, 60) for _ in range(40)])
+    part = [w if r.random() < 0.75 else -1 for w in item.words]
+    around = [r.randint(0, 400) if r.random() < 0.3 else -1 for _ in range(200)]
+    seen = set()
+    for shift in range(60):
+        words = np.array(around[:shift] + part + around[shift:])
+        seen.add(item.best(words, 48, 96))
+        size = 51
+        every = [item.lcs(words[a : a + size].tolist()) for a in range(max(0, 48 - size + 1), 96)]
+        rule = decontaminate.Rule()
+        assert max((rule(*x), *x) for x in every)[1:] == item.best(words, 48, 96) or max(x[0] for x in every) < 0.5
+    assert max(seen)[0] >= 0.7
+    for shift in range(30):  # inside the passage wherever it begins: one verdict
+        words = np.array([-1] * (60 + shift) + part + [-1] * 100)
+        assert item.best(words, 48, 96) == item.best(np.array([-1] * 60 + part + [-1] * 100), 48, 96)
+
+
+def test_passages_of_a_long_text_in_slices(monkeypatch):
+    r = random.Random(2)
+    ids = np.array([r.randint(-1, 30) for _ in range(5000)])
+    rows = np.random.default_rng(1).normal(size=(31, 4)).astype(np.float32)
+    known = np.flatnonzero(ids >= 0)
+    got = decontaminate._sums(known // 16, rows, ids[known], 313)
+    assert np.allclose(got, [rows[[w for w in ids[i * 16 : i * 16 + 16] if w >= 0]].sum(0) for i in range(313)], atol=1e-4)
+
+
 # -- 9 PII --------------------------------------------------------------------------------------------
 
 
+def test_long_texts_of_one_kind(spark):
+    """No pattern takes a stack as deep as its text: dotted names, digits, marks, a megabyte each."""
+    texts = ["x@" + "a." * 2000 + "com", "x@" + "a." * 500_000, "1" * 1_000_000, "@" * 1_000_000, "." * 1_000_000, "x@y" * 300_000, "1-" * 500_000, "a@" + "b-" * 500_000, "12 " * 300_000, "GB" * 500_000, "a@b." * 250_000]
+    texts += ["a@" + "b." * 100 + "com and a@b.c1.example x@y..com"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and got[1:5] == texts[1:5] and len(got) == len(texts) and got[-1] != texts[-1] and got[-1].endswith("x@y..com")
+
+
 def test_pseudonyms(spark, edges, empty):
     text = "a the.72@mail3.example.com card 4785380592391139 4785-3805-9239-1139 ip 169.122.221.182. tel +1 (499) 555-6503% 123-45-6789 on 2021-02-28 not 2021-02-31 GB82WEST12345698765432 4785380592391138 999.1.1.1"
     d = spark.createDataFrame([(1, text), (2, "4785380592391139")], "doc_id long, text string")
