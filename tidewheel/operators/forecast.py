@@ -1,11 +1,9 @@
-"""Windowed regression forecasts, rolling evaluation, cross-validation and search."""
+"""Windowed regression forecasts and rolling evaluation. Cross-validation and search are in foldwise.py."""
 
 from __future__ import annotations
 
-import itertools
-import random
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.steps import following
 from ..panel import Panel, in_order
 from .grid import locate
-from .samples import design_matrix, make_samples, predict_samples
+from .samples import column_order, design_matrix, make_samples, predict_samples
 
 
 @dataclass(frozen=True)
@@ -98,33 +96,108 @@ def predict(model: Ridge, panel: Panel, step: str, spread: dict[float, list[floa
     return rows.select(panel.key, following(F.col("last_ts"), F.col("h") + model.skip_chunk_len + 1, step).alias("ts"), *[F.col(f"v.c{i}").alias(n) for i, n in enumerate(columns)])
 
 
-def recursive_predict(model: Ridge, panel: Panel, step: str, length: int) -> DataFrame:
-    """``key, ts`` and each target's forecast: rounds of forecasts appended as history. No skip, and no covariates, whose future isn't forecast."""
+@dataclass(frozen=True)
+class Feature:
+    """A column made of another's values up to a row: ``lag`` or ``diff`` of k rows, ``mean``, ``sum``, ``min`` or ``max`` of the last k."""
+
+    source: str
+    kind: str
+    k: int
+
+    def expression(self, key: str, ts: str) -> Column:
+        """The column over a whole table; NULL while there are too few rows."""
+        w = in_order(key, ts)
+        if self.kind in ("lag", "diff"):
+            before = F.lag(self.source, self.k).over(w)
+            return before if self.kind == "lag" else F.col(self.source) - before
+        last = w.rowsBetween(1 - self.k, 0)
+        fold = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[self.kind]
+        return F.when(F.count(self.source).over(last) == self.k, fold(self.source).over(last))
+
+    def tail(self, values: np.ndarray, size: int) -> np.ndarray:
+        """The last ``size`` values of each row of ``values``, whose last ``size + k`` are there."""
+        n = values.shape[1]
+        if self.kind == "lag":
+            return values[:, n - size - self.k : n - self.k]
+        if self.kind == "diff":
+            return values[:, n - size :] - values[:, n - size - self.k : n - self.k]
+        near = np.lib.stride_tricks.sliding_window_view(values, self.k, axis=1)[:, -size:]
+        return getattr(near, self.kind)(axis=2)
+
+
+def with_features(panel: Panel, features: dict[str, Feature]) -> Panel:
+    """The panel with these columns as observed ones, each made of columns that are there before it."""
+    df = panel.df
+    for name, f in features.items():
+        df = df.withColumn(name, f.expression(panel.key, panel.ts))
+    return panel.on(df, **dict.fromkeys(features, "observed"))
+
+
+def _ahead(panel: Panel, last: DataFrame, future: DataFrame, step: str, length: int) -> DataFrame:
+    """``last`` with ``_ahead``, the known values of the next ``length`` rows; an error where a row or a value is missing."""
+    key, ts, known = panel.key, panel.ts, panel.columns("known")
+    ends = last.select(F.col(key).alias("_key"), F.col("last_ts").alias("_last"))
+    rows = future.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.array(*[F.col(c).cast("double") for c in known]).alias("_v"))
+    near = rows.join(ends, "_key").filter((F.col("_ts") > F.col("_last")) & (F.col("_ts") <= following(F.col("_last"), F.lit(length), step)))
+    got = near.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_ts", "_v"))).alias("_ahead"))  # ``length`` rows
+    whole = (F.size("_ahead") == length) & F.forall("_ahead", lambda r: F.forall(r["_v"], lambda v: v.isNotNull()))
+    told = F.when(F.coalesce(whole, F.lit(False)), F.col("_ahead")["_v"]).otherwise(F.raise_error(F.concat(F.lit(f"known values are missing in the {length} rows after series "), F.col(key).cast("string"))))
+    return last.join(got, F.col(key) == F.col("_key"), "left").withColumn("_ahead", told).drop("_key")
+
+
+def recursive_predict(model: Ridge, panel: Panel, step: str, length: int, future: DataFrame | None = None, features: dict[str, Feature] | None = None) -> DataFrame:
+    """``key, ts`` and each target's forecast: rounds of forecasts appended as history.
+
+    Known columns are read from ``future``, which has their rows after each series' end, as many as the
+    rounds reach; a missing one is an error. Observed columns must be ``features`` (with_features()) of
+    targets or of each other, which each round makes anew from the tail. A skip can't be recursive.
+    """
+    features = features or {}
     if model.skip_chunk_len:
         raise ValueError("a skip can't be recursive")
-    if covariates := panel.columns("observed", "known"):
-        raise ValueError(f"the future of {covariates} isn't forecast; drop them")
-    last, targets = predict_samples(panel, model.in_chunk_len), panel.columns("target")
-    weights, intercept, size, key = model.weights, model.intercept, model.in_chunk_len, panel.key
-    statics = [c for c in panel.columns("static")]
+    if unforecast := [c for c in panel.columns("observed") if c not in features]:
+        raise ValueError(f"the future of {unforecast} isn't forecast; drop them, or say which features they are")
+    targets, known, statics, out = panel.columns("target"), panel.columns("known"), panel.columns("static"), model.out_chunk_len
+    if known and future is None:
+        raise ValueError(f"the future rows of {known} are needed")
+    rounds = -(-length // out)
+    weights, intercept, size, key, order = model.weights, model.intercept, model.in_chunk_len, panel.key, column_order(panel)
+    reach = size + sum(f.k for f in features.values())  # a feature of a feature looks back over both
+    last = predict_samples(panel.on(panel.df.drop(*features)), reach) if features else predict_samples(panel, size)
+    if known:
+        last = _ahead(panel, last, future, step, rounds * out)
+    kind = dict(panel.df.dtypes)[key]
 
     def run(batches):
         for pdf in batches:
-            past = np.array([[np.asarray(v, float) for v in pdf[f"past_{t}"]] for t in targets]).reshape(len(targets), len(pdf), size)
-            fixed = pdf[statics].to_numpy(float).reshape(len(pdf), len(statics))
-            done = np.zeros((len(targets), len(pdf), 0))
-            while done.shape[2] < length:
-                x = np.concatenate([*past, fixed], axis=1)
-                y = (x @ weights + intercept).reshape(len(pdf), len(targets), -1).transpose(1, 0, 2)
+            n = len(pdf)
+            matrix = lambda c, n=n, pdf=pdf: np.array([np.asarray(v, float) for v in pdf[c]]).reshape(n, -1)
+            past = {c: matrix(f"past_{c}") for c in targets + known}
+            ahead = np.array([[np.asarray(r, float) for r in v] for v in pdf["_ahead"]]).reshape(n, rounds * out, len(known)) if known else None
+            fixed = {c: pdf[c].to_numpy(float)[:, None] for c in statics}
+            done = np.zeros((len(targets), n, 0))
+            for turn in range(rounds):
+                at = slice(turn * out, (turn + 1) * out)
+                tail = dict(past)
+                for name, f in features.items():
+                    tail[name] = f.tail(tail[f.source], tail[f.source].shape[1] - f.k)
+                x = []
+                for c, role in order:
+                    x.append(fixed[c] if role == "static" else tail[c][:, -size:])
+                    if role == "known":
+                        x.append(ahead[:, at, known.index(c)])
+                y = (np.concatenate(x, axis=1) @ weights + intercept).reshape(n, len(targets), out).transpose(1, 0, 2)
                 done = np.concatenate([done, y], axis=2)
-                past = np.concatenate([past, y], axis=2)[:, :, -size:]
-            yield pdf[[key, "last_ts"]].assign(**{f"c{j}": list(done[j, :, :length]) for j in range(len(targets))})
+                new = {c: y[j] for j, c in enumerate(targets)} | {c: ahead[:, at, j] for j, c in enumerate(known)}
+                past = {c: np.concatenate([v, new[c]], axis=1)[:, -reach:] for c, v in past.items()}
+            import pandas as pd
 
-    kind = dict(panel.df.dtypes)[key]
-    schema = f"{key} {kind}, last_ts timestamp, " + ", ".join(f"c{j} array<double>" for j in range(len(targets)))
-    rows = last.select(key, "last_ts", *[f"past_{t}" for t in targets], *statics).mapInPandas(run, schema)
-    rows = rows.select(key, "last_ts", F.posexplode(F.arrays_zip(*[f"c{j}" for j in range(len(targets))])).alias("h", "v"))
-    return rows.select(key, following(F.col("last_ts"), F.col("h") + 1, step).alias("ts"), *[F.col(f"v.c{j}").alias(t) for j, t in enumerate(targets)])
+            yield pd.DataFrame({"series": pdf[key], "last_ts": pdf["last_ts"]} | {f"c{j}": list(done[j, :, :length]) for j in range(len(targets))})
+
+    schema = f"series {kind}, last_ts {dict(panel.df.dtypes)[panel.ts]}, " + ", ".join(f"c{j} array<double>" for j in range(len(targets)))
+    rows = last.select(key, "last_ts", *[f"past_{c}" for c in targets + known], *statics, *(["_ahead"] if known else [])).mapInPandas(run, schema)
+    rows = rows.select("series", "last_ts", F.posexplode(F.arrays_zip(*[f"c{j}" for j in range(len(targets))])).alias("h", "v"))
+    return rows.select(F.col("series").alias(key), following(F.col("last_ts"), F.col("h") + 1, step).alias("ts"), *[F.col(f"v.c{j}").alias(t) for j, t in enumerate(targets)])
 
 
 # -- rolling evaluation ---------------------------------------------------------------------------
@@ -143,15 +216,25 @@ def mean_value(samples: DataFrame, target: str, out: int) -> Column:
 
 
 def by_model(model: Ridge) -> Forecaster:
-    return lambda samples, target, out: F.array(*[model.expression(F.transform(f"past_{target}", lambda v: v.cast("double")), h) for h in range(out)])
+    """Forecasts of a lone target without covariates by its past values; for other panels give backtest() the model itself."""
+
+    def forecast(samples: DataFrame, target: str, out: int) -> Column:
+        if others := [c for c in samples.columns if c.startswith("past_") and c != f"past_{target}"]:
+            raise ValueError(f"{others} aren't in this forecaster's input; give the model itself")
+        return F.array(*[model.expression(F.transform(f"past_{target}", lambda v: v.cast("double")), h) for h in range(out)])
+
+    return forecast
 
 
-def backtest(panel: Panel, forecaster: Forecaster, in_chunk_len: int, predict_window: int, stride: int | None = None, start: int | float | str | None = None, skip_chunk_len: int = 0) -> DataFrame:
+def backtest(panel: Panel, forecaster: Forecaster | Ridge, in_chunk_len: int, predict_window: int, stride: int | None = None, start: int | float | str | None = None, skip_chunk_len: int = 0) -> DataFrame:
     """``key, origin, h, y, p``: forecasts from every origin of every series, in one pass.
 
     Origins run from ``start`` (a row, a share of the rows, or a time; default in + skip), ``stride``
-    apart; all are windows of one frame.
+    apart; all are windows of one frame. A forecaster looks at the first target; a model, at all that
+    it was fitted on, known rows ahead included, and its rows have one more column, ``target``.
     """
+    if isinstance(forecaster, Ridge) and (forecaster.in_chunk_len, forecaster.out_chunk_len, forecaster.skip_chunk_len) != (in_chunk_len, predict_window, skip_chunk_len):
+        raise ValueError("the window's lengths are the model's")
     if isinstance(start, (float, str)):
         stride, least = stride or predict_window, in_chunk_len + skip_chunk_len
         begin = locate(panel.df, panel.key, panel.ts, start).withColumn("_start", F.greatest("pos", F.lit(least))).drop("pos")
@@ -166,46 +249,34 @@ def backtest(panel: Panel, forecaster: Forecaster, in_chunk_len: int, predict_wi
     return _forecasts(s, panel, forecaster, predict_window)
 
 
-def _forecasts(s: DataFrame, panel: Panel, forecaster: Forecaster, predict_window: int) -> DataFrame:
+def _forecasts(s: DataFrame, panel: Panel, forecaster: Forecaster | Ridge, predict_window: int) -> DataFrame:
+    if isinstance(forecaster, Ridge):
+        targets, one = panel.columns("target"), design_matrix(s.withColumnsRenamed({c: f"static_{c}" for c in ("x", "y") if c in s.columns}), _renamed(panel))
+        at = one.select(F.col(panel.key), (F.col("tail") - predict_window + 1).alias("origin"), "x", "y")
+        p = F.array(*[forecaster.expression(F.col("x"), o) for o in range(len(targets) * predict_window)])
+        rows = at.select(panel.key, "origin", F.posexplode(F.arrays_zip("y", p.alias("p"))).alias("o", "v"))
+        name = F.element_at(F.array(*[F.lit(t) for t in targets]), (F.floor(F.col("o") / predict_window) + 1).cast("int"))
+        return rows.select(panel.key, name.alias("target"), "origin", (F.col("o") % predict_window).cast("int").alias("h"), F.col("v.y").alias("y"), F.col("v.p").alias("p"))
     target = panel.columns("target")[0]
     both = F.arrays_zip(F.col(f"future_{target}").alias("y"), forecaster(s, target, predict_window).alias("p"))
     return s.select(panel.key, (F.col("tail") - predict_window + 1).alias("origin"), F.posexplode(both).alias("h", "v")).select(panel.key, "origin", "h", F.col("v.y").alias("y"), F.col("v.p").alias("p"))
 
 
+def _renamed(panel: Panel) -> Panel:
+    """The panel with its static columns of the names x and y under others, as design_matrix() takes them."""
+    to = {c: f"static_{c}" for c in ("x", "y") if panel.roles.get(c) == "static"}
+    return replace(panel, df=panel.df.withColumnsRenamed(to), roles={to.get(c, c): r for c, r in panel.roles.items()})
+
+
 def backtest_score(forecasts: DataFrame, key: str, reduction: str | None = "mean") -> DataFrame:
-    """``key, rounds, mse, mae``: metrics of each round, then their mean, median, min or max (not pooled); without one, ``key, origin, mse, mae``."""
-    rounds = forecasts.groupBy(key, "origin").agg(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("mse"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
+    """``key, rounds, mse, mae``: metrics of each round, then their mean, median, min or max (not pooled); without one, ``key, origin, mse, mae``. For each ``target``, if there is one."""
+    by = [key, "target"] if "target" in forecasts.columns else [key]
+    rounds = forecasts.groupBy(*by, "origin").agg(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2.0))).alias("mse"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
     rounds = rounds.filter("mse is not null")
     if reduction is None:
         return rounds
     f = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "min": F.min, "max": F.max}[reduction]
-    return rounds.groupBy(key).agg(F.count("*").alias("rounds"), f("mse").alias("mse"), f("mae").alias("mae"))
-
-
-def cross_validate(panel: Panel, folds: DataFrame, in_chunk_len: int, out_chunk_len: int, alpha: float = 1.0) -> DataFrame:
-    """``fold, mse, mae``: a model fitted on each fold's training rows, scored by rolling origins in its test rows."""
-    key = panel.key
-    at = panel.df.withColumn("pos", (F.row_number().over(in_order(key, panel.ts)) - 1).cast("long")).join(folds.filter("part = 'train'").select(key, "fold", F.col("lo").alias("a"), F.col("hi").alias("b")), key)
-    at = at.join(folds.filter("part = 'test'").select(key, "fold", F.col("lo").alias("c"), F.col("hi").alias("d")), [key, "fold"])
-    out = None
-    for (fold,) in sorted(folds.select("fold").distinct().collect()):
-        here = at.filter(F.col("fold") == fold)
-        train = panel.on(here.filter("pos >= a and pos < b"))
-        model = fit_ridge(design_matrix(make_samples(train, in_chunk_len, out_chunk_len), train), in_chunk_len, out_chunk_len, 0, alpha)
-        seen = panel.on(here.filter("pos >= c - {} and pos < d".format(in_chunk_len)))
-        scored = backtest(seen, by_model(model), in_chunk_len, out_chunk_len)
-        score = backtest_score(scored, key).agg(F.avg("mse").alias("mse"), F.avg("mae").alias("mae")).select(F.lit(fold).cast("long").alias("fold"), "mse", "mae")
-        out = score if out is None else out.unionByName(score)
-    return out
-
-
-def grid_search(panel: Panel, folds: DataFrame, space: dict[str, list], out_chunk_len: int, n_trials: int | None = None, metric: str = "mse", seed: int = 1) -> tuple[dict, list[tuple[dict, float]]]:
-    """The best of all (or ``n_trials`` random) settings of ``in_chunk_len`` and ``alpha``, and every trial's score."""
-    trials = [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())]
-    if n_trials is not None and n_trials < len(trials):
-        trials = random.Random(seed).sample(trials, n_trials)
-    scored = [(t, cross_validate(panel, folds, t["in_chunk_len"], out_chunk_len, t.get("alpha", 1.0)).agg(F.avg(metric)).first()[0]) for t in trials]
-    return min(scored, key=lambda x: x[1])[0], scored
+    return rounds.groupBy(*by).agg(F.count("*").alias("rounds"), f("mse").alias("mse"), f("mae").alias("mae"))
 
 
 def seasonal_naive(df: DataFrame, key, ts: str, col: str, period: int) -> DataFrame:

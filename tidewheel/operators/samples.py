@@ -94,16 +94,19 @@ def coverage_violations(panel: Panel, in_chunk_len: int, out_chunk_len: int, ski
     return got.select(panel.key, F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select(panel.key, "r.*")
 
 
-def design_matrix(samples: DataFrame, panel: Panel) -> DataFrame:
-    """``x`` (past targets; then numeric known, observed, static; then categorical ones) and ``y``, flat arrays."""
+def column_order(panel: Panel) -> list[tuple[str, str]]:
+    """Columns and roles in the order of a design vector: targets; then numeric known, observed, static; then categorical ones (whole numbers)."""
     kinds = dict(panel.df.dtypes)
     whole_number = lambda c: kinds[c] in ("int", "bigint", "smallint", "tinyint")
-    flat = [F.col(f"past_{c}") for c in panel.columns("target")]
-    for wanted in (False, True):
-        for role in ("known", "observed", "static"):
-            for c in panel.columns(role):
-                if whole_number(c) == wanted:
-                    flat += [F.array(c)] if role == "static" else [F.col(f"past_{c}")] + ([F.col(f"future_{c}")] if role == "known" and f"future_{c}" in samples.columns else [])
+    rest = [(c, role) for wanted in (False, True) for role in ("known", "observed", "static") for c in panel.columns(role) if whole_number(c) == wanted]
+    return [(c, "target") for c in panel.columns("target")] + rest
+
+
+def design_matrix(samples: DataFrame, panel: Panel) -> DataFrame:
+    """``x`` (past targets; then numeric known, observed, static; then categorical ones) and ``y``, flat arrays."""
+    flat = []
+    for c, role in column_order(panel):
+        flat += [F.array(c)] if role == "static" else [F.col(f"past_{c}")] + ([F.col(f"future_{c}")] if role == "known" and f"future_{c}" in samples.columns else [])
     doubles = lambda arrays: F.concat(*[F.transform(a, lambda v: v.cast("double")) for a in arrays])
     y = [F.col(f"future_{c}") for c in panel.columns("target") if f"future_{c}" in samples.columns]
     return samples.withColumn("x", doubles(flat)).withColumn("y", doubles(y) if y else F.array().cast("array<double>"))

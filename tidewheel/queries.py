@@ -10,11 +10,11 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .jobs import anomaly_watch, forecast_evaluation, series_groups
-from .operators import analysis, anomaly, calendar, ensemble, folds, forecast, grid, metrics, samples, series_ml, transforms
+from .operators import analysis, anomaly, calendar, ensemble, folds, foldwise, forecast, grid, metrics, samples, series_ml, transforms
 from .panel import Panel, in_blocks, in_order, whole
 from .sources import io
 from .streaming import stream
@@ -768,17 +768,88 @@ def h3_recursive_two_targets(spark, sf_dir):
     return out.select(K, day(), r6("value", "value"), r6("twice", "twice"))
 
 
-@query()
+#: Folds of h5: two expanding ones; ``lo`` and ``hi`` bound the test rows.
+_FOLDS = """, s AS (SELECT user_id, ts, value, row_number() OVER w - 1 AS i, lag(value) OVER w AS x, lag(value, 2) OVER w AS x2 FROM filled WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT user_id, count(*) AS n, count(*) // 3 AS t FROM s GROUP BY 1),
+f AS (SELECT user_id, fold, n - 2 * t + fold * t AS lo, n - 2 * t + (fold + 1) * t AS hi FROM n, range(0, 2) r(fold) WHERE t > 0) """
+
+
+@query(DAILY + _FOLDS + """, m AS (SELECT fold, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM s JOIN f USING (user_id) WHERE x IS NOT NULL AND i < lo GROUP BY 1),
+e AS (SELECT fold, user_id, avg(power(value - a - b * x, 2)) AS mse, avg(abs(value - a - b * x)) AS mae FROM s JOIN f USING (user_id) JOIN m USING (fold) WHERE i >= lo AND i < hi AND x IS NOT NULL GROUP BY 1, 2)
+SELECT fold, round(avg(mse), 4) AS mse, round(avg(mae), 4) AS mae FROM e GROUP BY 1""")
 def h5_cross_validate(spark, sf_dir):
+    """A least-squares model of the day before, fitted and scored on two expanding folds."""
     p = panel(filled(spark, sf_dir).filter("value is not null"))
-    return forecast.cross_validate(p, folds.expanding(p.df, K, 2), 5, 2).select("fold", r6("mse", "mse"), r6("mae", "mae"))
+    scored = foldwise.cross_validate(p, folds.expanding(p.df, K, 2), 1, 1, alpha=0.0)
+    return scored.select("fold", F.round("mse", 4).alias("mse"), F.round("mae", 4).alias("mae"))
 
 
-@query()
+def _covariates(spark, sf_dir) -> Panel:
+    """Two targets, a known and an observed column, under names of one letter."""
+    d = filled(spark, sf_dir).filter("value is not null")
+    d = d.select(K, T, F.col("value").alias("a"), (F.col("value") * 2 + F.dayofmonth(T)).alias("b"), F.dayofweek(T).cast("double").alias("c"), F.month(T).cast("double").alias("d"))
+    return panel(d, a="target", b="target", c="known", d="observed")
+
+
+#: Weights of a, b, c and d two days and a day before, c of the day itself between; a column a target.
+_WEIGHTS = np.array([[0.2513794621, 0], [0.4937281153, 0.125], [0, 0.2491736583], [0, 0.5079142867], [1.0, 0], [0, 2.0], [0.5, -1.0], [0, 0.25], [-0.5, 0]])
+_OF_MODEL = """, v AS (SELECT user_id, i, a, b, 1 + 0.2513794621 * a2 + 0.4937281153 * a1 + c2 + 0.5 * c - 0.5 * d1 AS pa, 2 + 0.125 * a1 + 0.2491736583 * b2 + 0.5079142867 * b1 + 2 * c1 - c + 0.25 * d2 AS pb FROM (
+  SELECT *, lag(a) OVER w AS a1, lag(a, 2) OVER w AS a2, lag(b) OVER w AS b1, lag(b, 2) OVER w AS b2, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(d) OVER w AS d1, lag(d, 2) OVER w AS d2
+  FROM (SELECT user_id, ts, i, value AS a, value * 2 + day(ts) AS b, dayofweek(ts) + 1 AS c, month(ts) AS d FROM s) WINDOW w AS (PARTITION BY user_id ORDER BY ts)) WHERE i >= 2),
+p AS (SELECT user_id, i, 'a' AS target, a AS y, pa AS p FROM v UNION ALL SELECT user_id, i, 'b', b, pb FROM v) """
+
+
+@query(DAILY + _FOLDS + _OF_MODEL + """, e AS (SELECT fold, user_id, target, avg(power(y - p - fold, 2)) AS mse, avg(abs(y - p - fold)) AS mae FROM p JOIN f USING (user_id) WHERE i >= lo AND i < hi GROUP BY ALL)
+SELECT fold, target, round(avg(mse), 4) AS mse, round(avg(mae), 4) AS mae FROM e GROUP BY 1, 2""")
+def h5_score_covariates(spark, sf_dir):
+    """Scores of fixed models of two targets with known and observed columns, one a fold."""
+    p = _covariates(spark, sf_dir)
+    models = {("m", f): forecast.Ridge(_WEIGHTS, np.array([1.0, 2.0]) + f, 2, 1) for f in (0, 1)}
+    scored = foldwise.scores(foldwise.forecasts(p, folds.expanding(p.df, K, 2), models))
+    return scored.select("fold", "target", F.round("mse", 4).alias("mse"), F.round("mae", 4).alias("mae"))
+
+
+@query(DAILY + _FOLDS + _OF_MODEL + """SELECT user_id, target, count(*) AS rounds, round(avg(power(y - p, 2)), 4) AS mse, round(avg(abs(y - p)), 4) AS mae FROM p GROUP BY 1, 2""")
+def h4_backtest_model(spark, sf_dir):
+    """Rolling evaluation of a fixed model of two targets with known and observed columns."""
+    model = forecast.Ridge(_WEIGHTS, np.array([1.0, 2.0]), 2, 1)
+    scored = forecast.backtest_score(forecast.backtest(_covariates(spark, sf_dir), model, 2, 1), K)
+    return scored.select(K, "target", "rounds", F.round("mse", 4).alias("mse"), F.round("mae", 4).alias("mae"))
+
+
+@query(DAILY.replace("WITH", "WITH RECURSIVE", 1) + """, s AS (SELECT user_id, ts, value, dayofweek(ts) + 1 AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM filled WHERE value IS NOT NULL),
+z AS (SELECT a.user_id, a.i, b.value AS v2, a.value AS v1, b.c AS c2, a.c AS c1 FROM s a JOIN s b ON b.user_id = a.user_id AND b.i = a.i - 1 WHERE a.i = a.n - 5),
+r AS (SELECT *, 0 AS h FROM z UNION ALL SELECT r.user_id, s.i, r.v1, 1 + 0.25 * v2 + 0.5 * v1 + 0.125 * (v1 - v2) + c2 - 2 * c1 + 3 * s.c, r.c1, s.c, h + 1 FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1 WHERE h < 5)
+SELECT r.user_id, strftime(s.ts, '%Y-%m-%d') AS day, round(v1, 5) AS value FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i WHERE h > 0""")
+def h3_recursive_known(spark, sf_dir):
+    """The last five days of each series, a day at a time, from known days of the week and a difference made anew each round."""
+    d = filled(spark, sf_dir).filter("value is not null").withColumn("c", F.dayofweek(T).cast("double"))
+    at = d.withColumn("_back", F.row_number().over(Window.partitionBy(K).orderBy(F.desc(T))))
+    past, future = at.filter("_back > 5").drop("_back"), at.filter("_back <= 5").drop("_back")
+    features = {"step": forecast.Feature("value", "diff", 1)}
+    p = forecast.with_features(panel(past, value="target", c="known"), features)
+    model = forecast.Ridge(np.array([[0.25], [0.5], [1.0], [-2.0], [3.0], [0.0], [0.125]]), np.array([1.0]), 2, 1)
+    ends = past.groupBy(K).agg(F.count("*").alias("_n")).filter("_n > 2").select(K)  # a difference needs one row more
+    out = forecast.recursive_predict(model, p.on(p.df.join(ends, K, "left_semi")), "1 day", 5, future, features)
+    short = past.join(ends, K, "left_anti").groupBy(K).agg(F.count("*").alias("n")).filter("n = 2").select(K)
+    two = panel(past.join(short, K, "left_semi"), value="target", c="known")
+    plain = forecast.Ridge(np.array([[0.25 - 0.125], [0.5 + 0.125], [1.0], [-2.0], [3.0]]), np.array([1.0]), 2, 1)
+    return out.unionByName(forecast.recursive_predict(plain, two, "1 day", 5, future)).select(K, day(), F.round("value", 5).alias("value"))
+
+
+@query(DAILY + _FOLDS + """, h AS (SELECT user_id, n - 6 AS lo, n AS hi FROM n WHERE n > 6),
+g AS (SELECT alpha, count(*) AS k, covar_pop(value, x) * count(*) AS sy1, var_pop(x) * count(*) AS s11, avg(x) AS m1, avg(value) AS my FROM s JOIN h USING (user_id), (VALUES (0), (5000)) a(alpha) WHERE i >= 1 AND i < lo GROUP BY 1),
+q AS (SELECT alpha, covar_pop(value, x) * count(*) AS sy1, covar_pop(value, x2) * count(*) AS sy2, var_pop(x) * count(*) + alpha AS s11, var_pop(x2) * count(*) + alpha AS s22, covar_pop(x, x2) * count(*) AS s12, avg(x) AS m1, avg(x2) AS m2, avg(value) AS my
+  FROM s JOIN h USING (user_id), (VALUES (0), (5000)) a(alpha) WHERE i >= 2 AND i < lo GROUP BY 1),
+w AS (SELECT 1 AS in_chunk_len, alpha, sy1 / (s11 + alpha) AS b1, 0 AS b2, my - m1 * sy1 / (s11 + alpha) AS a FROM g
+  UNION ALL SELECT 2, alpha, b1, b2, my - b1 * m1 - b2 * m2 FROM (SELECT *, (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) AS b1, (sy2 * s11 - sy1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM q)),
+e AS (SELECT in_chunk_len, alpha, user_id, avg(power(value - a - b1 * x - b2 * coalesce(x2, 0), 2)) AS mse FROM s JOIN h USING (user_id), w WHERE i >= lo AND i < hi AND i >= in_chunk_len GROUP BY ALL)
+SELECT CAST(in_chunk_len AS BIGINT) AS in_chunk_len, CAST(alpha AS DOUBLE) AS alpha, round(avg(mse), 4) AS mse FROM e GROUP BY 1, 2""")
 def h6_grid_search(spark, sf_dir):
+    """Every trial's score on a holdout of six days."""
     p = panel(filled(spark, sf_dir).filter("value is not null"))
-    _, scored = forecast.grid_search(p, folds.holdout(p.df, K, 6), {"in_chunk_len": [3, 5], "alpha": [1.0]}, 2)
-    return spark.createDataFrame([(t["in_chunk_len"], t["alpha"], float(s)) for t, s in scored], "in_chunk_len long, alpha double, mse double")
+    _, scored, _ = foldwise.grid_search(p, folds.holdout(p.df, K, 6), {"in_chunk_len": [1, 2], "alpha": [0.0, 5000.0]}, 1)
+    return spark.createDataFrame([(t["in_chunk_len"], t["alpha"], round(float(s), 4)) for t, s in scored], "in_chunk_len long, alpha double, mse double")
 
 
 _MODELS = """, w AS (SELECT user_id, ts, value, lag(value, 1) OVER x AS a, lag(value, 2) OVER x AS b, lag(value, 7) OVER x AS c FROM filled WINDOW x AS (PARTITION BY user_id ORDER BY ts)), t AS (SELECT * FROM w WHERE c IS NOT NULL) """
@@ -796,10 +867,23 @@ def h7_ensemble_weight(spark, sf_dir):
     return ensemble.ensemble_weight(_predictions(spark, sf_dir)[0], K, T, mode="median").select(K, day(), r6("y", "y"))
 
 
+@query(DAILY + _FOLDS + """, t AS (SELECT fold, covar_pop(value, x) * count(*) AS sy, var_pop(x) * count(*) AS sx, avg(x) AS mx, avg(value) AS my FROM s JOIN f USING (user_id) WHERE x IS NOT NULL AND (i < lo OR i - 1 >= hi) GROUP BY 1),
+m AS (SELECT fold, model, sy / (sx + alpha) AS b, my - mx * sy / (sx + alpha) AS a FROM t, (VALUES ('free', 0), ('held', 20000)) r(model, alpha))
+SELECT fold, model, s.user_id, strftime(s.ts, '%Y-%m-%d') AS day, round(s.value, 6) AS y, round(a + b * s.x, 6) AS p FROM s JOIN f USING (user_id) JOIN m USING (fold) WHERE i >= lo AND i < hi AND x IS NOT NULL""")
+def h8_out_of_fold(spark, sf_dir):
+    """Forecasts of two models, each row's by a fit on all windows without a row of its fold."""
+    p = panel(filled(spark, sf_dir).filter("value is not null"))
+    made, _ = foldwise.out_of_fold(p, folds.expanding(p.df, K, 2), {"free": foldwise.Setting(1, 0.0), "held": foldwise.Setting(1, 20000.0)}, 1)
+    return made.select("fold", "model", F.col("series").alias(K), day(ts="last_ts"), r6("y", "y"), r6("p", "p"))
+
+
 @query()
 def h8_ensemble_stack(spark, sf_dir):
-    long, truth = _predictions(spark, sf_dir)
-    return ensemble.ensemble_stack(long, truth, long, K, T, ["a", "b", "c"], depth=3, rounds=3).select(K, day(), r6("y", "y"))
+    """Forecasts after each series' end by a final model over three base models, learned from their out-of-fold forecasts."""
+    p = panel(filled(spark, sf_dir).filter("value is not null"))
+    settings = {"day": foldwise.Setting(1), "week": foldwise.Setting(7), "stiff": foldwise.Setting(7, 1000.0)}
+    model = foldwise.stack(p, folds.expanding(p.df, K, 3), settings, 2)
+    return foldwise.stacked(p, model, "1 day").select(K, day(), r6("value", "value"))
 
 
 @query(DAILY + _MODELS + """, m AS (SELECT 'a' AS best, avg(power(a - value, 2)) AS e FROM t UNION ALL SELECT 'b', avg(power(b - value, 2)) FROM t UNION ALL SELECT 'c', avg(power(c - value, 2)) FROM t UNION ALL SELECT 'a,b', avg(power((a + b) / 2 - value, 2)) FROM t
