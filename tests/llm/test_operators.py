@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -300,6 +301,37 @@ def test_secret_syntax(text, want):
     assert [text[s:e] for s, k, e in secrets.spans(text) if k == 3] == want
 
 
+@pytest.mark.parametrize("text", [
+    'author: "Jane Elizabeth Smith, 1999"', 'tokenizer: "word_bpe_49k.json"', 'secretary = "Ms. Anna Brown-Smith"', 'salty_food: "Chips 250g, Peanuts"', 'authority: "Department of Health 2020"',
+    'monkey_house = "Vonnegut-1968, first"', 'turkey: "Ankara, Izmir 35000"', 'basalt = "Rock type IIb, dark"', 'keyboard_layout: "de-latin1-nodeadkeys"', 'passenger_list = "Row 12A, Row 14C"', 'hotkeys: "Ctrl+Alt+F7, Meta"',
+    'compass: "NNE 22.5 degrees"', 'authored_by = "R. Miller, 2019-04"', 'tokenization: "Sentence-level v2"', 'secretion_rate = "0.5 ml/h at 37C"', 'donkey = "Equus asinus 1758"',
+])
+def test_ordinary_names_are_no_alarm(text):
+    assert secrets.spans(text) == []
+
+
+@pytest.mark.parametrize(("name", "least"), [("clientSecret_2", 1), ("DB_PASSWORDS", 1), ("userpasswd", 1), ("authToken", 0.9), ("x-api-key", 0.9), ("APIKey", 0.9), ("privateKeyPem", 1), ("aws.accessKey", 1), ("accessibility", 0), ("monkey", 0), ("tokenize", 0), ("secretariat", 0)])
+def test_names_by_whole_words(name, least):
+    assert secrets.name_score(name) == least
+
+
+def test_long_chains_and_nested_blocks_take_linear_time():
+    """Values put together over many lines, and blocks in blocks: no place is copied along a chain, no line is read once a level."""
+    took = {}
+    for n in (5_000, 40_000):
+        chain = "token = 'aB3'\n" + "".join(f"token = token + '{i:05x}Kz9#'\n" for i in range(n))
+        nested = "".join(" " * (i % 900) + f"name{i}: |\n" for i in range(n))
+        began = time.perf_counter()
+        assert len(secrets.lexed_spans(chain, 0.5)) == n + 1
+        assert secrets.lexed_spans(nested + "pwd: ''", 0.5) == []
+        took[n] = time.perf_counter() - began
+    assert took[40_000] < 30 * took[5_000] + 1  # eight times the lines
+    blocks = "a: |\n  b: |\n    c\n\n   d\n  e\nf: 1"
+    assert [x for _, parts in secrets.assignments(blocks) for x in parts][0][1] == (7, len(blocks) - 5)
+    deep = "".join(" " * i + f"pwd{i}: |\n" for i in range(700)) + " " * 700 + S
+    assert len(secrets.lexed_spans(deep, 0.5)) == 1
+
+
 def test_no_false_alarms_in_plain_texts(spark, sf):
     base = {i: len(secrets.base_spans(t or "")) for i, t in rows_of(spark, sf)}
     more = {i: len(secrets.spans(t)) - base[i] for i, t in rows_of(spark, sf)}

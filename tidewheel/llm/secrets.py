@@ -18,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame
 
@@ -42,11 +43,14 @@ _TOKEN = re.compile(
 )
 _BARE, _FLAG_VALUE = re.compile(r"""[^\s"'`,;(){}\[\]<>|]+"""), re.compile(r"""[^\s"']+""")
 _NAME_ONLY = re.compile(rf"{_NAME}\Z")
-_BLOCK = re.compile(r"[ \t]*[|>][+-]?[ \t]*\n(?P<lines>(?P<indent>[ \t]+)\S[^\n]*(?:\n(?:(?P=indent)[^\n]*|[ \t]*(?=\n|\Z)))*)")
+_BLOCK, _LINE = re.compile(r"[ \t]*[|>][+-]?[ \t]*\n"), re.compile(r"^([ \t]*)\S", re.M)
 _BLANKS = re.compile(r"[ \t]*")
 _ASSIGNS = ("=", ":", ":=", "=>")
-#: Parts of names and how sensitive they are.
+#: Words of names, or words side by side in one, and how sensitive they are.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 0.9, "credential": 0.9, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.6, "passphrase": 1.0, "salt": 0.5, "key": 0.4}
+#: Of these the ones that also count at the end of a longer word: few words of prose end so.
+_ENDINGS = tuple(w for w in SENSITIVE if w not in ("auth", "salt", "key"))
+_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "salt")
 #: Every match of the first base pattern holds one of these in some case.
 _ASSIGNED = ("passw", "secret", "token", "apikey", "api_key")
@@ -64,8 +68,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def name_score(name: str) -> float:
-    plain = re.sub(r"[^a-z]", "", name.lower())
-    return max((v for k, v in SENSITIVE.items() if k in plain), default=0.0)
+    """How sensitive a name is by its whole words: of ``clientSecret_2`` these are client and secret, of ``secretary`` none that counts."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    words += [w[:-1] for w in words if w.endswith("s")]
+    words += [a + b for a, b in pairwise(words)]
+    return max((v for k, v in SENSITIVE.items() if k in words or k in _ENDINGS and any(w.endswith(k) for w in words)), default=0.0)
 
 
 def literal_score(literal: str | Counter) -> float:
@@ -79,6 +86,8 @@ def literal_score(literal: str | Counter) -> float:
     return min(1.0, n / 16) * min(1.0, entropy / 3.2) * (0.35 if len(set(map(kind, count))) == 1 else 1.0)
 
 
+#: A character's count in a value put together of others stays below this.
+MOST = 1 << 40
 #: A part of a value: the name it stands for, if it may be one, and its place if it is a literal.
 Part = tuple[str | None, tuple[int, int] | None]
 
@@ -96,6 +105,28 @@ def lexed(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+class Blocks:
+    """Indented blocks of a text: where one ends is known for all lines from one pass over them."""
+
+    def __init__(self, text: str):
+        self.text, self.ready = text, False
+
+    def at(self, start: int) -> tuple[int, int] | None:
+        """The lines from ``start`` on, if the first is indented, up to a line that is less so."""
+        if not self.ready:
+            found = [(m.start(), len(m[1])) for m in _LINE.finditer(self.text)]  # lines that aren't blank
+            self.starts, self.indents, self.ready = [s for s, _ in found], [n for _, n in found], True
+            self.until, open_ = [len(self.text)] * len(found), []
+            for k, n in enumerate(self.indents):
+                while open_ and self.indents[open_[-1]] > n:
+                    self.until[open_.pop()] = self.starts[k] - 1
+                open_.append(k)
+        k = bisect_right(self.starts, start) - 1
+        if k < 0 or self.starts[k] != start or not self.indents[k]:
+            return None
+        return start + self.indents[k], self.until[k]
+
+
 def assignments(text: str) -> list[tuple[list[str], list[Part]]]:
     """(names, parts of the value) as assigned in the text, in order.
 
@@ -103,7 +134,7 @@ def assignments(text: str) -> list[tuple[list[str], list[Part]]]:
     together by ``+`` (spaced, or beside a string) or side by side, blocks of lines after ``name: |``,
     ``--name x``, ``<name>x</name>``.
     """
-    tokens, out = lexed(text), []
+    tokens, out, blocks = lexed(text), [], Blocks(text)
     for i, (kind, value, start, end) in enumerate(tokens):
         if kind == "tag":
             at = start + value.index(">") + 1
@@ -112,7 +143,7 @@ def assignments(text: str) -> list[tuple[list[str], list[Part]]]:
             m = _FLAG_VALUE.match(text, end)
             out.append(([value[2:-1]], [(None, m.span())] if m else []))
         elif kind == "mark" and value in _ASSIGNS and (names := _targets(tokens, i)):
-            out.append((names, _value(text, tokens, i + 1, end)))
+            out.append((names, _value(text, tokens, i + 1, end, blocks)))
     return [(names, parts) for names, parts in out if parts]
 
 
@@ -129,10 +160,10 @@ def _targets(tokens: list[tuple[str, str, int, int]], i: int) -> list[str]:
     return []
 
 
-def _value(text: str, tokens: list[tuple[str, str, int, int]], i: int, at: int) -> list[Part]:
+def _value(text: str, tokens: list[tuple[str, str, int, int]], i: int, at: int, blocks: Blocks) -> list[Part]:
     """The parts of the value that starts at a place of the text, before token i."""
-    if tokens[i - 1][1] == ":" and (m := _BLOCK.match(text, at)):
-        return [(None, (m.start("lines") + len(m["indent"]), m.end("lines")))]
+    if tokens[i - 1][1] == ":" and (m := _BLOCK.match(text, at)) and (lines := blocks.at(m.end())):
+        return [(None, lines)]
     parts: list[Part] = []
     while i < len(tokens) and tokens[i][0] == "string" and not text[at : tokens[i][2]].strip(" \t\"'`rRbBfFuU") or (m := _BARE.match(text, _BLANKS.match(text, at).end())):
         if i < len(tokens) and tokens[i][0] == "string" and not text[at : tokens[i][2]].strip(" \t\"'`rRbBfFuU"):
@@ -177,10 +208,10 @@ def lexed_spans(text: str, threshold: float) -> list[tuple[int, int, int]]:
         at = bisect_left(of, k)
         return of[at - 1] if at else next((j for j in of if j != k), None)
 
-    known: dict[int, tuple[Counter, frozenset]] = {}
+    known: dict[int, tuple[Counter, list[tuple[int, int]], list[int]]] = {}
 
-    def resolve(first: int) -> tuple[Counter, frozenset]:
-        """Characters and places of the literals that the value of an assignment is made of."""
+    def resolve(first: int) -> Counter:
+        """Characters of the value of an assignment; kept with its own literals' places and the assignments that it takes others from."""
         todo, open_ = [first], set()
         while todo:
             k = todo[-1]
@@ -193,25 +224,33 @@ def lexed_spans(text: str, threshold: float) -> list[tuple[int, int, int]]:
                 if new := [j for j in below if j is not None and j not in known and j not in open_]:
                     todo += new
                     continue
-            count, places = Counter(), set()
+            count, places, parts = Counter(), [], []
             for (_, place), j in zip(every[k][1], below, strict=True):
                 if j is not None and j in known:
                     count += known[j][0]
-                    places |= known[j][1]
+                    parts.append(j)
                 elif j is None and place:
                     count += Counter(text[slice(*place)])
-                    places.add(place)
-            known[k] = count, frozenset(places)
+                    places.append(place)
+            known[k] = Counter({c: min(n, MOST) for c, n in count.items()}), places, parts
             todo.pop()
-        return known[first]
-
-    found: set[tuple[int, int]] = set()
-    for k, (names, _) in enumerate(every):
-        if score := max(map(name_score, names)):
-            count, places = resolve(k)
-            if score * literal_score(count) >= threshold:
-                found |= places
-    return [(s, 3, e) for s, e in sorted(found) if e > s]
+        return known[first][0]
+
+    told: set[int] = set()
+    covered = 0  # up to here a block or string of its own is told already
+    for k, (names, parts) in enumerate(every):
+        score = max(map(name_score, names))
+        if not score or parts[-1][1] and parts[-1][1][1] <= covered and all(source(name, k) is None for name, _ in parts):
+            continue
+        if score * literal_score(resolve(k)) >= threshold:
+            open_ = [k]
+            while open_:  # each assignment is visited once, whatever chains it is part of
+                if (j := open_.pop()) not in told:
+                    told.add(j)
+                    open_ += known[j][2]
+            if len(parts) == 1 and known[k][1]:
+                covered = max(covered, known[k][1][0][1])
+    return [(s, 3, e) for s, e in sorted({p for k in told for p in known[k][1]}) if e > s]
 
 
 def spans(text: str | None, threshold: float = 0.5) -> list[tuple[int, int, int]]:
@@ -219,7 +258,8 @@ def spans(text: str | None, threshold: float = 0.5) -> list[tuple[int, int, int]
     if not text:
         return []
     base = base_spans(text)
-    more = [x for x in lexed_spans(text, threshold) if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for *_, e in base), max))
+    more = [x for x in lexed_spans(text, threshold) if not (i := bisect_right(starts, x[0])) or ends[i - 1] < x[2]]
     return sorted(base + more)
 
 
