@@ -65,7 +65,9 @@ def _nth(year: int, month: int, weekday: int, n: int) -> dt.date:
 
 #: The named holidays, each with its rule.
 HOLIDAYS = {
+    "Christmas Eve": lambda y: dt.date(y, 12, 24),
     "Christmas Day": lambda y: dt.date(y, 12, 25),
+    "New Years Eve": lambda y: dt.date(y, 12, 31),
     "New Years Day": lambda y: dt.date(y, 1, 1),
     "Martin Luther King Jr": lambda y: _nth(y, 1, 0, 3),
     "Presidents Day": lambda y: _nth(y, 2, 0, 3),
@@ -73,12 +75,10 @@ HOLIDAYS = {
     "Independence Day": lambda y: dt.date(y, 7, 4),
     "Labor Day": lambda y: _nth(y, 9, 0, 1),
     "Columbus Day": lambda y: _nth(y, 10, 0, 2),
-    "Veterans Day": lambda y: dt.date(y, 11, 11),
     "Thanksgiving": lambda y: _nth(y, 11, 3, 4),
     "Black Friday": lambda y: _nth(y, 11, 3, 4) + dt.timedelta(1),
     "Cyber Monday": lambda y: _nth(y, 11, 3, 4) + dt.timedelta(4),
     "Mothers Day": lambda y: _nth(y, 5, 6, 2),
-    "Fathers Day": lambda y: _nth(y, 6, 6, 3),
     "Easter Sunday": easter,
     "Good Friday": lambda y: easter(y) - dt.timedelta(2),
     "Easter Monday": lambda y: easter(y) + dt.timedelta(1),

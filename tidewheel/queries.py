@@ -359,6 +359,26 @@ def c9_holiday_distance(spark, sf_dir):
     return d.select(K, day(), F.col("`New Years Day`").alias("new_year"), F.col("`Easter Sunday`").alias("easter"))
 
 
+_NTH = "make_date(y, {m}, 1) + CAST((({w} - isodow(make_date(y, {m}, 1)) + 7) % 7 + {d}) AS INT)"  # weekday 1 to 7 of a month, d days after the first one
+_RULES = {
+    "Easter Sunday": "make_date(y, md // 31, md % 31 + 1)", "Good Friday": "make_date(y, md // 31, md % 31 + 1) - 2", "Easter Monday": "make_date(y, md // 31, md % 31 + 1) + 1",
+    "Columbus Day": _NTH.format(m=10, w=1, d=7), "Labor Day": _NTH.format(m=9, w=1, d=0), "Martin Luther King Jr": _NTH.format(m=1, w=1, d=14), "Presidents Day": _NTH.format(m=2, w=1, d=14),
+    "Memorial Day": "make_date(y, 5, 31) - CAST((isodow(make_date(y, 5, 31)) - 1) AS INT)", "Thanksgiving": _NTH.format(m=11, w=4, d=21), "Black Friday": _NTH.format(m=11, w=4, d=22), "Cyber Monday": _NTH.format(m=11, w=4, d=25),
+    "New Years Day": "make_date(y, 1, 1)", "Superbowl": _NTH.format(m=2, w=7, d=0), "Mothers Day": _NTH.format(m=5, w=7, d=7), "Independence Day": "make_date(y, 7, 4)",
+    "Christmas Eve": "make_date(y, 12, 24)", "Christmas Day": "make_date(y, 12, 25)", "New Years Eve": "make_date(y, 12, 31)",
+}
+
+
+@query(DAILY + _EASTER + ", every AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({rule} AS DATE) AS date FROM e4" for n, rule in _RULES.items()) + """), d AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM daily)
+SELECT strftime(d, '%Y-%m-%d') AS day, name AS holiday, CAST(d - min(date) AS DOUBLE) AS days FROM d JOIN every ON abs(date - d) <= 200 GROUP BY d, name""")
+def c9_holiday_distance_all(spark, sf_dir):
+    """Days from each of all named holidays, a row for each day and holiday within reach."""
+    days = daily(spark, sf_dir).select(T).distinct()
+    names = list(calendar.HOLIDAYS)
+    far = calendar.holiday_distance(days, T, names, scale=False)
+    return far.unpivot(T, [F.col(f"`{n}`") for n in names], "holiday", "days").filter("days is not null").select(day(), F.trim("holiday", F.lit("`")).alias("holiday"), "days")
+
+
 @query("""SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS hot, CAST(1 AS DOUBLE) AS ones, (SELECT count(DISTINCT event_type) FROM events) AS width FROM events""")
 def c10_one_hot(spark, sf_dir):
     e = events(spark, sf_dir)
@@ -1062,6 +1082,18 @@ def k3_stream_transform_tail(spark, sf_dir):
     return out.select(K, F.date_format(T, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), r6(F.when(~F.isnan("diff"), F.col("diff")), "diff"))
 
 
+@query("""SELECT user_id, "at", diff FROM (SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, round(value - lag(value, 2) OVER (PARTITION BY user_id ORDER BY ts), 6) AS diff, ts FROM events)
+WHERE ts <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR""")
+def k3_stream_event_time(spark, sf_dir):
+    """Differences over two rows in event time; the last hour's rows still wait."""
+
+    def change(rows):
+        return rows.assign(diff=rows["value"].diff(2))
+
+    out = _drained(spark, sf_dir, lambda s: stream.stream_in_event_time(s, K, T, ["value"], 2, change, f"{K} long, {T} timestamp, value double, diff double"))
+    return out.select(K, F.date_format(T, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), r6(F.when(~F.isnan("diff"), F.col("diff")), "diff"))
+
+
 @query("""SELECT user_id, strftime(s, '%Y-%m-%d') AS day, count(value) AS n, max(value) AS max FROM (SELECT user_id, value, date_trunc('day', ts) - INTERVAL 1 DAY * k AS s FROM events, range(0, 2) r(k))
 WHERE s + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
 def k4_stream_rolling(spark, sf_dir):

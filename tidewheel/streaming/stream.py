@@ -6,6 +6,7 @@ import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -65,3 +66,58 @@ def stream_transform_tail(stream: DataFrame, key: str, ts: str, cols: list[str],
     timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
     rows = stream.withWatermark(ts, delay).select(key, ts, *cols) if idle else stream.select(key, ts, *cols)
     return rows.groupBy(key).applyInPandasWithState(step, out_schema, "rows string", "append", timeout)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as bytes, every value as it is."""
+    out = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(data) as r:
+        return r.read_pandas()
+
+
+def stream_in_event_time(stream: DataFrame, key: str, ts: str, cols: list[str], need: int, change: Callable[[pd.DataFrame], pd.DataFrame], out_schema: str, delay: str = "1 hour", idle: str | None = None) -> DataFrame:
+    """``change`` (as for stream_transform_tail()) over the rows of each series in event time, however they arrive.
+
+    A row waits in its key's state until the watermark, ``delay`` behind the newest time, has passed
+    it: then no earlier row can come. A timer at the first waiting time wakes a key without new rows.
+    What is emitted equals ``change`` over the whole series, in batches. The state is the last
+    ``need`` rows that were emitted and those that wait. Rows that come after the watermark are left out and
+    counted by Spark in the query's progress (``numRowsDroppedByWatermark``). Rows of equal times keep
+    the order of arrival. With ``idle`` a key with no waiting row is forgotten that long after its last.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old, waiting = map(_unpacked, state.get) if state.exists else (None, None)
+        parts = [x for x in (waiting, *batches) if x is not None and len(x)]
+        mark = state.getCurrentWatermarkMs()
+        if not parts:  # woken with nothing to do: silent for long
+            state.remove()
+            return
+        rows = pd.concat(parts).sort_values(ts, kind="stable")
+        passed = rows[ts] <= pd.Timestamp(mark, unit="ms")
+        ready, left = rows[passed], rows[~passed]
+        tail = ready if old is None else pd.concat([old, ready]) if len(old) else ready
+        tail = tail.reset_index(drop=True)
+        keep = tail[[key, ts, *cols]].iloc[max(0, len(tail) - need) :]
+        state.update((_packed(keep), _packed(left[[key, ts, *cols]])))
+        if len(left):
+            state.setTimeoutTimestamp(max(mark + 1, _milliseconds(left[ts].iloc[0])))
+        elif idle:
+            state.setTimeoutTimestamp(max(mark + 1, _milliseconds(rows[ts].iloc[-1]) + int(pd.Timedelta(idle).total_seconds() * 1000)))
+        if len(ready):
+            yield change(tail).iloc[len(tail) - len(ready) :]
+
+    rows = stream.withWatermark(ts, delay).select(key, ts, *cols)
+    return rows.groupBy(key).applyInPandasWithState(step, out_schema, "tail binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _milliseconds(t: pd.Timestamp) -> int:
+    """Since the epoch, rounded up."""
+    return -(-t.value // 1_000_000)
