@@ -17,6 +17,13 @@ def grid(lo: Column, hi: Column, step: str) -> Column:
     return F.sequence(lo, hi, F.expr(f"interval {step}"))
 
 
+def micros(step: str) -> Column | None:
+    """Length of a fixed step in microseconds; None for calendar steps."""
+    if step == "month end" or step.startswith("week ") or step.split()[-1].rstrip("s") in ("month", "quarter", "year"):
+        return None
+    return F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {step})")
+
+
 def bin_start(ts: Column, step: str) -> Column:
     """Start of the left-closed bin of ``ts``: fixed steps from the epoch, or a calendar unit."""
     unit = step.split()[-1].rstrip("s")

@@ -233,9 +233,9 @@ def _powers(n: int) -> np.ndarray:
 
 
 def _table(kind: str) -> np.ndarray:
-    """For each code point whether it is a letter or digit (``alnum``), a digit, or no space (``word``)."""
+    """For each code point whether it is a letter or digit (``alnum``), a digit, no space (``word``), or a letter or beyond ASCII (``term``)."""
     if kind not in _TABLES:
-        inside = {"alnum": str.isalnum, "digit": str.isdigit, "word": lambda c: c != " " and not "\t" <= c <= "\r"}[kind]
+        inside = {"alnum": str.isalnum, "digit": str.isdigit, "word": lambda c: c != " " and not "\t" <= c <= "\r", "term": lambda c: c > "\x7f" or c.isalpha()}[kind]
         _TABLES[kind] = np.array([inside(chr(i)) for i in range(0x110000)])
     return _TABLES[kind]
 
@@ -244,17 +244,18 @@ class Tokens:
     """The tokens of some texts as 64-bit hashes of their characters, without a Python value for each.
 
     They are runs of letters and digits of the lower-cased texts (``alnum``), words as words_of() has
-    them of texts with A-Z lower-cased (``word``), or words of the texts as they are (``exact``).
+    them of texts with A-Z lower-cased (``word``), or of the texts as they are (``exact``), or runs of
+    ASCII letters and characters beyond ASCII, A-Z lower-cased (``term``).
     """
 
     def __init__(self, texts: list[str | None], kind: str = "alnum"):
         lower = [t.lower() if t else "" for t in texts] if kind == "alnum" else [t or "" for t in texts]
         code = np.frombuffer(" ".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        if kind == "word":
+        if kind in ("word", "term"):
             code = code + 32 * ((code >= 65) & (code <= 90)).astype(np.uint32)
         self.code = code
         inside = np.zeros(len(code) + 2, np.int8)
-        inside[1:-1] = _table("alnum" if kind == "alnum" else "word")[code]
+        inside[1:-1] = _table(kind if kind in ("alnum", "term") else "word")[code]
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[::2], edge[1::2]
         until = np.cumsum(np.fromiter((len(t) + 1 for t in lower), np.int64, len(lower)))
@@ -282,6 +283,10 @@ class Tokens:
         """Hashes of the tokens of each text."""
         return np.split(self.words(), self.bound[1:-1])
 
+    def token(self, at: int) -> str:
+        """The characters of one token."""
+        return self.code[self.start[at] : self.end[at]].tobytes().decode("utf-32-le", "surrogatepass")
+
     def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of tokens of more than n characters, and hashes of their first n (another than those of tokens)."""
         long = np.flatnonzero(self.end - self.start > n)

@@ -14,7 +14,8 @@ terms are a few nodes. Two trees are walked at once, level by level; a pair of n
 walked and priced once, and its price is taken from the memo on the way up. Blocks add up in Spark. A
 task holds one block of two groups of ``sources`` sources at most, whatever their number.
 
-All arithmetic is exact: whole numbers beyond 64 bits are Python's or decimals of 38 digits.
+All arithmetic is exact: whole numbers beyond 64 bits are Python's or decimals of 38 digits. Within a
+task terms are counted by 64-bit hashes; between tasks they go by their characters.
 
 Defined results: null text, language and source are empty strings; a source without terms has counts
 of 0 throughout; a language that keeps no term has pairs of value 0 and no term rows; a language with
@@ -24,8 +25,6 @@ empty tables give no rows; other columns aren't read.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,37 +32,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, if_small, lower_az, per_task
+from .common import Tokens, durable, if_small, per_task
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Counted (group, term) pairs that a task holds before it gives them on.
-HELD = 300_000
+HELD = 2_000_000
 BILLION = 10**9
 
 
+class Counts:
+    """Occurrences and documents of terms by group, in arrays: terms are known by 64-bit hashes, each spelt once."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.hashes, self.spelt = np.zeros(0, np.uint64), np.zeros(0, object)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, texts: list[str | None], langs: list[str | None], sources: list[str | None]) -> None:
+        group = np.array([self.groups.setdefault((x or "", y or ""), len(self.groups)) for x, y in zip(langs, sources, strict=True)], np.int64)
+        tokens = Tokens(texts, "term")
+        names, first, term = np.unique(tokens.words(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, names)
+        new = np.flatnonzero((at == len(self.hashes)) | (np.r_[self.hashes, np.uint64(0)][at] != names))
+        if len(new):
+            self.hashes = np.insert(self.hashes, at[new], names[new])
+            self.spelt = np.insert(self.spelt, at[new], np.array([tokens.token(k) for k in first[new].tolist()], object))
+        text = tokens.text()
+        pair, n = np.unique(text * max(1, len(names)) + term, return_counts=True)  # of a document and a term
+        text, term = np.divmod(pair, max(1, len(names)))
+        self.parts.append(_summed(group[text], names[term], n, np.ones(len(n), np.int64)))
+        self.held += len(self.parts[-1][0])
+        if self.held > HELD and len(self.parts) > 1:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+            self.held = len(self.parts[0][0])
+
+    def end(self) -> dict:
+        """All counts as columns, with a row of the term '' for each group; then it is empty again."""
+        group, name, n, docs = _summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True))) if self.parts else (np.zeros(0, np.int64),) * 4
+        group = np.r_[np.arange(len(self.groups)), group]
+        none = [0] * len(self.groups)
+        place = np.r_[none, np.searchsorted(self.hashes, name.astype(np.uint64)) + 1].astype(np.int64)
+        of = lambda k: pa.array([g[k] for g in self.groups], pa.string()).take(pa.array(group))
+        out = {"lang": of(0), "source": of(1), "term": pa.array(["", *self.spelt], pa.string()).take(pa.array(place)), "n": np.r_[none, n].astype(np.int64), "docs": np.r_[none, docs].astype(np.int64)}
+        self.__init__()
+        return out
+
+
+def _summed(group: np.ndarray, name: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The counts of equal groups and terms added up."""
+    order = np.lexsort((name, group))
+    group, name = group[order], name[order]
+    first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (name[1:] != name[:-1])]) if len(group) else np.zeros(0, int)
+    add = lambda x: np.add.reduceat(x[order], first) if len(first) else x[:0]
+    return group[first], name[first], add(n), add(docs)
+
+
 def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``lang, source, term, n, docs``: occurrences and documents, counted. A row with the term '' stands for the group itself."""
 
     def make():
-        number: dict[tuple[str, str, str], list[int]] = {}
-
-        def end():
-            keys, counts = list(number), list(number.values())
-            out = {c: [k[i] for k in keys] for i, c in enumerate(("lang", "source", "term"))} | {c: [v[i] for v in counts] for i, c in enumerate(("n", "docs"))}
-            number.clear()
-            return out
+        counts = Counts()
 
         def f(texts, langs, sources):
-            for text, lang, source in zip(texts, langs, sources, strict=True):
-                group = lang or "", source or ""
-                number.setdefault((*group, ""), [0, 0])
-                for term, n in Counter(TERM.findall(lower_az(text or ""))).items():
-                    known = number.setdefault((*group, term), [0, 0])
-                    known[0] += n
-                    known[1] += 1
-            return end() if len(number) > HELD else None
-
-        return f, end
+            counts.add(texts, langs, sources)
+            return counts.end() if counts.held > HELD else None
+
+        return f, counts.end
 
     raw = per_task(docs, [text_col, lang_col, source_col], "lang string, source string, term string, n long, docs long", make)
     # one shuffle for both aggregates: rows of a term in a language lie together, so those of its sources do

@@ -153,7 +153,7 @@ def once(docs: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
     return marked.filter(F.col(flag).isNull()).unionByName(marked.filter(flag).dropDuplicates(keys)).drop(flag)
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of ``ids`` (doc_id): most others are passed by before the shuffle.
 
     Few ids are broadcast. Of many, only their buckets are, at most ``BUCKETS`` numbers whatever the
@@ -161,15 +161,15 @@ def _texts(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """
     wanted = durable(nodes.select(F.col("id").alias("doc_id"), "version").join(if_small(durable(ids.distinct())), "doc_id", "left_semi"))
     if wanted.count() <= SMALL:
-        return docs.join(F.broadcast(wanted), ["doc_id", "version"]).select("doc_id", "text")
+        return docs.join(F.broadcast(wanted), ["doc_id", "version"]).select("doc_id", "version", "text")
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")  # ``docs`` has the columns of link()
     some = docs.withColumn("_bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi")
-    return some.join(wanted, ["doc_id", "version"]).select("doc_id", "text")
+    return some.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """The pairs with the Jaccard similarity of their full sets, ``common`` and ``total``: the texts of their ends are read again."""
-    texts = _texts(docs, nodes, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
+    texts = texts_of(docs, nodes, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
 
     def sets():
         return lambda ids, texts: {"id": ids, "shingles": [s.view(np.int64) for s in shingles(texts, size)]}
@@ -213,7 +213,7 @@ def _rest(members: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, simi
 
         return f
 
-    has = durable(per_batch(_texts(docs, nodes, members.select(F.col("id").alias("doc_id"))), ["doc_id", "text"], "id long, h long", sets).distinct())
+    has = durable(per_batch(texts_of(docs, nodes, members.select(F.col("id").alias("doc_id"))), ["doc_id", "text"], "id long, h long", sets).distinct())
     often = has.groupBy("h").agg(F.count("*").alias("f"))
     own = has.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("o"))  # one document's own shingles
     n = F.size("o")

@@ -7,33 +7,48 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.steps import bin_start, following, grid
+from ..functions.steps import bin_start, following, grid, micros
 from ..panel import Panel, in_order, whole
 
 
-def full_grid(df: DataFrame, key: str, ts: str, step: str, most: int = 5_000_000) -> DataFrame:
+#: Steps of a block of a series.
+BLOCK = 100_000
+
+
+def full_grid(df: DataFrame, key: str, ts: str, step: str, block: int = BLOCK) -> DataFrame:
     """``key, ts``: every step between the first and last time of each series.
 
-    A series whose grid would pass ``most`` rows is an error rather than a flood.
+    Fixed steps come in two levels, blocks of a series and the steps of a block, so no row holds a
+    whole series, whatever its length; calendar steps are at most a few for each week.
     """
-    lo_hi = df.groupBy(key).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    if not step.startswith(("month", "week")):
-        rows = (F.unix_micros("hi") - F.unix_micros("lo")) / F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {step})") if step.split()[-1].rstrip("s") not in ("month", "year", "quarter") else F.lit(0)
-        lo_hi = lo_hi.withColumn("lo", F.when(rows > most, F.raise_error(F.lit("the grid of a series is too long")).cast("timestamp")).otherwise(F.col("lo")))
-    return lo_hi.select(key, F.explode(grid(F.col("lo"), F.col("hi"), step)).alias(ts))
+    lo_hi = df.groupBy(key).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    if (length := micros(step)) is None:
+        return lo_hi.select(key, F.explode(grid(F.col("_lo"), F.col("_hi"), step)).alias(ts))
+    last = F.floor((F.unix_micros("_hi") - F.unix_micros("_lo")) / length)
+    blocks = lo_hi.filter("_lo is not null").select(key, "_lo", last.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / block))).alias("_b"))
+    steps = blocks.select(key, "_lo", F.explode(F.sequence(F.col("_b") * block, F.least(F.col("_n"), (F.col("_b") + 1) * block - 1))).alias("_i"))
+    return steps.select(key, F.timestamp_micros(F.unix_micros("_lo") + F.col("_i") * length).alias(ts))
 
 
-def regularize(df: DataFrame, key: str, ts: str, step: str) -> DataFrame:
+def regularize(df: DataFrame, key: str, ts: str, step: str, block: int = BLOCK) -> DataFrame:
     """The full grid; a time that the input lacks takes the whole next input row.
 
-    As-of matching without a range join: grid and input are stacked, and one window looks ahead.
+    As-of matching without a range join: grid and input are stacked, and a window over each block of
+    ``block`` steps looks ahead; what the end of a block lacks is the first input row of the next block
+    that has one, carried back among one row a block. No task holds a series.
     """
     cols = [c for c in df.columns if c not in (key, ts)]
-    rows = df.select(key, ts, F.struct(*cols).alias("_row"), F.lit(1).alias("_in"))
-    marks = full_grid(df, key, ts, step).select(key, ts, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_in"))
-    ahead = Window.partitionBy(key).orderBy(ts, "_in").rowsBetween(0, Window.unboundedFollowing)
-    stacked = rows.unionByName(marks).withColumn("_next", F.first("_row", ignorenulls=True).over(ahead))
-    return stacked.filter("_in = 0").select(key, ts, *[F.col("_next")[c].alias(c) for c in cols])
+    length = micros(step)
+    at = F.lit(0).cast("long") if length is None else F.floor(F.unix_micros(ts) / (length * block))
+    rows = df.select(key, ts, F.struct(*cols).alias("_row"), F.lit(1).alias("_in"), at.alias("_b"))
+    marks = full_grid(df, key, ts, step, block).select(key, ts, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_in"), at.alias("_b"))
+    ahead = Window.partitionBy(key, "_b").orderBy(ts, "_in").rowsBetween(0, Window.unboundedFollowing)
+    own = rows.unionByName(marks).withColumn("_next", F.first("_row", ignorenulls=True).over(ahead)).filter("_in = 0")
+    firsts = rows.groupBy(key, "_b").agg(F.min_by("_row", ts).alias("_first"))
+    empty = marks.select(key, "_b").distinct().join(firsts, [key, "_b"], "full")
+    later = empty.select(key, "_b", F.first("_first", ignorenulls=True).over(Window.partitionBy(key).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    found = own.join(later, [key, "_b"], "left").withColumn("_next", F.coalesce("_next", "_later"))
+    return found.select(key, ts, *[F.col("_next")[c].alias(c) for c in cols])
 
 
 def fill_missing_dates(df: DataFrame, key: str, ts: str, step: str, cols: list[str], method: str = "pre", **options) -> DataFrame:
