@@ -611,7 +611,7 @@ def test_language_held_out(spark, sf, edges, empty):
 def test_query(spark, sf, name):
     df = QUERIES[name](spark, sf)
     assert {"lang", "source", "item"} <= set(df.columns) if name == "op11_divergence" else "doc_id" in df.columns  # its rows are groups
-    if name != "op8_decontamination":
+    if name not in ("op8_decontamination", "op11_divergence"):
         assert df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
