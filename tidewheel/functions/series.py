@@ -160,16 +160,21 @@ def _ties(*columns: np.ndarray) -> int:
     return int((n * (n - 1) // 2).sum())
 
 
-def inversions(rank: np.ndarray) -> int:
-    """Pairs in which a greater whole number comes first: bit by bit, in n log n."""
+def inversions(rank: np.ndarray, weight: np.ndarray | None = None) -> int:
+    """Pairs in which a greater whole number comes first, each as often as the product of its weights: bit by bit, in n log n."""
     total, order = 0, np.asarray(rank, np.int64)
+    w = np.ones(len(order), np.int64) if weight is None else np.asarray(weight, np.int64)
+    if w.astype(float).sum() > 3e9:  # products beyond 64 bits: Python's whole numbers
+        w = w.astype(object)
     for b in range(int(order.max(initial=0)).bit_length() - 1, -1, -1):
-        one, group = order >> b & 1, order >> (b + 1)  # within a group all higher bits are equal
+        one, group = (order >> b & 1) * w, order >> (b + 1)  # within a group all higher bits are equal
+        zero = order >> b & 1 == 0
         seen = np.cumsum(one)
         first = np.r_[True, group[1:] != group[:-1]]
         before = np.where(first, seen - one, 0)
-        total += int((seen - np.maximum.accumulate(before))[one == 0].sum())
-        order = order[np.argsort(order >> b, kind="stable")]
+        total += int(((seen - np.maximum.accumulate(before)) * w)[zero].sum())
+        at = np.argsort(order >> b, kind="stable")
+        order, w = order[at], w[at]
     return total
 
 

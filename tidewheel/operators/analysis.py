@@ -68,13 +68,36 @@ def acf(df: DataFrame, key: str, ts: str, cols: list[str], nlags: int = 300, alp
     return per_series(df, key, ts, cols, one, "lag long, acf double, width double")
 
 
-def acf_long(df: DataFrame, key: str, pos: str, col: str, nlags: int) -> DataFrame:
-    """``key, lag, acf`` of series of any length without gaps, by an equi-join of positions; no series is held by one task."""
+def acf_long(df: DataFrame, key: str, pos: str, col: str, nlags: int, block: int = 100_000) -> DataFrame:
+    """``key, lag, acf`` of series of any length, by whole positions.
+
+    Each block of positions, with the ``nlags`` rows before it copied in, sums its own products of all
+    lags; one small aggregate adds them up. So a row moves once or twice, whatever the number of lags,
+    and no task holds a series. Lags for which no two rows are that far apart have no row; a constant
+    series has NULL; rows with a NULL key, position or value are left out; equal positions count each.
+    """
+    kind, block = dict(df.dtypes)[key], max(block, nlags, 1)
     mean = df.groupBy(key).agg(F.avg(col).alias("_m"), (F.var_pop(col) * F.count(col)).alias("_v"))
-    d = df.join(mean, key).select(key, F.col(pos).alias("_p"), (F.col(col) - F.col("_m")).alias("_d"), "_v").filter("_d is not null")
-    ahead = d.select(key, F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"), "_p", F.col("_d").alias("_a"))
-    ahead = ahead.withColumn("_p", F.col("_p") + F.col("lag"))
-    return ahead.join(d, [key, "_p"]).groupBy(key, "lag").agg((F.sum(F.col("_a") * F.col("_d")) / F.nullif(F.first("_v"), F.lit(0.0))).alias("acf"))
+    d = df.join(mean, key).select(key, F.col(pos).cast("long").alias("_p"), (F.col(col) - F.col("_m")).alias("_d"), "_v").filter("_d is not null and _p is not null")
+    own = F.floor(F.col("_p") / block)
+    both = F.when(F.pmod("_p", F.lit(block)) >= block - nlags, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = d.withColumn("_b", F.explode(both))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = int(pdf["_b"].iloc[0]) * block - nlags
+        at = pdf["_p"].to_numpy() - start
+        x, many = np.bincount(at, pdf["_d"], block + nlags), np.bincount(at, minlength=block + nlags)
+        there = many > 0
+        last = len(x)
+        own = slice(nlags, last)
+        total = [float(x[own] @ x[nlags - k : last - k]) for k in range(nlags + 1)]
+        met = [bool((there[own] & there[nlags - k : last - k]).any()) for k in range(nlags + 1)]
+        out = pd.DataFrame({"lag": np.arange(nlags + 1, dtype=np.int32), "s": total, "_v": pdf["_v"].iloc[0]})[met]
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    parts = dealt.groupBy(key, "_b").applyInPandas(sums, f"`{key}` {kind}, lag int, s double, _v double")
+    return parts.groupBy(key, "lag").agg((F.sum("s") / F.nullif(F.first("_v"), F.lit(0.0))).alias("acf"))
 
 
 def seasonality(df: DataFrame, key: str, ts: str, cols: list[str], period: int | None = None, nlags: int = 300, alpha: float = 0.05, mode: str = "additive", order: int = 1) -> DataFrame:
@@ -140,13 +163,16 @@ def decompose(df: DataFrame, key, ts: str, col: str, kernel: int = 25) -> DataFr
 
 
 def correlation(df: DataFrame, key: str, ts: str, cols: list[str], method: str = "pearson", lag: int = 0, lag_cols: tuple[str, ...] = (), by: list[str] | None = None) -> DataFrame:
-    """``a, b, corr`` of all pairs of columns, NULL pairs dropped; ``lag_cols`` are moved ``lag`` rows first."""
+    """``a, b, corr`` of all pairs of columns, NULL pairs dropped; ``lag_cols`` are moved ``lag`` rows first.
+
+    By the groups of ``by``, or over the whole table.
+    """
     if len(cols) < 2:
         raise ValueError("two columns at least")
     if lag:
         df = df.withColumns({c: F.lag(c, lag).over(in_order(key, ts)) for c in lag_cols})
     if method == "kendall":
-        return _kendall(df, key, cols)
+        return _kendall(df, by, cols) if by else _kendall_of_all(df, cols)
     if method == "spearman":
         rows = []
         for a, b in combinations(cols, 2):
@@ -168,10 +194,10 @@ def correlation(df: DataFrame, key: str, ts: str, cols: list[str], method: str =
     return table.select(*(by or []), F.explode(rows).alias("r")).select(*(by or []), "r.*")
 
 
-def _global_rank(df: DataFrame, c: str, name: str, parts: int = 64) -> DataFrame:
-    """``c, name``: the average rank of each distinct value of a whole table, from counts in ranges of values; no task sorts it all."""
+def _below(df: DataFrame, c: str, parts: int = 64) -> DataFrame:
+    """``c, _n, _below``: how often each distinct value of a whole table occurs, and how many rows are smaller, from counts in ranges of values; no task sorts it all."""
     counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-    bounds = sorted(set(counts.approxQuantile(c, [i / parts for i in range(1, parts)], 0.001)))
+    bounds = sorted(set(counts.approxQuantile(c, [i / parts for i in range(1, parts)], min(0.001, 0.1 / parts))))
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(c).cast("double"))) if bounds else F.lit(0)
     dealt = counts.withColumn("_p", part)
     before, at = 0, {}
@@ -179,7 +205,12 @@ def _global_rank(df: DataFrame, c: str, name: str, parts: int = 64) -> DataFrame
         at[r["_p"]], before = before, before + r["n"]
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in (at or {0: 0}).items() for x in pair]), F.col("_p"))
     below = F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.select(c, (offset + below + (F.col("_n") + 1) / 2).alias(name))
+    return dealt.select(c, "_n", (offset + below).alias("_below"))
+
+
+def _global_rank(df: DataFrame, c: str, name: str) -> DataFrame:
+    """``c, name``: the average rank of each distinct value of a whole table."""
+    return _below(df, c).select(c, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def _average_rank(c: str, by: list[str]):
@@ -188,14 +219,83 @@ def _average_rank(c: str, by: list[str]):
     return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
 
 
-def _kendall(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    kind = dict(df.dtypes)[key]
+def _kendall(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf[key].iloc[0], a, b, numeric.kendall(pdf[a].to_numpy(float), pdf[b].to_numpy(float))) for a, b in combinations(cols, 2)]
-        return pd.DataFrame(rows, columns=[key, "a", "b", "corr"])
-
-    return df.select(key, *cols).groupBy(key).applyInPandas(run, f"{key} {kind}, a string, b string, corr double")
+        group = [pdf[c].iloc[0] for c in by]
+        rows = [(*group, a, b, numeric.kendall(pdf[a].to_numpy(float), pdf[b].to_numpy(float))) for a, b in combinations(cols, 2)]
+        return pd.DataFrame(rows, columns=[*by, "a", "b", "corr"])
+
+    return df.select(*by, *cols).groupBy(*by).applyInPandas(run, f"{kinds}, a string, b string, corr double")
+
+
+#: Distinct points of a part of a table in Kendall's tau.
+PART = 1_000_000
+
+
+def _discordant(points: DataFrame, rows: int) -> int:
+    """Pairs of the points (``x, y, n``: n rows each) that x and y order differently.
+
+    Both axes are cut into ranges of values, a frequent value into a range of its own. A pair lies in
+    one range of x, or in one range of y but not of x (then the range of x stands for x), or in none:
+    then only the cell counts, and the cells are the points of the next round, a quarter as many at
+    most. A part holds ``2 rows`` points, or ``8 sqrt(n)`` of n points where that is more; ranges of one
+    value have no such pairs within and are never put into one part.
+    """
+    points = points.persist()
+    try:
+        n = points.count()
+        parts = min(-(-n // rows), int(n**0.5) // 4)
+
+        def inverted(table: DataFrame, *by: str) -> int:
+            def count(pdf: pd.DataFrame) -> pd.DataFrame:
+                x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+                order = np.lexsort((y, x))
+                found = numeric.inversions(np.unique(y, return_inverse=True)[1][order], pdf["n"].to_numpy()[order])
+                return pd.DataFrame({"d": [str(found)]})
+
+            each = table.withColumn("all", F.lit(0)).groupBy("all", *by).applyInPandas(count, "d string")
+            return int(each.agg(F.sum(F.col("d").cast("decimal(38,0)"))).first()[0] or 0)
+
+        if n <= rows or parts < 2:
+            return inverted(points)
+        dealt = points
+        for axis in ("x", "y"):
+            often = F.col("_n") * parts > n
+            at = _below(points, axis, int(min(1000, 64 + n // 10_000_000)))
+            at = at.select(axis, (2 * F.floor(F.col("_below") * parts / n) + often.cast("long")).alias(f"{axis}_part"), often.alias(f"{axis}_often"))
+            dealt = dealt.join(at, axis)
+        dealt = dealt.persist()
+        try:
+            within_x = inverted(dealt.filter("not x_often").select("x", "y", "n", "x_part"), "x_part")
+            within_y = inverted(dealt.filter("not y_often").select(F.col("x_part").alias("x"), "y", "n", "y_part"), "y_part")
+            cells = dealt.groupBy(F.col("x_part").alias("x"), F.col("y_part").alias("y")).agg(F.sum("n").alias("n"))
+            return within_x + within_y + _discordant(cells, rows)
+        finally:
+            dealt.unpersist()
+    finally:
+        points.unpersist()
+
+
+def _kendall_of_all(df: DataFrame, cols: list[str], rows: int = PART) -> DataFrame:
+    """``a, b, corr``: tau-b over a whole table, exact: ties from counts, the rest from discordant pairs.
+
+    Values are taken as doubles. NaN where a column has one value only, or no row both values.
+    """
+    pairs = lambda n: F.sum(n.cast("decimal(19,0)") * (n - 1).cast("decimal(19,0)") / 2).cast("decimal(38,0)")
+    found = []
+    for a, b in combinations(cols, 2):
+        both = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+        points = both.groupBy("x", "y").agg(F.count("*").alias("n"))
+        equal = [int(points.groupBy(*by).agg(F.sum("n").alias("n")).agg(pairs(F.col("n"))).first()[0] or 0) for by in ((), ("x",), ("y",), ("x", "y"))]
+        every, x, y, same = equal
+        if every == x or every == y:
+            found.append((a, b, float("nan")))
+            continue
+        agree = every - x - y + same - 2 * _discordant(points, rows)
+        found.append((a, b, agree / ((every - x) * (every - y)) ** 0.5))
+    return df.sparkSession.createDataFrame(found, "a string, b string, corr double")
 
 
 def report(results: dict[str, DataFrame], key: str) -> DataFrame:

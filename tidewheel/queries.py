@@ -451,7 +451,7 @@ def d3_acf(spark, sf_dir):
 
 @query(DAILY + _ACF)
 def d3_acf_long(spark, sf_dir):
-    """The same by a join of positions, as for a series too long for one task."""
+    """The same by blocks of positions, as for a series too long for one task."""
     d = daily(spark, sf_dir).filter("value is not null").withColumn("pos", F.row_number().over(in_order(K, T)))
     return analysis.acf_long(d, K, "pos", "value", 3).select(K, F.col("lag").cast("long").alias("lag"), r6("acf", "acf"))
 
@@ -485,7 +485,17 @@ def d5_spearman_of_all(spark, sf_dir):
 FROM daily p JOIN daily x ON x.user_id = p.user_id AND x.pos > p.pos AND x.value IS NOT NULL AND p.value IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (x.value <> p.value) > 0""")
 def d5_kendall(spark, sf_dir):
     d = daily(spark, sf_dir).withColumn("pos", F.row_number().over(in_order(K, T)))
-    return analysis.correlation(d, K, T, ["value", "pos"], "kendall").filter("not isnan(corr)").select(K, "a", "b", r6("corr", "corr"))
+    return analysis.correlation(d, K, T, ["value", "pos"], "kendall", by=[K]).filter("not isnan(corr)").select(K, "a", "b", r6("corr", "corr"))
+
+
+_TAU = """SELECT '{a}' AS a, '{b}' AS b, round(sum(sign(x.{a} - p.{a}) * sign(x.{b} - p.{b})) / sqrt(count(*) FILTER (x.{a} <> p.{a}) * (count(*) FILTER (x.{b} <> p.{b}))::DOUBLE), 6) AS corr
+FROM customer p JOIN customer x ON x.c_custkey > p.c_custkey"""
+
+
+@query(" UNION ALL ".join(_TAU.format(a=a, b=b) for a, b in (("c_acctbal", "c_nationkey"), ("c_acctbal", "c_custkey"), ("c_nationkey", "c_custkey"))))
+def d5_kendall_of_all(spark, sf_dir):
+    """Over the whole table, without a key."""
+    return analysis.correlation(spark.read.parquet(f"{sf_dir}/customer.parquet"), K, T, ["c_acctbal", "c_nationkey", "c_custkey"], "kendall").select("a", "b", r6("corr", "corr"))
 
 
 @query("""SELECT user_id, i, round(sqrt(power(sum(value * cos(2 * pi() * i * pos / n)), 2) + power(sum(value * sin(2 * pi() * i * pos / n)), 2)) / max(n), 6) AS amplitude
