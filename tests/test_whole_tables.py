@@ -59,3 +59,23 @@ def test_long_autocorrelation_by_direct_sums(spark, block):
             want = sum(met) / whole if whole else None
             assert (k, lag) in got and (got[k, lag] is want or abs(got[k, lag] - want) < 1e-9)
     assert analysis.acf_long(spark.createDataFrame([], "k string, p long, v double"), "k", "p", "v", 4).collect() == []
+
+
+@pytest.mark.parametrize(("bound", "error"), [(1, 0.1), (5, 0.02), (100_000, 1e-3)])
+def test_percentiles_of_a_whole_table(spark, bound, error):
+    """A value in a third of the rows, infinite values, missing ones and NaN, an empty column; many passes with a small bound."""
+    r = np.random.default_rng(bound)
+    x, y = np.exp(r.normal(size=700) * 20), r.integers(0, 4, 700).astype(float)
+    x[r.random(700) < 0.34] = 1.0
+    x[:3], x[3:5] = np.inf, -np.inf
+    rows = [(float(a), float(b), None) for a, b in zip(x, y)] + [(None, float("nan"), None)] * 9
+    shares = (0.0, 0.003, 0.25, 0.5, 0.77, 1.0)
+    table = spark.createDataFrame(rows, "x double, y double, z double")
+    got = {(g["column"], g["share"]): g["value"] for g in analysis.percentiles(table, ["x", "y", "z"], shares, bound, error).collect()}
+    for name, v in (("x", np.sort(x)), ("y", np.sort(y))):
+        for p in shares:
+            k = p * (len(v) - 1)
+            low, high = v[int(k)], v[math.ceil(k)]
+            want = low if low == high else low + (high - low) * (k - int(k))
+            assert got[name, p] == want or abs(got[name, p] - want) <= 1e-9 * abs(want)
+    assert all(got["z", p] is None for p in shares) and len(got) == 18

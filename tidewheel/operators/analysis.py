@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 
@@ -31,6 +32,61 @@ def summary(df: DataFrame, cols: list[str], by: list[str] | None = None, approxi
     return table.select(*(by or []), F.explode(F.array(*[F.col(f"`{c}`") for c in cols])).alias("r")).select(*(by or []), "r.*")
 
 
+def percentiles(df: DataFrame, cols: list[str], shares: tuple[float, ...] = tuple(QUANTILES.values()), bound: int = 100_000, error: float = 1e-3) -> DataFrame:
+    """``column, share, value``: exact percentiles of a whole table, between rows by interpolation; no task holds a column.
+
+    A sketch brackets the rows asked for between two values of the data, one aggregate counts what lies
+    below, at and between them, and brackets of over ``bound`` rows are cut again; a value that makes up
+    much of a bracket becomes one of its ends. Each pass leaves about ``2 error`` of a bracket, so a
+    few passes serve any table. Values are taken as doubles; NULL and NaN are left out; a column
+    without values has NULL.
+    """
+    names = {c: f"v{i}" for i, c in enumerate(cols)}
+    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(v) for c, v in names.items()])
+    total = data.agg(*[F.count(v).alias(v) for v in names.values()]).first()
+    at = {(c, p): p * (total[names[c]] - 1) for c in cols for p in shares if total[names[c]]}
+    rows = {(names[c], k) for (c, _), x in at.items() for k in (math.floor(x), math.ceil(x))}
+    ends = {r: (-math.inf, math.inf) for r in rows}
+    wider, found = dict(ends), {}
+    while ends:
+        spans = sorted({(v, *ends[v, k]) for v, k in ends})
+        inside = lambda v, lo, hi: (F.col(v) > lo) & (F.col(v) < hi)
+        counts = data.agg(*[F.struct(*[F.count_if(x).alias(n) for n, x in (("below", F.col(v) < lo), ("low", F.col(v) == lo), ("mid", inside(v, lo, hi)), ("high", F.col(v) == hi))]).alias(f"s{i}") for i, (v, lo, hi) in enumerate(spans)]).first()
+        seen = dict(zip(spans, counts, strict=True))
+        few = [s for s in spans if 0 < seen[s]["mid"] <= bound]
+        lists = data.agg(*[F.sort_array(F.collect_list(F.when(inside(*s), F.col(s[0])))).alias(f"s{i}") for i, s in enumerate(few)]).first() if few else []  # ``bound`` values each
+        short, cut = dict(zip(few, lists, strict=True)), {}
+        for v, k in list(ends):
+            lo, hi = ends[v, k]
+            s = seen[v, lo, hi]
+            x = k - s["below"] - s["low"]
+            if k < s["below"] or x >= s["mid"] + s["high"]:  # beside the bracket, where the sketch erred
+                ends[v, k] = (wider[v, k][0], lo) if k < s["below"] else (hi, wider[v, k][1])
+                continue
+            if x < 0 or x >= s["mid"]:
+                found[v, k] = lo if x < 0 else hi
+            elif (v, lo, hi) in short:
+                found[v, k] = short[v, lo, hi][x]
+            else:
+                cut.setdefault((v, lo, hi), []).append((k, (x + 0.5) / s["mid"]))
+                continue
+            del ends[v, k]
+        for (v, lo, hi), asked in cut.items():
+            probes = [min(1.0, max(0.0, q + e)) for _, q in asked for e in (-error, error)]
+            got = data.filter(inside(v, lo, hi)).approxQuantile(v, probes, error / 2)
+            for i, (k, _) in enumerate(asked):
+                wider[v, k], ends[v, k] = (lo, hi), (got[2 * i], got[2 * i + 1])
+
+    def value(c: str, p: float) -> float | None:
+        if (c, p) not in at:
+            return None
+        k = math.floor(at[c, p])
+        low, high = found[names[c], k], found[names[c], math.ceil(at[c, p])]
+        return low if low == high else low + (high - low) * (at[c, p] - k)
+
+    return df.sparkSession.createDataFrame([(c, p, value(c, p)) for c in cols for p in shares], "column string, share double, value double")
+
+
 def maxima(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     aggs = [F.max(c).alias(c) for c in cols]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)

@@ -444,6 +444,13 @@ m AS (SELECT user_id, avg(value) AS m, var_pop(value) * count(*) AS v FROM s GRO
 SELECT a.user_id, k AS lag, round(sum((a.value - m.m) * (b.value - m.m)) / nullif(max(m.v), 0), 6) AS acf FROM s a CROSS JOIN range(0, 4) r(k) JOIN s b ON a.user_id = b.user_id AND b.i = a.i + k JOIN m ON m.user_id = a.user_id GROUP BY 1, 2"""
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {p}::DOUBLE AS share, round(quantile_cont({c}::DOUBLE, {p}), 6) AS value FROM lineitem" for c in ("l_extendedprice", "l_quantity", "l_discount") for p in (0.01, 0.5, 0.999)))
+def d1_percentiles_of_all(spark, sf_dir):
+    """Over the whole table, by passes that bracket the rows asked for."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return analysis.percentiles(lines, ["l_extendedprice", "l_quantity", "l_discount"], (0.01, 0.5, 0.999)).select("column", "share", r6("value", "value"))
+
+
 @query(DAILY + _ACF)
 def d3_acf(spark, sf_dir):
     return analysis.acf(daily(spark, sf_dir), K, T, ["value"], 3).filter("acf is not null and not isnan(acf)").select(K, "lag", r6("acf", "acf"))
