@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..panel import in_order, whole, with_blocks
 from . import metrics
+from .analysis import percentiles
 
 
 def recon_score(df: DataFrame, cols: list[str], recon: list[str], by: list[str] | None = None, name: str = "score") -> DataFrame:
@@ -149,61 +151,112 @@ def _nearest(x: np.ndarray, y: np.ndarray, copies: np.ndarray, k: int) -> list[n
     return out
 
 
-def window_outliers(vectors: DataFrame, row_id: str, vector: str, k: int = 5, contamination: float = 0.1, pivots: int = 256, chunk: int = 2048) -> DataFrame:
+def _halves(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tree that halves the sample ``depth`` times: of each inner node, level by level, the column and the value at which it is cut."""
+    column, cut = np.zeros(2**depth - 1, int), np.zeros(2**depth - 1)
+    parts = [sample]
+    for node in range(2**depth - 1):
+        part = parts[node]
+        if len(part):
+            column[node] = np.ptp(part, axis=0).argmax()
+            x = part[:, column[node]]
+            cut[node] = np.median(x)
+            if cut[node] == x.min() and (x > cut[node]).any():  # many equal values: they are one half
+                cut[node] = x[x > cut[node]].min()
+        right = part[:, column[node]] >= cut[node]
+        parts += [part[~right], part[right]]
+        parts[node] = sample[:0]
+    return column, cut
+
+
+def _gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distance of each row of x from each box."""
+    return np.sqrt(sum(np.maximum(np.maximum(low[None, :, i] - x[:, i, None], x[:, i, None] - high[None, :, i]), 0) ** 2 for i in range(x.shape[1])))
+
+
+def window_outliers(vectors: DataFrame, row_id: str, vector: str, k: int = 5, contamination: float = 0.1, cells: int = 8192, chunk: int = 2048) -> DataFrame:
     """``id, score, pred``: each window's distance to its k-th nearest among all others (the farthest of fewer).
 
-    Exact, without comparing all pairs. Equal windows are one with a count. Windows belong to the
-    cell of the nearest pivot (a bounded sample that decides where windows go, not what they score);
-    large cells are cut into chunks. The k-th best of a window's own chunk bounds its score, and by
-    the triangle inequality only cells that reach within that bound are asked. Windows that ask one
-    chunk are dealt out by salts, to each of which the chunk is copied, so no group grows with the table.
+    Exact, without comparing all pairs. Equal windows are one with a count. A bounded sample cuts the
+    space into cells of up to about ``chunk`` windows each (it decides where windows go, not what they
+    score); larger cells are cut into chunks. The k-th best of a window's own chunk bounds its score,
+    and only cells whose box (of all their windows) is nearer than that are asked, so a window asks a
+    few chunks, however many there are. Windows that ask one chunk are dealt out by salts, to each of
+    which the chunk is copied, so no group grows with the table.
     """
     names = vectors.select(F.col(row_id).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    points = names.groupBy("v").agg(F.count("*").alias("m")).persist()  # read for the pivots, the cells and the chunks
-    wanted = min(pivots, 1 + 4 * points.count() // chunk)
-    centre = np.array([r["v"] for r in points.orderBy(F.xxhash64("v"), "v").select("v").limit(wanted).collect()])
+    points = names.groupBy("v").agg(F.count("*").alias("m")).persist()  # read for the sample, the boxes and the chunks
+    n, least, width = points.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     kind = dict(vectors.dtypes)[row_id]
-    if not len(centre):
+    if not n:
         return vectors.sparkSession.createDataFrame([], f"id {kind}, score double, pred int")
-    matrix = lambda c: np.array(c.tolist(), float)
+    if least != width or width < 1:
+        raise ValueError("the windows are of one length, of at least one value")
+    matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    depth = int(np.log2(max(1, min(cells, 2 * n // chunk, 1_000_000 // width))))
+    share = min(1.0, 8 * 2**depth / n)  # a few rows a cell
+    sample = matrix(points.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share * (1 << 30)).select("v").toArrow().column("v"))
+    column, cut = _halves(sample, depth)
 
     def assign(batches):
-        for pdf in batches:
-            d = _distances(matrix(pdf["v"]), centre)
-            yield pdf.assign(cell=d.argmin(1), r=d.min(1))
-
-    dealt = points.mapInPandas(assign, "v array<double>, m long, cell long, r double")
-    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()  # ``pivots`` rows at most
-    reach, chunks = {c["cell"]: c["r"] for c in cells}, {c["cell"]: -(-c["n"] // chunk) for c in cells}
-    number = F.element_at(F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair]), F.col("cell"))
-    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("v", F.lit(1)), number))
-    radius = np.array([reach.get(j, -np.inf) for j in range(len(centre))])
-
-    def ask(key, pdf):
-        """The chunks that each window of this one has to be compared with."""
-        import pandas as pd
-
-        x = matrix(pdf["v"])
-        own = _nearest(x, x, pdf["m"].to_numpy(), k)
-        d = _distances(x, centre)
+        for b in batches:
+            x = matrix(pa.chunked_array([b.column("v")]))
+            at = np.zeros(len(x), int)
+            for _ in range(depth):
+                at = 2 * at + 1 + (x[np.arange(len(x)), column[at]] >= cut[at])
+            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("m"), pa.array(at - (2**depth - 1))], ["v", "m", "cell"])
+
+    dealt = points.mapInArrow(assign, "v array<double>, m long, cell long")
+    ends = [f(F.col("v")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(width)]
+    boxes = dealt.groupBy("cell").agg(F.count("*").alias("n"), *ends).collect()  # ``cells`` rows at most
+    cell_of, chunks = np.array([b["cell"] for b in boxes]), np.array([-(-b["n"] // chunk) for b in boxes])
+    low, high = (np.array([[b[f"{name}{i}"] for i in range(width)] for b in boxes]) for name in ("low", "high"))
+    number = vectors.sparkSession.createDataFrame(list(zip(cell_of.tolist(), chunks.tolist(), strict=True)), "cell long, chunks long")
+    dealt = dealt.join(F.broadcast(number), "cell").withColumn("c", F.pmod(F.xxhash64("v", F.lit(1)), F.col("chunks"))).drop("chunks")
+    lists = lambda found: pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(o) for o in found])].astype(np.int32), np.concatenate([*found, np.zeros(0)]))
+
+    def ask(table: pa.Table) -> pa.Table:
+        """What a chunk's windows find in it (cell -1), and the chunks beside it that each has to be compared with."""
+        x, here = matrix(table.column("v")), (table.column("cell")[0].as_py(), table.column("c")[0].as_py())
+        own = _nearest(x, x, table.column("m").to_numpy(), k)
         bound = np.array([o[k - 1] if len(o) == k else np.inf for o in own])
-        if len(centre) > k:  # pivots are windows as well, one of them perhaps this one
-            bound = np.minimum(bound, np.sort(d, axis=1)[:, k])
-        row, cell = np.nonzero(d - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9)
-        many = np.array([chunks[j] for j in cell.tolist()], int)
-        part = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        return pd.DataFrame({"v": pdf["v"].iloc[np.repeat(row, many)].tolist(), "cell": np.repeat(cell, many), "c": part})
-
-    asked = dealt.groupBy("cell", "c").applyInPandas(ask, "v array<double>, cell long, c long")
+        order, rows, cells_asked, parts = np.argsort(bound), [np.arange(len(x))], [np.full(len(x), -1)], [np.zeros(len(x), int)]
+        for i in range(0, len(x), 256):
+            at = order[i : i + 256]
+            far = bound[at] * (1 + 1e-9) + 1e-9
+            q = x[at]
+            beside = np.maximum(np.maximum(low - q.max(0), q.min(0) - high), 0)
+            near = np.flatnonzero(np.sqrt((beside**2).sum(1)) <= far.max())
+            for j in range(0, len(near), 512):
+                some = near[j : j + 512]
+                row, box = np.nonzero(_gaps(q, low[some], high[some]) <= far[:, None])
+                many = chunks[some[box]]
+                part = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                row, box = np.repeat(at[row], many), np.repeat(cell_of[some[box]], many)
+                other = (box != here[0]) | (part != here[1])
+                rows.append(row[other])
+                cells_asked.append(box[other])
+                parts.append(part[other])
+        row = np.concatenate(rows)
+        d = lists([*own, *[np.zeros(0)] * (len(row) - len(own))])
+        v = table.column("v").combine_chunks().take(pa.array(row))
+        return pa.Table.from_arrays([v, pa.array(np.concatenate(cells_asked)), pa.array(np.concatenate(parts)), pa.array(bound[row]), d], ["v", "cell", "c", "bound", "d"])
+
+    asked = dealt.groupBy("cell", "c").applyInArrow(ask, "v array<double>, cell long, c long, bound double, d array<double>").persist()  # read for the salts, the answers and the questions
+    own, asked = asked.filter("cell < 0").select("v", "d"), asked.filter("cell >= 0").drop("d")
     salts = asked.groupBy("cell", "c").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("salts"))
     asked = asked.join(salts, ["cell", "c"]).withColumn("s", F.pmod(F.xxhash64("v", F.lit(2)), F.col("salts")))
     held = dealt.join(salts.toDF("cell", "c", "copies"), ["cell", "c"]).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
 
-    def compare(queries, there):
-        out = _nearest(matrix(queries["v"]), matrix(there["v"]), there["m"].to_numpy(), k) if len(queries) and len(there) else [[]] * len(queries)
-        return queries[["v"]].assign(d=[list(o) for o in out])
-
-    found = asked.groupBy("cell", "c", "s").cogroup(held.groupBy("cell", "c", "s")).applyInPandas(compare, "v array<double>, d array<double>")
-    least = found.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    scored = names.join(least, "v").select("id", F.when(F.size("d") > 0, F.element_at("d", -1)).alias("score")).persist()  # read twice: for the threshold, and labelled
-    return label(scored, percentile_threshold(scored, "score", 100.0 * (1 - contamination)))
+    def compare(queries: pa.Table, there: pa.Table) -> pa.Table:
+        """Distances below what a window has found at home; most have none."""
+        found = _nearest(matrix(queries.column("v")), matrix(there.column("v")), there.column("m").to_numpy(), k) if len(queries) and len(there) else []
+        better = [o[o < b] for o, b in zip(found, queries.column("bound").to_numpy(), strict=False)]
+        some = [i for i, o in enumerate(better) if len(o)]
+        return pa.Table.from_arrays([queries.column("v").combine_chunks().take(pa.array(some, pa.int64())), lists([better[i] for i in some])], ["v", "d"])
+
+    found = asked.select("v", "cell", "c", "s", "bound").groupBy("cell", "c", "s").cogroup(held.select("v", "m", "cell", "c", "s").groupBy("cell", "c", "s")).applyInArrow(compare, "v array<double>, d array<double>")
+    nearest = own.unionByName(found).groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
+    scored = names.join(nearest, "v").select("id", F.when(F.size("d") > 0, F.element_at("d", -1)).alias("score")).persist()  # read for the threshold, and labelled
+    limit = percentiles(scored, ["score"], (1.0 - contamination,)).first()["value"]
+    return label(scored, limit)
