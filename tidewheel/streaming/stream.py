@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -68,20 +69,6 @@ def stream_transform_tail(stream: DataFrame, key: str, ts: str, cols: list[str],
     return rows.groupBy(key).applyInPandasWithState(step, out_schema, "rows string", "append", timeout)
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
-    """Rows as bytes, every value as it is."""
-    out = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(out, table.schema) as w:
-        w.write_table(table)
-    return out.getvalue().to_pybytes()
-
-
-def _unpacked(data: bytes) -> pd.DataFrame:
-    with pa.ipc.open_stream(data) as r:
-        return r.read_pandas()
-
-
 def stream_in_event_time(stream: DataFrame, key: str, ts: str, cols: list[str], need: int, change: Callable[[pd.DataFrame], pd.DataFrame], out_schema: str, delay: str = "1 hour", idle: str | None = None) -> DataFrame:
     """``change`` (as for stream_transform_tail()) over the rows of each series in event time, however they arrive.
 
@@ -93,31 +80,42 @@ def stream_in_event_time(stream: DataFrame, key: str, ts: str, cols: list[str],
     the order of arrival. With ``idle`` a key with no waiting row is forgotten that long after its last.
     """
 
+    names = [key, ts, *cols]
+
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, waiting = map(_unpacked, state.get) if state.exists else (None, None)
-        parts = [x for x in (waiting, *batches) if x is not None and len(x)]
+        # columns as arrays: a key's rows are few, and frames of them would cost more than the work
+        old, waiting = map(pickle.loads, state.get) if state.exists else (None, None)
+        parts = [x for x in (waiting, *([b[c].to_numpy() for c in names] for b in batches)) if x is not None and len(x[0])]
         mark = state.getCurrentWatermarkMs()
         if not parts:  # woken with nothing to do: silent for long
             state.remove()
             return
-        rows = pd.concat(parts).sort_values(ts, kind="stable")
-        passed = rows[ts] <= pd.Timestamp(mark, unit="ms")
-        ready, left = rows[passed], rows[~passed]
-        tail = ready if old is None else pd.concat([old, ready]) if len(old) else ready
-        tail = tail.reset_index(drop=True)
-        keep = tail[[key, ts, *cols]].iloc[max(0, len(tail) - need) :]
-        state.update((_packed(keep), _packed(left[[key, ts, *cols]])))
-        if len(left):
-            state.setTimeoutTimestamp(max(mark + 1, _milliseconds(left[ts].iloc[0])))
+        rows = _stacked(parts)
+        passed = rows[1] <= np.datetime64(mark, "ms")
+        ready, left = ([c[some] for c in rows] for some in (passed, ~passed))
+        n = len(ready[1])
+        if n:
+            order = np.argsort(ready[1], kind="stable")
+            ready = [c[order] for c in ready]
+            tail = _stacked([x for x in (old, ready) if x is not None and len(x[0])])
+            old = [c[max(0, len(c) - need) :] for c in tail]
+        state.update((pickle.dumps(old, 5), pickle.dumps(left, 5)))
+        if len(left[1]):
+            state.setTimeoutTimestamp(max(mark + 1, _milliseconds(np.fmin.reduce(left[1]))))
         elif idle:
-            state.setTimeoutTimestamp(max(mark + 1, _milliseconds(rows[ts].iloc[-1]) + int(pd.Timedelta(idle).total_seconds() * 1000)))
-        if len(ready):
-            yield change(tail).iloc[len(tail) - len(ready) :]
+            state.setTimeoutTimestamp(max(mark + 1, _milliseconds(rows[1].max()) + int(pd.Timedelta(idle).total_seconds() * 1000)))
+        if n:
+            yield change(pd.DataFrame(dict(zip(names, tail, strict=True)))).iloc[len(tail[0]) - n :]
 
     rows = stream.withWatermark(ts, delay).select(key, ts, *cols)
     return rows.groupBy(key).applyInPandasWithState(step, out_schema, "tail binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _milliseconds(t: pd.Timestamp) -> int:
+def _stacked(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The columns of some rows after each other."""
+    return parts[0] if len(parts) == 1 else [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _milliseconds(t: np.datetime64) -> int:
     """Since the epoch, rounded up."""
-    return -(-t.value // 1_000_000)
+    return -(-int(t.astype("datetime64[ns]").astype(np.int64)) // 1_000_000)
