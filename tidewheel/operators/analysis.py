@@ -8,8 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import series as numeric
 from ..panel import in_order, whole
@@ -95,31 +99,56 @@ def maxima(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataF
 # -- per series, in numpy ------------------------------------------------------------------------
 
 
-def per_series(df: DataFrame, key: str, ts: str, cols: list[str], fn: Callable[[np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """``key, column`` and the rows that ``fn`` makes of each column of each series in time order."""
+def per_series(df: DataFrame, key: str, ts: str, cols: list[str], fn: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
+    """``key, column`` and the rows that ``fn`` makes (arrays by name) of each column of each series in time order.
+
+    Spark deals and sorts the series; a task goes through them batch by batch, as a call and a frame for
+    each of many short series would cost more than their work. It holds one series and one batch.
+    """
     kind = dict(df.dtypes)[key]
+    out_schema = f"`{key}` {kind}, column string, {schema}"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        parts = []
-        for c in cols:
-            out = fn(pdf[c].to_numpy(float))
-            out.insert(0, "column", c)
-            out.insert(0, key, pdf[key].iloc[0])
-            parts.append(out)
-        return pd.concat(parts)
+    fields = to_arrow_schema(StructType.fromDDL(out_schema))
+
+    def run(batches):
+        held = None
+
+        def made(t: pa.Table, starts: list[int], ends: list[int]):
+            values = [t.column(2 + i).to_numpy() for i in range(len(cols))]
+            parts = [(lo, c, fn(values[i][lo:hi])) for lo, hi in zip(starts, ends, strict=True) for i, c in enumerate(cols)]
+            many = [len(next(iter(p.values()))) for _, _, p in parts]
+            some = [p for (_, _, p), n in zip(parts, many, strict=True) if n]
+            if some:
+                at = np.repeat([lo for lo, _, _ in parts], many)
+                rest = [pa.array(np.concatenate([np.asarray(p[f.name]) for p in some]), f.type, from_pandas=True) for f in list(fields)[2:]]
+                yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks().take(pa.array(at)), pa.array(np.repeat([c for _, c, _ in parts], many), pa.string()), *rest], schema=fields)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            k = t.column(0).combine_chunks()
+            a, z = k[:-1], k[1:]
+            differ = pc.and_not(pc.fill_null(pc.not_equal(a, z), True), pc.and_(pc.is_null(a), pc.is_null(z)))
+            edge = np.flatnonzero(differ.to_numpy(zero_copy_only=False)) + 1
+            if len(edge):
+                yield from made(t, [0, *edge[:-1].tolist()], edge.tolist())
+            held = t.slice(int(edge[-1]) if len(edge) else 0)  # the last series may go on
+        if held is not None:
+            yield from made(held, [0], [held.num_rows])
 
-    return df.select(key, ts, *cols).groupBy(key).applyInPandas(run, f"{key} {kind}, column string, {schema}")
+    rows = df.select(key, ts, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    return rows.repartition(key).sortWithinPartitions(F.asc(key), F.asc_nulls_last(ts)).mapInArrow(run, out_schema)
 
 
 def acf(df: DataFrame, key: str, ts: str, cols: list[str], nlags: int = 300, alpha: float = 0.05) -> DataFrame:
     """``lag, acf, width`` of each series; ``nlags`` is cut to its length less one."""
 
-    def one(x: np.ndarray) -> pd.DataFrame:
+    def one(x: np.ndarray) -> dict:
         n = min(nlags, len(x) - 1)
         r = numeric.acf(x, n)
         width = numeric.acf_widths(r, len(x), alpha) if n else np.zeros(0)
-        return pd.DataFrame({"lag": np.arange(n + 1), "acf": r, "width": np.r_[np.nan, width[:n]]})
+        return {"lag": np.arange(n + 1), "acf": r, "width": np.r_[np.nan, width[:n]]}
 
     return per_series(df, key, ts, cols, one, "lag long, acf double, width double")
 
@@ -159,36 +188,36 @@ def acf_long(df: DataFrame, key: str, pos: str, col: str, nlags: int, block: int
 def seasonality(df: DataFrame, key: str, ts: str, cols: list[str], period: int | None = None, nlags: int = 300, alpha: float = 0.05, mode: str = "additive", order: int = 1) -> DataFrame:
     """``period, phase, value``: the seasonal profile of each series; no rows where none is found."""
 
-    def one(x: np.ndarray) -> pd.DataFrame:
+    def one(x: np.ndarray) -> dict:
         x = x[~np.isnan(x)]
         p = period or (numeric.find_period(x, nlags, alpha, order) if len(x) > 2 else None)
         s = numeric.seasonal(x, p, mode) if p else None
-        return pd.DataFrame({"period": [p] * len(s), "phase": np.arange(len(s)), "value": s} if s is not None else {"period": [], "phase": [], "value": []})
+        return {"period": [p] * len(s), "phase": np.arange(len(s)), "value": s} if s is not None else {"period": [], "phase": [], "value": []}
 
     return per_series(df, key, ts, cols, one, "period long, phase long, value double")
 
 
 def fft(df: DataFrame, key: str, ts: str, cols: list[str], fs: float = 0, norm: bool = True, half: bool = True) -> DataFrame:
-    def one(x: np.ndarray) -> pd.DataFrame:
+    def one(x: np.ndarray) -> dict:
         at, amplitude, phase = numeric.fft(np.nan_to_num(x), fs, norm, half)
-        return pd.DataFrame({"i": np.arange(len(at)), "x": at, "amplitude": amplitude, "phase": phase})
+        return {"i": np.arange(len(at)), "x": at, "amplitude": amplitude, "phase": phase}
 
     return per_series(df, key, ts, cols, one, "i long, x double, amplitude double, phase double")
 
 
 def stft(df: DataFrame, key: str, ts: str, cols: list[str], **options) -> DataFrame:
-    def one(x: np.ndarray) -> pd.DataFrame:
+    def one(x: np.ndarray) -> dict:
         f, t, z = numeric.stft(np.nan_to_num(x), **options)
-        return pd.DataFrame({"f": np.repeat(f, len(t)), "t": np.tile(t, len(f)), "re": z.real.ravel(), "im": z.imag.ravel()})
+        return {"f": np.repeat(f, len(t)), "t": np.tile(t, len(f)), "re": z.real.ravel(), "im": z.imag.ravel()}
 
     return per_series(df, key, ts, cols, one, "f double, t double, re double, im double")
 
 
 def cwt(df: DataFrame, key: str, ts: str, cols: list[str], scales: int = 64, name: str = "cgau8", fs: float = 1.0) -> DataFrame:
-    def one(x: np.ndarray) -> pd.DataFrame:
+    def one(x: np.ndarray) -> dict:
         c, f = numeric.cwt(np.nan_to_num(x), np.arange(1, scales), name, 1 / fs)
         t = np.linspace(0, 1, len(x))
-        return pd.DataFrame({"scale": np.repeat(np.arange(1, scales), len(t)), "f": np.repeat(f, len(t)), "t": np.tile(t, len(f)), "re": c.real.ravel(), "im": c.imag.ravel()})
+        return {"scale": np.repeat(np.arange(1, scales), len(t)), "f": np.repeat(f, len(t)), "t": np.tile(t, len(f)), "re": c.real.ravel(), "im": c.imag.ravel()}
 
     return per_series(df, key, ts, cols, one, "scale long, f double, t double, re double, im double")
 
@@ -196,9 +225,9 @@ def cwt(df: DataFrame, key: str, ts: str, cols: list[str], scales: int = 64, nam
 def top_periods(df: DataFrame, key: str, ts: str, cols: list[str], k: int = 2) -> DataFrame:
     """``i, amplitude, period``: the k strongest frequencies of the amplitude spectrum, averaged over series and columns of one length."""
 
-    def one(x: np.ndarray) -> pd.DataFrame:
+    def one(x: np.ndarray) -> dict:
         a = np.abs(np.fft.rfft(np.nan_to_num(x)))
-        return pd.DataFrame({"n": [len(x)] * len(a), "i": np.arange(len(a)), "amplitude": a})
+        return {"n": [len(x)] * len(a), "i": np.arange(len(a)), "amplitude": a}
 
     mean = per_series(df, key, ts, cols, one, "n long, i long, amplitude double").filter("i > 0").groupBy("n", "i").agg(F.avg("amplitude").alias("amplitude"))
     return mean.orderBy(F.desc("amplitude"), "n", "i").limit(k).select("i", "amplitude", F.floor(F.col("n") / F.col("i")).cast("long").alias("period"))
