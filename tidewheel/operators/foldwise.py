@@ -16,6 +16,7 @@ error; a panel may have columns of any names.
 from __future__ import annotations
 
 import itertools
+import json
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -102,7 +103,7 @@ def places(what: list[tuple[str, int]], length: int) -> np.ndarray:
 
 
 def _matrix(values: pd.Series, width: int) -> np.ndarray:
-    return np.array([np.asarray(v, float) for v in values]).reshape(len(values), width)
+    return np.concatenate(values.to_numpy()).astype(float).reshape(len(values), width)
 
 
 def grams(frame: DataFrame, what: list[tuple[str, int]], lengths: list[int], outputs: int, out: int, skip: int, left_out: bool = False) -> dict[tuple[int, int], np.ndarray]:
@@ -118,13 +119,15 @@ def grams(frame: DataFrame, what: list[tuple[str, int]], lengths: list[int], out
             known = ~np.isnan(x)
             whole = [known[:, u].all(1) & ~np.isnan(y).any(1) for u in used]
             z = np.c_[np.ones(len(x)), np.nan_to_num(x)]
-            for i, groups in enumerate(b["train"]):
-                takes = tuple(sorted((int(f), n) for k, n in enumerate(lengths) if whole[k][i] for f in groups[k]))
-                b.at[b.index[i], "_key"] = repr(takes)
-            for name in b["_key"].unique():
+            # windows of the same folds and missing values are one group: a few, whatever the rows
+            code, folds = pd.factorize(b["train"])
+            groups, at = np.unique(np.c_[code, np.array(whole).T], axis=0, return_inverse=True)
+            for g, (of, *can) in enumerate(groups):
+                of = json.loads(folds[of])
+                name = repr(tuple(sorted((int(f), n) for k, n in enumerate(lengths) if can[k] for f in of[k])))
                 if name != "()":
-                    at = (b["_key"] == name).to_numpy()
-                    part = z[at].T @ np.c_[z[at], np.nan_to_num(y[at])]
+                    mine = at.ravel() == g
+                    part = z[mine].T @ np.c_[z[mine], np.nan_to_num(y[mine])]
                     total[name] = total[name] + part if name in total else part
         for name, m in total.items():
             yield pd.DataFrame({"takes": name, "i": np.arange(len(m)), "row": [r.tolist() for r in m]})
@@ -133,7 +136,7 @@ def grams(frame: DataFrame, what: list[tuple[str, int]], lengths: list[int], out
         every = F.when(F.col("rows") >= n + skip + out, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
         return F.concat(_folds(lambda f: _trains(f, n + skip + out, left_out)), every)
 
-    rows = frame.select("x", "y", F.array(*map(member, lengths)).alias("train"), F.lit("").alias("_key"))
+    rows = frame.select("x", "y", F.to_json(F.array(*map(member, lengths))).alias("train"))
     cells = rows.mapInPandas(run, "takes string, i int, row array<double>").select("takes", "i", F.posexplode("row").alias("j", "v")).groupBy("takes", "i", "j").agg(F.sum("v").alias("v")).collect()
     wide, found = len(what) + 1, {}
     for c in cells:
@@ -189,15 +192,17 @@ def forecasts(panel: Panel, folds: DataFrame, models: dict[tuple[str, int], Ridg
             if not len(b):
                 continue
             x, y = _matrix(b["x"], len(what)), _matrix(b["y"], outputs)
+            code, folds = pd.factorize(b["test"])
+            of = [json.loads(t) for t in folds]
             for (name, fold), m in models.items():
                 k = lengths.index(m.in_chunk_len)
-                at = np.array([fold in set(t[k]) for t in b["test"]])
+                at = np.array([fold in t[k] for t in of])[code]
                 if at.any():
                     p = x[at][:, used[m.in_chunk_len]] @ m.weights + m.intercept
                     yield pd.DataFrame({"model": name, "fold": fold, "series": b["series"][at], "origin": b["tail"][at] - out + 1, "last_ts": b["last_ts"][at], "y": list(y[at]), "p": list(p)})
 
     test = F.array(*[_folds(partial(_tests, length=n, out=out, skip=skip, left_out=left_out)) for n in lengths])
-    rows = with_folds(frame, folds, panel.key).select("series", "tail", "last_ts", "x", "y", test.alias("test")).filter(F.exists("test", lambda t: F.size(t) > 0))
+    rows = with_folds(frame, folds, panel.key).select("series", "tail", "last_ts", "x", "y", test.alias("test")).filter(F.exists("test", lambda t: F.size(t) > 0)).withColumn("test", F.to_json("test"))
     schema = f"model string, fold long, series {series}, origin long, last_ts {time}, y array<double>, p array<double>"
     found = rows.mapInPandas(run, schema).select("model", "fold", "series", "origin", "last_ts", F.posexplode(F.arrays_zip("y", "p")).alias("o", "v"))
     target = F.element_at(F.array(*[F.lit(t) for t in targets]), (F.floor(F.col("o") / out) + 1).cast("int"))
