@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, Tokens, durable, if_small, mix64, per_batch, unused
+from .common import SMALL, Tokens, durable, if_small, mix64, per_batch, settle, unused
 from .quality import binomial_at_most
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -179,7 +179,9 @@ def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) ->
     # compared in the JVM: with a second Python step in one task, twice as many workers would live on
     common = F.size(F.array_intersect("set_a", "set_b"))
     found = both.select("a", "b", common.cast("long").alias("common"), (F.size("set_a") + F.size("set_b") - common).cast("long").alias("total"))
-    return durable(found.groupBy("a", "b").agg(F.max_by(F.struct("common", "total"), F.col("common") / F.col("total")).alias("s")).select("a", "b", "s.common", "s.total"))
+    best = durable(found.groupBy("a", "b").agg(F.max_by(F.struct("common", "total"), F.col("common") / F.col("total")).alias("s")).select("a", "b", "s.common", "s.total"))
+    settle(docs.sparkSession)
+    return best
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,6 +196,7 @@ def components(links: DataFrame) -> DataFrame:
         new = durable(lower.join(hint(far), "to").select("id", F.col("component").alias("was"), F.least("to", "beyond").alias("component")))
         label = new.select("id", "component")
         if not new.filter("was != component").limit(1).count():
+            settle(links.sparkSession)
             return label
 
 
