@@ -1,13 +1,15 @@
 """Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index.
 
-Examples are a bounded sample of labelled rows (``examples`` in all, the first by a hash of the
-id). Terms are all words of the examples and their beginnings; none is left out. Words are 64-bit
-hashes of their characters from the start. Document frequencies are counted over all documents. A
+All labelled rows are learned from. The index is fitted on a bounded sample of them, the examples
+(``examples`` in all, the first by a hash of the id); every other labelled row is indexed under the
+example that is nearest to it, whose vote is the mean label of all rows there. Up to ``examples``
+rows each is an example. Terms are all words of the examples and their beginnings; none is left
+out. Words are 64-bit hashes of their characters from the start. Document frequencies are counted over all documents. A
 term's weight is TF-IDF times how strongly its presence goes with the label, in either direction:
-(chi2 + 1) / examples of the 2x2 table, so a term that says nothing still weighs what chance gives.
+(chi2 + 1) / rows of the 2x2 table of all labelled rows, so a term that says nothing still weighs what chance gives.
 Vectors have unit length over the whole text: a word that no example has counts with the largest
-idf and the least such factor. The k nearest are exact. Their votes, weighted by cosine, give a raw
-score; isotonic regression over the examples' own scores, each found without itself, makes it a
+idf and the least such factor. The k nearest examples are exact. Their votes, weighted by cosine, give a raw
+score; isotonic regression over the scores of all labelled rows, each found without itself, makes it a
 probability.
 
 Defined results: null and empty texts, and texts without any term, have no neighbours and get the
@@ -18,6 +20,7 @@ rows are scored alike; rows with a null id are scored and never learned from; ot
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, Tokens, give_back, keep_rows, per_batch, per_task
+from .common import HashTable, Tokens, durable, give_back, keep_rows, per_batch, per_task, remove, rows_of_ids, settle, shared_folder
 
 #: Lengths of the beginnings of words that are terms too.
 BEGINNINGS = (5, 7)
@@ -159,19 +162,26 @@ class BlockMaxIndex:
         score += np.bincount(posting, held, score.size).reshape(score.shape)
 
 
-def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the non-decreasing fit of label on raw: (least raw of a step, its value), pooling adjacent violators."""
+def _pooled(raw: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Steps of the non-decreasing fit, pooling adjacent violators: of each its least raw, toxic rows and rows.
+
+    Of 0 and 1 there are few steps, as their means differ. Steps of consecutive ranges can be pooled again.
+    """
     x, at = np.unique(raw, return_inverse=True)
-    n = np.bincount(at).astype(float)
-    y = np.bincount(at, label) / n
     out: list[list[float]] = []
-    for xi, yi, ni in zip(x, y, n, strict=True):
-        out.append([xi, yi, ni])
-        while len(out) > 1 and out[-2][1] >= out[-1][1]:
+    for step in zip(x.tolist(), np.bincount(at, toxic).tolist(), np.bincount(at, n).tolist(), strict=True):
+        out.append([*step])
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
             _, b, m = out.pop()
-            out[-1][1] = (out[-1][1] * out[-1][2] + b * m) / (out[-1][2] + m)
+            out[-1][1] += b
             out[-1][2] += m
-    return np.array([o[0] for o in out]), np.array([o[1] for o in out])
+    return np.array(out).reshape(-1, 3)
+
+
+def isotonic(raw: np.ndarray, label: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the non-decreasing fit of label on raw: (least raw of a step, its value); with ``n``, label is the toxic ones of n rows."""
+    steps = _pooled(raw, label, np.ones(len(raw)) if n is None else n)
+    return steps[:, 0], steps[:, 1] / steps[:, 2]
 
 
 class Weights:
@@ -193,10 +203,16 @@ def _vote(rows: np.ndarray, cosines: np.ndarray, labels: np.ndarray, empty: floa
 
 
 def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
-    """Model from a bounded sample of ``labelled`` (``id_col``, ``label_col``); frequencies over all ``docs``."""
+    """Model from all rows of ``labelled`` (``id_col``, ``label_col``), its index fitted on ``examples`` of them; frequencies over all ``docs``."""
     one = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col).alias("_label"))
-    first = one.groupBy(id_col).agg(F.max("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(examples)
+    one = one.groupBy(id_col).agg(F.max("_label").alias("_label"))
+    first = durable(one.orderBy(F.xxhash64(id_col), id_col).limit(examples))
     sample = docs.select(id_col, text_col).join(F.broadcast(first), id_col)  # its bound: ``examples``
+    spark, folder, many = docs.sparkSession, None, one.count()
+    if many > examples:  # all labelled texts, which move once
+        folder = f"{shared_folder(spark)}/toxicity-{uuid.uuid4().hex}"
+        rows_of_ids(docs.select(id_col, text_col), one, many, id_col).write.option("compression", "zstd").parquet(folder)
+        settle(spark)
 
     def counted():
         def f(ids, texts, labels):
@@ -213,6 +229,8 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32,
     bags = per_batch(sample, [id_col, text_col, "_label"], f"id {kind}, label int, term array<long>, n array<int>", counted).toArrow()  # a bounded sample
     size = bags.num_rows
     if not size:
+        if folder:
+            remove(spark, folder)
         return None
     lists = pa.concat_arrays(bags.column("term").chunks)
     counts = pa.concat_arrays(bags.column("n").chunks).flatten().to_numpy()
@@ -230,17 +248,20 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32,
     by = np.lexsort((term, row))
     row, term, counts = row[by], term[by], counts[by]
     table = HashTable(names)
-    n_terms, toxic = len(names), float(label.sum())
-    # 2x2 table of each term: a toxic with it, b others with it, c toxic without, d others without
+    n_terms = len(names)
+    # 2x2 table of each term over all labelled rows: a toxic with it, b others with it, c toxic without, d others without
     have = np.bincount(term, minlength=n_terms).astype(float)
-    a = np.bincount(term, label[row], n_terms)
-    b = have - a
-    c, d = toxic - a, size - toxic - b
+    a, toxic, b, every = np.bincount(term, label[row], n_terms), float(label.sum()), have, float(size)
+    if folder:
+        n, bad = _frequencies(spark.read.parquet(folder), table, [text_col, "_label"])
+        a, toxic, b, every = bad[:-1], bad[-1], n[:-1], n[-1]
+    b = b - a
+    c, d = toxic - a, every - toxic - b
     product = (a + b) * (c + d) * (a + c) * (b + d)
-    chi2 = np.where(product > 0, (a * d - b * c) ** 2 * size / np.maximum(product, 1), 0.0)
-    df = _frequencies(docs, table, text_col)
+    chi2 = np.where(product > 0, (a * d - b * c) ** 2 * every / np.maximum(product, 1), 0.0)
+    df, _ = _frequencies(docs, table, [text_col])
     idf = np.log((1 + df[-1]) / (1 + df[:-1]))
-    weights = Weights(idf * (chi2 + 1) / size, float(idf.max(initial=0.0)) / size)
+    weights = Weights(idf * (chi2 + 1) / every, float(idf.max(initial=0.0)) / every)
     none = np.zeros(0, np.int64)
     bound, weight = weights(row, term, counts, none, none, size)
     kin = np.full(size, -1)  # of each example its most frequent term, that of most examples first
@@ -248,39 +269,116 @@ def fit(docs: DataFrame, labelled: DataFrame, examples: int = 4096, k: int = 32,
     head = np.flatnonzero(np.r_[True, row[top][1:] != row[top][:-1]]) if len(top) else none
     kin[row[top][head]] = term[top][head]
     keep = weight > 0
-    index, rate = BlockMaxIndex(row[keep], term[keep], weight[keep], size, n_terms, kin), toxic / size
+    index, rate = BlockMaxIndex(row[keep], term[keep], weight[keep], size, n_terms, kin), toxic / every
     bare = np.bincount(row[keep], minlength=size) == 0
-    empty = float(label[bare].mean()) if bare.any() else rate
-    del by, top, head, keep, row, counts
+    del by, top, head, keep, row, counts, a, b, c, d, product, chi2, df, idf
+    model = {"table": table, "weights": weights, "index": index, "ids": ids, "rate": rate, "k": k}
     give_back()
-    raw = np.array([_vote(*found, label, empty, rate) for found in index.nearest(bound, term, weight, k, np.arange(size))])
+    # of each example the rows indexed under it and the toxic ones of them, itself included; last those without neighbours
+    n, bad = np.r_[np.ones(size), bare.sum()], np.r_[label, label[bare].sum()]
+    found = None
+    if folder:
+        others = spark.read.parquet(folder).join(F.broadcast(first.select(id_col)), id_col, "left_anti")
+        found = _neighbours(others, model, text_col)
+        remove(spark, folder)
+        for r in found.groupBy(F.get("row", F.lit(0)).alias("at")).agg(F.count("*").alias("n"), F.sum("label").alias("bad")).collect():
+            at = -1 if r["at"] is None else r["at"]
+            n[at] += r["n"]
+            bad[at] += r["bad"]
+    votes = bad[:-1] / n[:-1]
+    model |= {"labels": votes, "empty": float(bad[-1] / n[-1]) if n[-1] else rate}
+    raw = np.array([_vote(*x, votes, model["empty"], rate) for x in index.nearest(bound, term, weight, k, np.arange(size))])
     del term, weight
     give_back()
-    return {"table": table, "weights": weights, "index": index, "labels": label, "ids": ids, "empty": empty, "rate": rate, "steps": isotonic(raw, label), "k": k}
+    return model | {"steps": isotonic(raw, label) if found is None else _calibrated(found, raw, label, n, bad, model)}
+
+
+def _neighbours(labelled: DataFrame, model: dict, text_col: str) -> DataFrame:
+    """``label, row, cosine``: of each labelled row that is no example the nearest examples."""
+    sent = labelled.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the terms
+
+    def make():
+        m = sent.value
+        count = Terms(m["table"])
+
+        def f(texts, labels):
+            found = count(texts)
+            bound, weight = m["weights"](*found, len(texts))
+            near = list(m["index"].nearest(bound, found[1], weight, m["k"]))
+            return {"label": labels, "row": [r for r, _ in near], "cosine": [c for _, c in near]}
+
+        return f
+
+    out = durable(per_batch(labelled, [text_col, "_label"], "label int, row array<int>, cosine array<double>", make))
+    sent.destroy()
+    return out
+
+
+def _calibrated(found: DataFrame, raw: np.ndarray, label: np.ndarray, n: np.ndarray, bad: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic steps over all labelled rows; a row's own label isn't in the vote of the example that it is indexed under.
+
+    Ranges of raw scores are pooled each by a task, and their steps at last.
+    """
+    votes, empty, rate = model["labels"], model["empty"], model["rate"]
+
+    def make():
+        def f(labels, rows, cosines):
+            out = []
+            for y, at, cos in zip(labels, rows, cosines, strict=True):
+                at, cos = np.array(at, np.int64), np.array(cos)
+                own = votes[at]
+                if len(at):
+                    own[0] = (bad[at[0]] - y) / (n[at[0]] - 1)
+                out.append(_vote(np.arange(len(at)), cos, own, empty, rate))
+            return {"raw": out, "label": labels}
+
+        return f
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.zeros((0, 3))
+        for b in batches:  # sorted, so that steps so far and a batch are consecutive
+            more = np.stack([b.column(i).to_numpy().astype(float) for i in range(3)], axis=1)
+            steps = _pooled(*np.concatenate([steps, more]).T)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in steps.T], ["raw", "bad", "n"])
+
+    examples = found.sparkSession.createDataFrame(pa.table({"raw": raw, "label": label.astype(np.int32)}))
+    scored = per_batch(found, ["label", "row", "cosine"], "raw double, label int", make).union(examples)
+    counted = scored.groupBy("raw").agg(F.sum("label").cast("double").alias("bad"), F.count("*").cast("double").alias("n"))
+    steps = counted.repartitionByRange("raw").sortWithinPartitions("raw").mapInArrow(pool, "raw double, bad double, n double").toArrow()
+    return isotonic(*(steps.column(i).to_numpy() for i in range(3)))
 
 
-def _frequencies(docs: DataFrame, table: HashTable, text_col: str) -> np.ndarray:
-    """Of each term the documents that have it, over all of them; last their number."""
+def _frequencies(docs: DataFrame, table: HashTable, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each term the rows that have it, over all of ``docs``, and those with a label of 1; last their numbers. ``columns`` are the text and the label, if any."""
     sent = docs.sparkSession.sparkContext.broadcast(table)  # the terms of a bounded sample
 
     def make():
-        count, n = Terms(sent.value), np.zeros(sent.value.size + 1, np.int64)
+        count = Terms(sent.value)
+        n, bad = np.zeros((2, sent.value.size + 1), np.int64)
 
-        def f(texts):
-            n[:] += np.bincount(count(texts)[1], minlength=len(n))
+        def f(texts, labels=None):
+            text, term, *_ = count(texts)
+            n[:] += np.bincount(term, minlength=len(n))
             n[-1] += len(texts)
+            if labels is not None:
+                y = np.array(labels, np.int64)
+                bad[:] += np.bincount(term[y[text] > 0], minlength=len(n))
+                bad[-1] += (y > 0).sum()
 
         def end():
             some = n.nonzero()[0]
-            return {"term": some, "n": n[some]}
+            return {"term": some, "n": n[some], "bad": bad[some]}
 
         return f, end
 
-    found = per_task(docs, [text_col], "term int, n long", make).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(table.size + 1)
-    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    sums = [F.sum("n").alias("n"), *([F.sum("bad").alias("bad")] if len(columns) > 1 else [])]
+    found = per_task(docs, columns, "term int, n long, bad long", make).groupBy("term").agg(*sums).toArrow()
+    out = np.zeros((2, table.size + 1))
+    at = found.column("term").to_numpy()
+    for i in range(1, found.num_columns):
+        out[i - 1, at] = found.column(i).to_numpy()
     sent.destroy()
-    return df
+    return out[0], out[1]
 
 
 class Scorer:
