@@ -23,7 +23,7 @@ from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
-from .common import kept, per_batch
+from .common import PIECE, kept, per_batch
 
 #: The end-of-word mark is folded into the last symbol: a code point this much higher.
 _END = 0xE000
@@ -275,5 +275,5 @@ def _encoded(docs: DataFrame, path: str | None, id_col: str, text_col: str, dige
 
         return f
 
-    kind = dict(docs.dtypes)[id_col]
-    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make, operator="bpe")
+    kind = dict(docs.dtypes)[id_col]  # pieces are smaller, as the encoder is held too
+    return per_batch(docs, [id_col, text_col], f"{id_col} {kind}, n_tokens long, {a} string, {b} string", make, PIECE // 2, operator="bpe")
